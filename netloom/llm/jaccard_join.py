@@ -225,7 +225,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = written(connected_components(stars).withColumnRenamed("node", "id").withColumnRenamed("component", "grp"))
     sizes = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
     placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    texts = rows.join(placed, "id").select("grp", "nb", "block", "id", "text")
+    # candidates grow with the data, so they are never broadcast: one plan at every size
+    texts = rows.join(placed.hint("merge"), "id").select("grp", "nb", "block", "id", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     units = texts.withColumn("other", other).select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "nb", "block", "id", "text")
     units = units.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "id")
@@ -255,5 +256,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     joined = written(jaccard_join(docs, id_col, text_col, **how).select(id_col, "cluster_id"))
     gone = joined.where(F.col("cluster_id") < F.col(id_col)).select(id_col).distinct()
     repeated = joined.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
     return kept.dropDuplicates([id_col]) if repeated else kept

@@ -31,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import written
 
 CHUNK_CHARS = 1 << 16
-MAX_WORDS_HELD = 700_000
+MAX_WORDS_HELD = 500_000
 _BLANK = "▁"
 _NO = -np.inf
 _EDGE = re.compile(f"(?<=[^{_BLANK}])(?={_BLANK})")
@@ -304,6 +305,19 @@ def settle(matrices: list[np.ndarray]) -> list[int]:
     return [int(np.argmax(f[0, :] + b[:, 0])) for f, b in zip(forward[:-1], backward[1:], strict=True)]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], n: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of ``n`` rows, so that results stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, n):
+            yield batch.slice(i, n)
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    """16-bit ids of each row as one list column."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 2 for x in ids], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u2").astype(np.int32)))
+
+
 _HELD = None
 
 
@@ -321,11 +335,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     id_type, carried = d.schema["id"].dataType.simpleString(), d.schema["carried"].dataType.simpleString()
     long = F.length("text") > chunk_chars
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for pdf in batches:
-            ids = [np.frombuffer(c.by_words(c.normal(t)), "<u2").astype("<i4") for t in pdf["text"]]
-            yield pdf[["id", "carried"]].assign(ids=ids)
+        for batch in _slices(batches):
+            at = batch.schema.get_field_index("text")
+            ids = [c.by_words(c.normal(t)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("carried"), _lists(ids)], ["id", "carried", "ids"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model_path)
@@ -361,7 +376,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 out.append(np.frombuffer(x.backtrace(x.entry()[r.enter], x.exit()[r.leave]), "<u2").astype("<i4"))
             yield pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "ids": out})
 
-    short = d.where(~long).mapInPandas(whole, f"id {id_type}, carried {carried}, ids array<int>")
+    short = d.where(~long).mapInArrow(whole, f"id {id_type}, carried {carried}, ids array<int>")
     # giants get a name of their own, written with them, so that repeated rows stay apart
     giants = written(d.where(long).withColumn("row", F.monotonically_increasing_id()))
     cuts = written(giants.select("row", "text").mapInPandas(cut, "row long, k int, n int, lo int, hi int, chunk string").repartition("row", "k"))
@@ -376,10 +391,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with the decoded text beside its ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for pdf in batches:
-            yield pdf.assign(**{text_col: [c.decode(np.asarray(i)) if i is not None else None for i in pdf[ids_col]]})
+        for batch in _slices(batches):
+            at = batch.schema.get_field_index(ids_col)
+            texts = [c.decode(x.values.to_numpy()) if x.is_valid else None for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != text_col)
-    return encoded.select(*[f.name for f in encoded.schema if f.name != text_col]).mapInPandas(run, f"{names}, {text_col} string")
+    return encoded.select(*[f.name for f in encoded.schema if f.name != text_col]).mapInArrow(run, f"{names}, {text_col} string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netloom.functions import scalar as S
-from netloom.operators import dns, lateral, tls, traffic
+from netloom.operators import dns, graph, hunting, lateral, relay, soc, tls, traffic
 from netloom.operators import reference as R
 from netloom.plans import fixtures
 from netloom.plans.fixtures import duck
@@ -263,6 +263,131 @@ _add(
     duck("flows") + f" SELECT DISTINCT dst_ip AS ip, split_part(dst_ip, '.', 1)::BIGINT * 16777216 + split_part(dst_ip, '.', 2)::BIGINT * 65536 + split_part(dst_ip, '.', 3)::BIGINT * 256 + split_part(dst_ip, '.', 4)::BIGINT AS number, {_internal('dst_ip')} AS internal, regexp_matches(dst_ip, '^(10[.]|192[.]168[.]|172[.])') AS internal_loose, regexp_extract(dst_ip, '^([0-9]+[.][0-9]+[.][0-9]+)', 1) AS prefix FROM flows",
 )
 
+# -- baselines and outliers
+
+_add(
+    "baselines",
+    _on("flows", hunting.build_baseline),
+    duck("flows") + """, m AS (SELECT src_ip, median(total_bytes) AS median_bytes FROM flows GROUP BY src_ip), d AS (SELECT src_ip, median(abs(total_bytes - median_bytes)) AS mad_bytes FROM flows JOIN m USING (src_ip) GROUP BY src_ip),
+    p AS (SELECT src_ip, dst_port, row_number() OVER (PARTITION BY src_ip ORDER BY count(*) DESC, dst_port) AS r FROM flows GROUP BY src_ip, dst_port), t AS (SELECT src_ip, string_agg(dst_port::VARCHAR, ',' ORDER BY r) AS top_ports FROM p WHERE r <= 10 GROUP BY src_ip)
+    SELECT src_ip, count(*) AS flows, count(DISTINCT dst_ip) AS destinations, median(session_duration) AS median_duration, round(avg((protocol = 'TLS')::INT), 4) AS tls_ratio, any_value(median_bytes) AS median_bytes, any_value(mad_bytes) AS mad_bytes, any_value(top_ports) AS top_ports
+    FROM flows JOIN m USING (src_ip) JOIN d USING (src_ip) JOIN t USING (src_ip) GROUP BY src_ip HAVING count(*) >= 5""",
+)
+_FEAT = duck("flows") + """, pc AS (SELECT src_ip, dst_port, count(*)::DOUBLE AS c FROM flows GROUP BY ALL), pe AS (SELECT src_ip, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS port_entropy FROM pc GROUP BY src_ip),
+  x AS (SELECT src_ip, sum(total_bytes)::DOUBLE AS total_bytes, sum(packet_count)::DOUBLE AS packet_count, avg(session_duration) AS session_duration, count(DISTINCT dst_ip)::DOUBLE AS unique_destinations,
+    avg((protocol = 'TLS')::INT) AS tls_ratio, any_value(port_entropy) AS port_entropy FROM flows JOIN pe USING (src_ip) GROUP BY src_ip)"""
+_Z = {f: f"0.6745e0 * ({f} - {f}_m) / {f}_d" for f in hunting.FEATURES}
+_add(
+    "outlier_hunt",
+    _on("flows", hunting.hunt_outliers),
+    _FEAT + ", m AS (SELECT " + ", ".join(f"median({f}) AS {f}_m" for f in hunting.FEATURES) + " FROM x), d AS (SELECT " + ", ".join(f"greatest(median(abs({f} - {f}_m)), 0.001e0) AS {f}_d" for f in hunting.FEATURES)
+    + " FROM x, m), s AS (SELECT *, sqrt((" + " + ".join(f"power({z}, 2)" for z in _Z.values()) + ") / 6) AS s FROM x, m, d) SELECT src_ip, round(s, 2) AS score, array_to_string(list_filter([" + ", ".join(f"CASE WHEN abs({z}) > 2.5 THEN '{f}' END" for f, z in _Z.items())
+    + "], lambda v: v IS NOT NULL), ',') AS features, CASE WHEN s > 6 THEN 'CRITICAL' WHEN s > 4.5 THEN 'HIGH' WHEN s > 3.5 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s WHERE s > 3.0",
+)
+_add(
+    "peer_outliers",
+    _on("flows", hunting.peer_outliers),
+    duck("flows") + """, x AS (SELECT src_ip, regexp_extract(src_ip, '^([0-9]+[.][0-9]+[.][0-9]+)', 1) AS subnet, sum(total_bytes)::BIGINT AS bytes FROM flows GROUP BY src_ip), m AS (SELECT subnet, median(bytes) AS md, count(*) AS peers FROM x GROUP BY subnet),
+    d AS (SELECT subnet, median(abs(bytes - md)) AS mad FROM x JOIN m USING (subnet) GROUP BY subnet), z AS (SELECT src_ip, subnet, peers, bytes, round(0.6745e0 * (bytes - md) / mad, 3) AS z FROM x JOIN m USING (subnet) JOIN d USING (subnet) WHERE peers >= 3 AND mad > 0)
+    SELECT * FROM z WHERE abs(z) > 3""",
+)
+_add(
+    "temporal_hunt",
+    _on("flows", hunting.hunt_temporal),
+    duck("flows") + """, n AS (SELECT src_ip, (floor(start_time / 3600)::BIGINT % 24)::INT AS hour, count(*) AS c FROM flows GROUP BY ALL),
+    x AS (SELECT src_ip, sum(c)::BIGINT AS flows, sum(CASE WHEN hour <= 5 THEN c ELSE 0 END) AS off, max(c) AS top, arg_max(hour, (c, -hour)) AS top_hour FROM n GROUP BY src_ip)
+    SELECT src_ip, flows, round(off / flows, 4) AS off_ratio, top_hour, round(top / flows, 4) AS top_ratio FROM x WHERE flows >= 10 AND (round(off / flows, 4) > 0.4 OR round(top / flows, 4) > 0.5)""",
+)
+
+# -- relays
+
+_NODES = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in R.RELAY_NODES.items()) + ") n(ip, node_type)"
+_REL = duck("flows") + f", m AS (SELECT f.*, coalesce(a.ip, b.ip) AS relay_ip, coalesce(a.node_type, b.node_type) AS node_type FROM flows f LEFT JOIN {_NODES.replace(') n(', ') a(')} ON a.ip = dst_ip LEFT JOIN {_NODES.replace(') n(', ') b(')} ON b.ip = src_ip WHERE a.ip IS NOT NULL OR b.ip IS NOT NULL)"
+_add("relay_flows", _on("flows", relay.match_relay_nodes), _REL + " SELECT flow_id, src_ip, dst_ip, relay_ip, node_type FROM m")
+_add(
+    "relay_cells",
+    _on("packets", relay.cell_ratios),
+    duck("packets") + " SELECT src_ip, dst_ip, count(*) AS packets, round(avg((abs(size - 541) <= 30 OR abs(size - 1082) <= 60 OR abs(size - 1623) <= 90)::INT), 4) AS cell_ratio FROM packets GROUP BY ALL HAVING count(*) >= 20 AND round(avg((abs(size - 541) <= 30 OR abs(size - 1082) <= 60 OR abs(size - 1623) <= 90)::INT), 4) > 0.55",
+)
+_add(
+    "relay_persistence",
+    _on("flows", relay.relay_persistence),
+    _REL + ", u AS (SELECT src_ip, relay_ip, count(*) AS uses FROM m GROUP BY ALL) SELECT src_ip, relay_ip, uses, count(*) OVER (PARTITION BY src_ip) AS relays, round(uses / sum(uses) OVER (PARTITION BY src_ip), 4) AS share FROM u",
+)
+
+# -- graph
+
+_EDG = duck("flows") + ", e AS (SELECT src_ip AS src, dst_ip AS dst, sum(total_bytes)::BIGINT AS weight, count(*) AS flows FROM flows WHERE src_ip <> dst_ip GROUP BY ALL)"
+_DEG = _EDG + """, dg AS (SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(ow)::BIGINT AS out_weight, sum(iw)::BIGINT AS in_weight, sum(o + i)::BIGINT AS degree
+  FROM (SELECT src AS node, 1 AS o, 0 AS i, weight AS ow, 0 AS iw FROM e UNION ALL SELECT dst, 0, 1, 0, weight FROM e) GROUP BY node)"""
+_add("graph_degrees", _on("flows", lambda f: graph.degrees(graph.build_edges(f))), _DEG + " SELECT * FROM dg")
+_add(
+    "graph_clustering",
+    _on("flows", lambda f: graph.clustering(graph.build_edges(f))),
+    _EDG + """, k AS (SELECT src, count(*) AS k FROM e GROUP BY src), c AS (SELECT a.src, count(*) AS c FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst JOIN e x ON x.src = a.dst AND x.dst = b.dst GROUP BY a.src)
+    SELECT src AS node, k, CASE WHEN k > 1 THEN round(coalesce(c, 0) / (k * (k - 1)), 4) ELSE 0.0 END AS clustering FROM k LEFT JOIN c USING (src)""",
+)
+_add(
+    "graph_anomalies",
+    _on("flows", lambda f: graph.structural_anomalies(graph.build_edges(f), 2.0, 5_000_000, 1_000_000, 5.0)),
+    _DEG + """, s AS (SELECT avg(degree) AS m, stddev_samp(degree) AS sd FROM dg)
+    SELECT 'hub_node' AS kind, node, NULL AS peer, degree::DOUBLE AS value FROM dg, s WHERE (degree - m) / sd > 2
+    UNION ALL SELECT 'asymmetric_traffic', node, NULL, round(out_weight / in_weight, 2) FROM dg WHERE out_weight > 1000000 AND in_weight > 0 AND out_weight / in_weight > 5
+    UNION ALL SELECT 'isolated_heavy_edge', src, dst, weight::DOUBLE FROM e WHERE weight > 5000000 AND src IN (SELECT node FROM dg WHERE degree <= 3)""",
+)
+_PR = _EDG + ", k AS (SELECT src, count(*) AS k FROM e GROUP BY src), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM v), r0 AS (SELECT node, 1.0e0 / n AS rank FROM v, n)"
+for _i in range(1, 6):
+    _PR += f", r{_i} AS (SELECT v.node, 0.15e0 / any_value(n) + 0.85e0 * coalesce(sum(rank / k), 0) AS rank FROM v CROSS JOIN n LEFT JOIN (SELECT dst, rank, k FROM e JOIN k USING (src) JOIN r{_i - 1} ON node = src) g ON g.dst = v.node GROUP BY v.node)"
+_add("page_rank", _on("flows", lambda f: graph.page_rank(graph.build_edges(f), rounds=5).withColumn("rank", F.round("rank", 9))), _PR + " SELECT node, round(rank, 9) AS rank FROM r5")
+_add("communities", _on("flows", lambda f: graph.label_propagation(graph.build_edges(f), 5)))
+
+# -- alerts
+
+_AL = duck("alerts") + ", al AS (SELECT *, round(100 * price / max(price) OVER (), 4) AS threat_score FROM alerts)"
+
+
+def _alerts(f):
+    def run(a):
+        top = a.agg(F.max("price").alias("top"))
+        return f(a.crossJoin(F.broadcast(top)).withColumn("threat_score", F.round(100 * F.col("price") / F.col("top"), 4)).drop("top"))
+
+    return _on("alerts", run)
+
+
+_AS_OF = 1704067200.0
+_SLA = "CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 8 WHEN 'LOW' THEN 24 ELSE 72 END"
+_add("alert_dashboard", _alerts(soc.dashboard), _AL + " SELECT tenant_id, severity, status, count(*) AS alerts, round(avg(threat_score), 4) AS mean_score FROM al GROUP BY ALL")
+_add("alerts_hourly", _alerts(soc.hourly), _AL + " SELECT (floor(created / 3600) * 3600)::BIGINT AS hour, count(*) AS alerts, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high FROM al GROUP BY 1")
+_add(
+    "active_alerts",
+    _alerts(lambda a: soc.active_alerts(a).select("alert_id", "severity", "threat_score")),
+    _AL + " SELECT alert_id, severity, threat_score FROM al WHERE status IN ('new', 'triaged') ORDER BY CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, threat_score DESC, alert_id LIMIT 100",
+)
+_add(
+    "alert_deduplication",
+    _alerts(soc.deduplicate),
+    _AL + " SELECT arg_min(alert_id, (created, alert_id)) AS alert_id, src_ip, dst_ip, category, session_id, max(threat_score) AS max_score, count(*) AS n_alerts FROM al GROUP BY src_ip, dst_ip, category, session_id",
+)
+_add(
+    "soc_metrics",
+    _alerts(lambda a: soc.metrics(a, _AS_OF)),
+    _AL + f""" SELECT tenant_id, count(*) AS total, count(*) FILTER (status <> 'resolved') AS open, count(*) FILTER (severity = 'CRITICAL') AS critical, round(avg(CASE WHEN status = 'resolved' THEN (resolved - created) / 3600 END), 4) AS mttr_hours,
+    round(avg((NOT (CASE WHEN status = 'resolved' THEN resolved ELSE {_AS_OF} END > created + {_SLA} * 3600.0e0))::INT), 4) AS sla_rate FROM al GROUP BY tenant_id""",
+)
+_add("analyst_workload", _alerts(soc.workload), _AL + " SELECT assignee, count(*) AS open_alerts, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS urgent FROM al WHERE status <> 'resolved' GROUP BY assignee")
+_add(
+    "unified_threats",
+    _alerts(soc.unified_threats),
+    _AL + """, u AS (SELECT src_ip AS ip, * FROM al UNION ALL SELECT dst_ip, * FROM al WHERE src_ip <> dst_ip),
+    g AS (SELECT ip, count(*) AS n_alerts, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(least(100.0, max(threat_score) + least(20, 8 * (count(DISTINCT category) - 1))), 4) AS score FROM u GROUP BY ip HAVING count(*) >= 2)
+    SELECT *, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 60 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity, substr(md5(concat('threat:', ip)), 1, 12) AS threat_id FROM g""",
+)
+_add(
+    "cef_export",
+    _alerts(lambda a: soc.export(a.withColumn("title", F.concat(F.lit("Alert | "), "category")).withColumn("threat_score", F.floor("threat_score")), "cef", severity="critical")),
+    _AL + f""" SELECT alert_id, concat('CEF:0|{soc.VENDOR}|{soc.PRODUCT}|{soc.VERSION}|', category, '|', 'Alert \| ', category, '|10|src=', src_ip, ' dst=', dst_ip, ' act=', status, ' cs1=', alert_id, ' cs1Label=AlertID cfp1=', floor(threat_score)::BIGINT, ' cfp1Label=ThreatScore') AS line FROM al WHERE severity = 'CRITICAL'""",
+)
+
 
 def queries() -> dict:
     return dict(_Q)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netloom.functions import scalar as S
-from netloom.operators import dns, graph, hunting, lateral, relay, soc, tls, traffic
+from netloom.operators import dns, graph, hunting, lateral, models, relay, soc, tls, traffic
 from netloom.operators import reference as R
 from netloom.plans import fixtures
 from netloom.plans.fixtures import duck
@@ -341,6 +341,21 @@ for _i in range(1, 6):
 _add("page_rank", _on("flows", lambda f: graph.page_rank(graph.build_edges(f), rounds=5).withColumn("rank", F.round("rank", 9))), _PR + " SELECT node, round(rank, 9) AS rank FROM r5")
 _add("communities", _on("flows", lambda f: graph.label_propagation(graph.build_edges(f), 5)))
 
+# -- models
+
+_add("ja3_rarity", _on("flows", models.ja3_rarity), duck("flows") + " SELECT ja3, count(*) AS flows, round(1 - count(*) / sum(count(*)) OVER (), 4) AS rarity FROM flows WHERE ja3 IS NOT NULL GROUP BY ja3")
+_add(
+    "min_max_features",
+    _on("flows", lambda f: models.min_max(hunting.source_features(f).select("src_ip", "total_bytes", "packet_count", "unique_destinations"), ["total_bytes", "packet_count", "unique_destinations"])[0].select("src_ip", *[F.round(c, 6).alias(c) for c in ("total_bytes", "packet_count", "unique_destinations")])),
+    _FEAT + " SELECT src_ip, " + ", ".join(f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) AS {c}" for c in ("total_bytes", "packet_count", "unique_destinations")) + " FROM x",
+)
+_add(
+    "stratified_split",
+    _on("flows", lambda f: models.stratified_split(f.select("flow_id", "protocol"), "protocol", "flow_id")),
+    duck("flows") + ", p AS (SELECT flow_id, protocol, percent_rank() OVER (PARTITION BY protocol ORDER BY md5(concat('42:', flow_id)), flow_id) AS r FROM flows) SELECT flow_id, protocol, CASE WHEN r < 0.70 THEN 0 WHEN r < 0.85 THEN 1 ELSE 2 END AS part FROM p",
+)
+_add("flow_anomalies", _on("flows", lambda f: models.flow_anomalies(f, cut=0.5)))
+
 # -- alerts
 
 _AL = duck("alerts") + ", al AS (SELECT *, round(100 * price / max(price) OVER (), 4) AS threat_score FROM alerts)"

@@ -315,6 +315,34 @@ _add(
     _REL + ", u AS (SELECT src_ip, relay_ip, count(*) AS uses FROM m GROUP BY ALL) SELECT src_ip, relay_ip, uses, count(*) OVER (PARTITION BY src_ip) AS relays, round(uses / sum(uses) OVER (PARTITION BY src_ip), 4) AS share FROM u",
 )
 
+_add(
+    "relay_c2",
+    _on("flows", lambda f: relay.relay_c2(f, max_cv=2.0, max_gap=1e7)),
+    _REL + """, g AS (SELECT src_ip, relay_ip, start_time - lag(start_time) OVER (PARTITION BY src_ip, relay_ip ORDER BY start_time, flow_id) AS gap FROM m),
+    s AS (SELECT src_ip, relay_ip, avg(gap) AS mg, stddev_samp(gap) AS sd FROM g WHERE gap > 0 AND gap < 1e7 GROUP BY src_ip, relay_ip HAVING count(*) >= 4 AND avg(gap) > 10),
+    n AS (SELECT src_ip, relay_ip, count(*) AS flows FROM m GROUP BY src_ip, relay_ip HAVING count(*) >= 5)
+    SELECT src_ip, relay_ip, flows, round(sd / mg, 4) AS cv FROM n JOIN s USING (src_ip, relay_ip) WHERE round(sd / mg, 4) < 2.0""",
+)
+
+
+def _deviations(flows):
+    """The other sessions' flows against a baseline of four sessions."""
+    usual = F.col("session_id").isin("s0", "s1", "s2", "s3")
+    return hunting.detect_deviations(flows.where(~usual), hunting.build_baseline(flows.where(usual)))
+
+
+_add(
+    "baseline_deviations",
+    _on("flows", _deviations),
+    duck("flows") + """, u AS (SELECT * FROM flows WHERE session_id IN ('s0', 's1', 's2', 's3')), c AS (SELECT * FROM flows WHERE session_id NOT IN ('s0', 's1', 's2', 's3')),
+    m AS (SELECT src_ip, median(total_bytes) AS mb, count(DISTINCT dst_ip) AS destinations FROM u GROUP BY src_ip HAVING count(*) >= 5), d AS (SELECT src_ip, median(abs(total_bytes - mb)) AS mad FROM u JOIN m USING (src_ip) GROUP BY src_ip),
+    n AS (SELECT src_ip, count(*) AS nf, median(total_bytes) AS nb, count(DISTINCT dst_ip) AS nd FROM c GROUP BY src_ip),
+    x AS (SELECT *, CASE WHEN mad = 0 THEN 0.0 ELSE round(0.6745e0 * (nb - mb) / mad, 3) END AS z FROM n JOIN m USING (src_ip) JOIN d USING (src_ip))
+    SELECT src_ip, 'new_endpoint' AS kind, nf::DOUBLE AS value FROM n WHERE src_ip NOT IN (SELECT src_ip FROM m) AND nf > 20
+    UNION ALL SELECT src_ip, 'byte_spike', z FROM x WHERE z > 3
+    UNION ALL SELECT src_ip, 'new_destinations', (nd - destinations)::DOUBLE FROM x WHERE nd - destinations > 5 AND nd > 1.5 * destinations""",
+)
+
 # -- graph
 
 _EDG = duck("flows") + ", e AS (SELECT src_ip AS src, dst_ip AS dst, sum(total_bytes)::BIGINT AS weight, count(*) AS flows FROM flows WHERE src_ip <> dst_ip GROUP BY ALL)"
@@ -400,7 +428,7 @@ _add(
 _add(
     "cef_export",
     _alerts(lambda a: soc.export(a.withColumn("title", F.concat(F.lit("Alert | "), "category")).withColumn("threat_score", F.floor("threat_score")), "cef", severity="critical")),
-    _AL + f""" SELECT alert_id, concat('CEF:0|{soc.VENDOR}|{soc.PRODUCT}|{soc.VERSION}|', category, '|', 'Alert \| ', category, '|10|src=', src_ip, ' dst=', dst_ip, ' act=', status, ' cs1=', alert_id, ' cs1Label=AlertID cfp1=', floor(threat_score)::BIGINT, ' cfp1Label=ThreatScore') AS line FROM al WHERE severity = 'CRITICAL'""",
+    _AL + f""" SELECT alert_id, concat('CEF:0|{soc.VENDOR}|{soc.PRODUCT}|{soc.VERSION}|', category, '|', 'Alert \\| ', category, '|10|src=', src_ip, ' dst=', dst_ip, ' act=', status, ' cs1=', alert_id, ' cs1Label=AlertID cfp1=', floor(threat_score)::BIGINT, ' cfp1Label=ThreatScore') AS line FROM al WHERE severity = 'CRITICAL'""",
 )
 
 

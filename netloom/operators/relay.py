@@ -31,10 +31,10 @@ def relay_persistence(flows: DataFrame, nodes: DataFrame | None = None) -> DataF
     return m.join(t, "src_ip").select("src_ip", "relay_ip", "uses", "relays", F.round(F.col("uses") / F.col("total"), 4).alias("share"))
 
 
-def relay_c2(flows: DataFrame, nodes: DataFrame | None = None, least: int = 5, max_cv: float = 0.35, max_gap: float = 7200.0) -> DataFrame:
+def relay_c2(flows: DataFrame, nodes: DataFrame | None = None, least: int = 5, least_gaps: int = 4, max_cv: float = 0.35, max_gap: float = 7200.0) -> DataFrame:
     """Clients that call a relay at steady intervals."""
     m = match_relay_nodes(flows, nodes).select("flow_id", "relay_ip").join(flows.select("flow_id", "src_ip", "start_time"), "flow_id")
     n = m.groupBy("src_ip", "relay_ip").agg(F.count(F.lit(1)).alias("flows")).where(F.col("flows") >= least)
     g = gaps(m, ["src_ip", "relay_ip"], "start_time", 0.0, "flow_id").where(F.col("gap") < max_gap)
-    g = g.groupBy("src_ip", "relay_ip").agg(F.count(F.lit(1)).alias("k"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s")).where("k >= 4 and m > 10")
+    g = g.groupBy("src_ip", "relay_ip").agg(F.count(F.lit(1)).alias("k"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s")).where((F.col("k") >= least_gaps) & (F.col("m") > 10))
     return n.join(g, ["src_ip", "relay_ip"]).withColumn("cv", F.round(F.col("s") / F.col("m"), 4)).where(F.col("cv") < max_cv).select("src_ip", "relay_ip", "flows", "cv")

@@ -317,11 +317,11 @@ _add(
 
 _add(
     "relay_c2",
-    _on("flows", lambda f: relay.relay_c2(f, max_cv=2.0, max_gap=1e7)),
+    _on("flows", lambda f: relay.relay_c2(f, least=3, least_gaps=2, max_cv=0.9, max_gap=1e9)),
     _REL + """, g AS (SELECT src_ip, relay_ip, start_time - lag(start_time) OVER (PARTITION BY src_ip, relay_ip ORDER BY start_time, flow_id) AS gap FROM m),
-    s AS (SELECT src_ip, relay_ip, avg(gap) AS mg, stddev_samp(gap) AS sd FROM g WHERE gap > 0 AND gap < 1e7 GROUP BY src_ip, relay_ip HAVING count(*) >= 4 AND avg(gap) > 10),
-    n AS (SELECT src_ip, relay_ip, count(*) AS flows FROM m GROUP BY src_ip, relay_ip HAVING count(*) >= 5)
-    SELECT src_ip, relay_ip, flows, round(sd / mg, 4) AS cv FROM n JOIN s USING (src_ip, relay_ip) WHERE round(sd / mg, 4) < 2.0""",
+    s AS (SELECT src_ip, relay_ip, avg(gap) AS mg, stddev_samp(gap) AS sd FROM g WHERE gap > 0 AND gap < 1e9 GROUP BY src_ip, relay_ip HAVING count(*) >= 2 AND avg(gap) > 10),
+    n AS (SELECT src_ip, relay_ip, count(*) AS flows FROM m GROUP BY src_ip, relay_ip HAVING count(*) >= 3)
+    SELECT src_ip, relay_ip, flows, round(sd / mg, 4) AS cv FROM n JOIN s USING (src_ip, relay_ip) WHERE round(sd / mg, 4) < 0.9""",
 )
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import circuits, fingerprints, traffic
+from netloom.operators import circuits, correlation, fingerprints, hunting, traffic
 from netloom.operators import reference as R
-from netloom.plans import fixtures
-from netloom.plans.catalog import _AGG, _MALWARE, _PK, _internal, _on
+from netloom.plans import catalog, fixtures
+from netloom.plans.catalog import _AGG, _AL, _MALWARE, _PK, _alerts, _internal, _on
 from netloom.plans.fixtures import duck
 
 _Q: dict = {}
@@ -148,6 +148,121 @@ _add(
 )
 
 
+# -- correlation of detectors
+
+_DETECTORS = ("beacons", "dga_domains", "exfiltration", "relay_flows", "internal_scans", "dns_tunnels", "ttl_anomalies")
+
+
+def _detected(spark, sf_dir):
+    q = catalog.queries()
+    return correlation.detector_alerts({d: q[d](spark, sf_dir) for d in _DETECTORS})
+
+
+def _over(f):
+    return lambda spark, sf_dir: f(_detected(spark, sf_dir))
+
+
+_S = catalog.oracle_sql()
+_DA = f"""WITH da AS (
+  SELECT 'beacons' AS engine, 'c2' AS category, src_ip, dst_ip, CASE WHEN confidence = 'HIGH' THEN 'CRITICAL' ELSE 'HIGH' END AS severity, CASE WHEN confidence = 'HIGH' THEN 80.0e0 ELSE 60.0e0 END AS score, 'T1071.001' AS technique FROM ({_S['beacons']})
+  UNION ALL SELECT 'dga_domains', 'c2', src_ip, NULL, CASE WHEN score > 0.8 THEN 'HIGH' ELSE 'MEDIUM' END, round(score * 80, 4), 'T1568' FROM ({_S['dga_domains']})
+  UNION ALL SELECT 'exfiltration', 'exfiltration', src_ip, dst_ip, CASE WHEN ratio > 50 THEN 'CRITICAL' ELSE 'HIGH' END, round(least(95.0e0, 50 + ratio), 4), 'T1041' FROM ({_S['exfiltration']})
+  UNION ALL SELECT 'relay_flows', 'tor', src_ip, relay_ip, 'HIGH', 60.0e0, 'T1090.003' FROM ({_S['relay_flows']})
+  UNION ALL SELECT 'internal_scans', 'lateral', src_ip, dst_ip, severity, round(score::DOUBLE, 4), 'T1046' FROM ({_S['internal_scans']})
+  UNION ALL SELECT 'dns_tunnels', 'dns_tunnel', src_ip, NULL, 'HIGH', round(score::DOUBLE, 4), 'T1071.004' FROM ({_S['dns_tunnels']})
+  UNION ALL SELECT 'ttl_anomalies', 'evasion', src_ip, NULL, 'MEDIUM', 40.0e0, 'T1205' FROM ({_S['ttl_anomalies']}))"""
+_STAGE = "CASE category " + " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in correlation.CATEGORY_STAGE.items()) + " END"
+_RANK = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(correlation.CATEGORY_STAGE)) + " END"
+_UN = _DA + f""", u AS (SELECT src_ip AS ip, * FROM da WHERE src_ip IS NOT NULL UNION ALL SELECT dst_ip, * FROM da WHERE dst_ip IS NOT NULL AND dst_ip IS DISTINCT FROM src_ip),
+  g AS (SELECT ip, count(*) AS alerts, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques, arg_min(category, ({_RANK}, category)) AS category,
+    round(least(100.0e0, max(score) + least(20, 8 * (count(DISTINCT engine) - 1))), 1) AS score FROM u GROUP BY ip HAVING count(*) >= 2 OR max(score) >= 80),
+  un AS (SELECT substr(md5(concat(ip, ':', engines)), 1, 12) AS threat_id, *, {_STAGE} AS stage, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 60 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM g)"""
+_TT = "(VALUES " + ", ".join(f"('{k}', '{n}', '{t}', {correlation.TACTICS.index(t)})" for k, (n, t) in correlation.TECHNIQUES.items()) + ") tt(technique, name, tactic, tactic_order)"
+_SR = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END"
+
+_add("detector_alerts", _detected, _DA + " SELECT * FROM da")
+_add("correlated_threats", _over(correlation.unify), _UN + " SELECT * FROM un")
+_add("correlation_summary", _over(lambda a: correlation.summary(correlation.unify(a))), _UN + " SELECT severity, category, count(*) AS threats, round(avg(score), 4) AS mean_score FROM un GROUP BY ALL")
+_add("campaigns", _over(lambda a: correlation.campaigns(a, correlation.unify(a))))
+_add(
+    "technique_map",
+    _over(correlation.technique_map),
+    _DA + f""", x AS (SELECT technique, count(*) AS alerts, count(DISTINCT src_ip) AS sources, max(score) AS score, max({_SR}) AS severity_rank, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines FROM da GROUP BY technique)
+    SELECT x.*, name, tactic, tactic_order FROM x JOIN {_TT} USING (technique)""",
+)
+_add(
+    "tactic_coverage",
+    _over(correlation.tactic_coverage),
+    _DA + f""", s AS (SELECT technique, count(*) AS n FROM da GROUP BY technique) SELECT tactic, tactic_order, count(*) AS known, count(n) AS seen, coalesce(sum(n), 0)::BIGINT AS alerts,
+    coalesce(string_agg(CASE WHEN n > 0 THEN technique END, ',' ORDER BY technique), '') AS techniques FROM {_TT} LEFT JOIN s USING (technique) GROUP BY ALL""",
+)
+_add("navigator_layer", _over(correlation.navigator_layer))
+_add(
+    "attack_chains",
+    _over(correlation.attack_chains),
+    _DA + f""", x AS (SELECT *, CASE WHEN technique = 'T1046' THEN 'reconnaissance' ELSE {_STAGE} END AS stage FROM da),
+    y AS (SELECT *, list_position({list(correlation.STAGES)}, stage) AS pos FROM x WHERE stage IS NOT NULL),
+    g AS (SELECT src_ip AS ip, count(DISTINCT stage) AS n_stages, max(pos) - min(pos) + 1 AS span, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM y GROUP BY ip)
+    SELECT substr(md5(concat('chain:', ip)), 1, 10) AS chain_id, ip, n_stages, stages, techniques, least(100, n_stages * 15 + span * 10) AS score, round(least(1.0, n_stages / 5), 4) AS confidence FROM g WHERE n_stages >= 2""",
+)
+_add("risk_report", _over(lambda a: correlation.risk_report(correlation.unify(a))), _UN + """ SELECT count(*) AS threats, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
+    count(*) FILTER (severity = 'LOW') AS low, max(score) AS top, CASE WHEN max(score) >= 90 THEN 'CRITICAL' WHEN max(score) >= 70 THEN 'HIGH' WHEN max(score) >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM un""")
+_add("stix_objects", _over(lambda a: correlation.to_stix(correlation.unify(a))))
+
+
+def _signals(spark, sf_dir):
+    return correlation.flow_signals(fixtures.flows(spark, sf_dir), _detected(spark, sf_dir), R.malware_ja3(spark))
+
+
+def _hunt(spark, sf_dir):
+    return correlation.hunt(correlation.attack_chains(_detected(spark, sf_dir)), correlation.hypotheses(_signals(spark, sf_dir)), hunting.hunt_outliers(fixtures.flows(spark, sf_dir)))
+
+
+_add("hypotheses", lambda spark, sf_dir: correlation.hypotheses(_signals(spark, sf_dir)))
+_add("hunt_findings", _hunt)
+_add("iocs", lambda spark, sf_dir: correlation.iocs(_detected(spark, sf_dir), fixtures.flows(spark, sf_dir)))
+_add(
+    "similar_flows",
+    _on("flows", correlation.similar_flows),
+    duck("flows") + """, x AS (SELECT *, floor(start_time / 3600) AS h, row_number() OVER (PARTITION BY dst_port, floor(start_time / 3600) ORDER BY start_time, flow_id) AS r, packet_count::DOUBLE AS p, total_bytes / 1e6 AS b, session_duration AS d, dst_port / 65535 AS q FROM flows),
+    s AS (SELECT a.flow_id AS flow_a, b.flow_id AS flow_b, round((a.p * b.p + a.b * b.b + a.d * b.d + a.q * b.q) / (sqrt(a.p * a.p + a.b * a.b + a.d * a.d + a.q * a.q) * sqrt(b.p * b.p + b.b * b.b + b.d * b.d + b.q * b.q)), 4) AS similarity
+      FROM x a JOIN x b ON a.dst_port = b.dst_port AND a.h = b.h AND b.r > a.r AND b.r <= a.r + 49) SELECT * FROM s WHERE similarity >= 0.95""",
+)
+
+# -- triage
+
+_add(
+    "triage",
+    _alerts(lambda a: correlation.triage(a).select("alert_id", "status", "assignee", F.array_join("tags", ",").alias("tags"), F.array_join("actions", ",").alias("actions"))),
+    _AL + """ SELECT alert_id, CASE WHEN threat_score > 85 THEN 'triaged' WHEN severity = 'INFO' THEN 'resolved' WHEN severity = 'CRITICAL' THEN 'escalated' ELSE status END AS status,
+    CASE WHEN threat_score > 85 THEN 'senior_analyst' ELSE assignee END AS assignee, '' AS tags, concat_ws(',', CASE WHEN severity = 'CRITICAL' THEN 'escalate=soc_manager' END, CASE WHEN severity = 'INFO' THEN 'auto_close=auto_triaged' END, CASE WHEN threat_score > 85 THEN 'auto_assign=senior_analyst' END) AS actions FROM al""",
+)
+
+
+def _changes(a):
+    """Two states of each alert: new when it was made, then its status."""
+    return a.select("alert_id", F.lit("new").alias("status"), F.col("created").alias("at")).unionByName(a.where("status <> 'new'").select("alert_id", "status", (F.col("created") + 60).alias("at")))
+
+
+_CH = _AL + ", ch AS (SELECT alert_id, 'new' AS status, created AS \"at\" FROM al UNION ALL SELECT alert_id, status, created + 60 FROM al WHERE status <> 'new')"
+_add("state_changes", _alerts(lambda a: correlation.check_transitions(_changes(a))), _CH + ", b AS (SELECT *, lag(status) OVER (PARTITION BY alert_id ORDER BY \"at\") AS before FROM ch) SELECT *, CASE WHEN before IS NULL THEN status = 'new' ELSE status IN ('triaged', 'resolved') END AS valid FROM b")
+_add("latest_states", _alerts(lambda a: correlation.latest_states(_changes(a))), _CH + " SELECT alert_id, arg_max(status, \"at\") AS status, max(\"at\") AS \"at\" FROM ch GROUP BY alert_id")
+_add(
+    "related_alerts",
+    _alerts(lambda a: correlation.related_alerts(a, a.where("severity = 'CRITICAL' and threat_score > 90"))),
+    _AL + """, p AS (SELECT a.alert_id, b.alert_id AS related_id, round(0.3e0 * (a.session_id = b.session_id)::INT + 0.2e0 * (a.src_ip = b.src_ip)::INT + 0.1e0 * len(list_intersect([a.src_ip, a.dst_ip], [b.src_ip, b.dst_ip])) + 0.2e0 * (a.category = b.category)::INT, 2) AS score
+      FROM al a JOIN al b ON a.alert_id <> b.alert_id AND (a.session_id = b.session_id OR a.src_ip = b.src_ip OR a.src_ip = b.dst_ip OR a.dst_ip = b.src_ip OR a.dst_ip = b.dst_ip) WHERE a.severity = 'CRITICAL' AND a.threat_score > 90),
+    q AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY score DESC, related_id)::INT AS place FROM p WHERE score >= 0.3) SELECT * FROM q WHERE place <= 10""",
+)
+_add("alert_groups", _alerts(lambda a: correlation.timed_groups(a, "src_ip", seconds=30 * 86400.0)))
+_add(
+    "event_timeline",
+    _alerts(lambda a: correlation.event_timeline(a.withColumn("threat_score", F.floor("threat_score")), width=86400)),
+    _AL + """ SELECT floor((created - (SELECT min(created) FROM al)) / 86400)::BIGINT AS bucket, count(*) AS events, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
+    count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, round(avg(floor(threat_score)), 4) AS mean_score FROM al GROUP BY 1""",
+)
+
+
 def queries() -> dict:
     return dict(_Q)
 

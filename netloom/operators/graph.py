@@ -106,3 +106,78 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if not new.where("old <> component").limit(1).count():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def betweenness(edges: DataFrame, sources: int = 50, depth: int = 12) -> DataFrame:
+    """Shortest paths through each node from the ``sources`` smallest nodes, times
+    2 / ((n - 1)(n - 2)).  One join a level out and one back; each level is kept."""
+    spark = edges.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    keep = lambda df: df.checkpoint() if folder else df.cache()
+    e = keep(edges.where("src <> dst").select("src", "dst").distinct())
+    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+    n = nodes.count()
+    start = nodes.orderBy("node").limit(sources)
+    levels = [keep(start.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("source", "node")
+    for _ in range(depth):
+        got = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        nxt = keep(got.join(seen, ["source", "node"], "left_anti"))
+        if not nxt.limit(1).count():
+            break
+        levels.append(nxt)
+        seen = seen.union(nxt.select("source", "node"))
+    share = levels[-1].select("source", "node", "paths", F.lit(0.0).alias("through"))
+    found = []
+    for upper in reversed(levels[:-1]):
+        found.append(share.select("node", "through"))
+        back = share.select("source", F.col("node").alias("dst"), ((1 + F.col("through")) / F.col("paths")).alias("part")).join(e, "dst").groupBy("source", F.col("src").alias("node")).agg(F.sum("part").alias("part"))
+        share = keep(upper.join(back, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("through")))
+    scale = 2.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    total = reduce(DataFrame.unionByName, found or [levels[0].select("node", F.lit(0.0).alias("through"))]).groupBy("node").agg(F.sum("through").alias("t"))
+    return nodes.join(total, "node", "left").select("node", F.round(F.coalesce("t", F.lit(0.0)) * scale, 6).alias("betweenness"))
+
+
+def _inside(c: str):
+    return F.regexp_like(F.col(c), F.lit(r"^(10[.]|192[.]168[.]|172[.])"))
+
+
+def node_roles(edges: DataFrame, between: DataFrame) -> DataFrame:
+    """The first role that fits each node's degrees, betweenness and volume."""
+    d, one = degrees(edges), edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("only"))
+    x = d.join(between, "node", "left").join(one, "node", "left").fillna(0.0, ["betweenness"])
+    c, inside = F.col, _inside("node")
+    role = F.when(~inside & (c("in_degree") > 5) & (c("out_degree") <= 2), "c2_server").when(inside & (c("out_degree") == 1) & (c("degree") > 5) & ~_inside("only"), "c2_client")
+    role = role.when((c("out_degree") > 20) & (c("in_degree") < c("out_degree") * 0.1), "scanner").when((c("betweenness") > 0.1) & (c("degree") > 5), "proxy").when(c("out_weight") > 10_000_000, "data_mover")
+    role = role.when((c("in_degree") > 10) & inside, "server").otherwise("workstation")
+    return x.select("node", role.alias("role"), "in_degree", "out_degree", "betweenness")
+
+
+def c2_candidates(edges: DataFrame, ranks: DataFrame, between: DataFrame, beacons: DataFrame, suspicious: DataFrame, least: int = 20) -> DataFrame:
+    """External nodes by what speaks for a command server: clients, beacons, rank,
+    suspicion (``ip``) and betweenness."""
+    x = edges.where(~_inside("dst")).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"), F.count_if(_inside("src")).alias("clients"))
+    flag = lambda df, col, name: df.select(F.col(col).alias("node"), F.lit(True).alias(name)).distinct()
+    x = x.join(flag(beacons, "dst_ip", "_b"), "node", "left").join(flag(suspicious, "ip", "_s"), "node", "left").join(ranks, "node", "left").join(between, "node", "left")
+    add = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
+    score = add(F.col("clients") > 2, 20) + add(F.col("_b"), 25) + add(F.col("rank") > 0.05, 15) + add(F.col("_s"), 15) + add(F.col("betweenness") > 0.05, 10)
+    role = F.when(F.col("in_degree") > 3, "c2_server").when(F.col("betweenness") > 0.05, "redirector").otherwise("staging")
+    return x.withColumn("score", score).where(F.col("score") > least).select("node", "clients", "score", role.alias("role"))
+
+
+def community_profiles(edges: DataFrame, labels: DataFrame, suspicious: DataFrame, least: int = 3) -> DataFrame:
+    """Size, density, hub, class and score of each community of ``least`` nodes."""
+    d = degrees(edges).join(labels, "node").join(suspicious.select(F.col("ip").alias("node"), F.lit(1).alias("_s")).distinct(), "node", "left")
+    hub = F.max_by(F.struct("node", "out_degree", "in_degree"), F.struct("degree", "node"))
+    g = d.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.avg("degree").alias("mean_degree"), F.coalesce(F.sum("_s"), F.lit(0)).alias("_s"), hub.alias("hub")).where(F.col("nodes") >= least)
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+    e = edges.join(at("src"), "src").join(at("dst"), "dst").where("_src = _dst").groupBy(F.col("_src").alias("label")).agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("bytes"), F.sum("flows").alias("flows"))
+    c = F.col
+    x = g.join(e, "label", "left").fillna(0, ["edges", "bytes", "flows"]).withColumn("density", c("edges") / (c("nodes") * (c("nodes") - 1))).withColumn("odd", c("_s") / c("nodes"))
+    star, mesh = (c("hub.out_degree") > c("nodes") * 0.4) & (c("density") < 0.3), (c("density") > 0.5) & (c("nodes") > 4)
+    fan, stage = (c("hub.out_degree") > 10) & (c("mean_degree") < 2), (c("bytes") > 50_000_000) & (c("hub.in_degree") > c("nodes") * 0.3)
+    kind = F.when(star, "c2_infrastructure").when(mesh, F.when(c("odd") > 0.3, "lateral_movement").otherwise("normal")).when(fan, "scan_network").when(stage, "data_staging").otherwise("normal")
+    score = F.when(star, 30).when(mesh, 25).when(fan, 20).when(stage, 25).otherwise(0) + F.when(c("odd") > 0.5, 20).when(c("odd") > 0.2, 10).otherwise(0) + F.when(c("nodes") > 10, 10).otherwise(0)
+    return x.select("label", "nodes", "edges", "bytes", "flows", c("hub.node").alias("hub"), F.round("mean_degree", 2).alias("mean_degree"), F.round("density", 4).alias("density"), kind.alias("kind"), F.least(F.lit(100), score).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import circuits, correlation, fingerprints, hunting, traffic
+from netloom.operators import circuits, correlation, features, fingerprints, graph, hunting, traffic
 from netloom.operators import reference as R
 from netloom.plans import catalog, fixtures
 from netloom.plans.catalog import _AGG, _AL, _MALWARE, _PK, _alerts, _internal, _on
@@ -263,6 +263,57 @@ _add(
 )
 
 
+# -- features and domain model
+
+_L = "lower(split_part(sni, '.', 1))"
+_CONS = "[bcdfghjklmnpqrstvwxyz]"
+_add(
+    "domain_model",
+    _on("flows", lambda f: features.domain_model(f, "sni")),
+    duck("flows") + f""", a AS (SELECT DISTINCT sni AS domain, {_L} AS l, length({_L}) AS n FROM flows WHERE sni IS NOT NULL),
+    g AS (SELECT *, list_transform(range(1, n), lambda i: substr(l, i, 2)) AS b, list_transform(range(1, n - 1), lambda i: substr(l, i, 3)) AS t FROM a),
+    m AS (SELECT *, round({catalog._entropy('l')}, 4) AS e, round(1 - len(list_filter(b, lambda v: v IN {tuple(features.BIGRAMS)})) / greatest(len(b), 1), 4) AS bi, round(length(regexp_replace(l, '[^bcdfghjklmnpqrstvwxyz]', '', 'g')) / n, 4) AS co,
+      round(length(regexp_replace(l, '[^0-9]', '', 'g')) / n, 4) AS di, round(least(1.0e0, greatest(0.0e0, (n - 8) / 20)), 4) AS le, round(least(1.0e0, coalesce(list_max(list_transform(regexp_extract_all(l, '{_CONS}+'), lambda v: length(v))), 0) / 5), 4) AS ru,
+      round(len(list_distinct(string_split(l, ''))) / n, 4) AS un, round(len(list_distinct(t)) / greatest(len(t), 1), 4) AS tr FROM g),
+    s AS (SELECT *, CASE WHEN n < 3 THEN 0.0e0 ELSE round(least(1.0e0, 0.2e0 * e + 0.2e0 * bi + 0.1e0 * co + 0.15e0 * di + 0.1e0 * le + 0.1e0 * ru + 0.05e0 * (1 - un) + 0.1e0 * tr + CASE WHEN e > 3.5 AND co > 0.65 THEN 0.15e0 ELSE 0.0e0 END + CASE WHEN di > 0.3 THEN 0.1e0 ELSE 0.0e0 END), 4) END AS score FROM m)
+    SELECT domain, score, score >= 0.55 AS is_dga, CASE WHEN score < 0.55 THEN 'benign' WHEN di > 0.5 THEN 'mostly_digits' WHEN n > 20 AND e > 4 THEN 'long_random' WHEN co > 0.75 THEN 'mostly_consonants' WHEN bi > 0.8 THEN 'unusual_pairs' ELSE 'unknown' END AS kind,
+      CASE WHEN score > 0.8 THEN 'HIGH' WHEN score > 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s""",
+)
+_FAN = """e AS (SELECT DISTINCT src_ip, dst_ip FROM flows), fm AS (SELECT ip, sum(o)::BIGINT AS fan_out, sum(i)::BIGINT AS fan_in FROM (SELECT src_ip AS ip, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst_ip, 0, 1 FROM e) GROUP BY ip)"""
+_add("fan_metrics", _on("flows", features.fan_metrics), duck("flows") + f", {_FAN} SELECT *, round(least(1.0e0, 10 * fan_in * fan_out / ((SELECT count(*) FROM fm) ** 2)), 4) AS betweenness FROM fm")
+_add(
+    "movement_scores",
+    _on("flows", features.movement_scores),
+    duck("flows") + f""", f AS (SELECT * FROM flows WHERE {_internal('src_ip')} AND {_internal('dst_ip')}), o AS (SELECT src_ip AS ip, count(DISTINCT dst_ip) AS fan_out, avg((dst_port IN {tuple(R.ADMIN_PORTS)})::INT) AS admin FROM f GROUP BY 1),
+    i AS (SELECT dst_ip AS ip, count(DISTINCT src_ip) AS fan_in FROM f GROUP BY 1), x AS (SELECT ip, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in, coalesce(admin, 0.0e0) AS admin FROM o FULL JOIN i USING (ip))
+    SELECT ip, fan_out, fan_in, round(admin, 4) AS admin_ratio, round(0.3e0 * least(1.0e0, fan_out / 30) + 0.3e0 * admin + 0.3e0 * CASE WHEN fan_out > 0 AND fan_in > 0 THEN 1.0e0 ELSE 0.0e0 END + 0.1e0 * least(1.0e0, fan_in / 10), 4) AS score FROM x""",
+)
+_add("timing_features", _on("packets", lambda p: features.timing(traffic.with_flow_id(p), ["flow_id"])))
+_add("endpoint_features", lambda spark, sf_dir: features.endpoint_features(fixtures.flows(spark, sf_dir), fixtures.packets(spark, sf_dir)))
+_add("timing_sequences", _on("packets", lambda p: features.timing_sequences(traffic.with_flow_id(p))))
+_add("endpoint_clusters", lambda spark, sf_dir: features.clusters(features.endpoint_features(fixtures.flows(spark, sf_dir), fixtures.packets(spark, sf_dir)), "src_ip", ["total_bytes", "total_packets", "port_entropy", "tls_ratio"]))
+
+# -- graph
+
+
+def _c2(spark, sf_dir):
+    e = graph.build_edges(fixtures.flows(spark, sf_dir))
+    alerts = _detected(spark, sf_dir)
+    return graph.c2_candidates(e, graph.page_rank(e), graph.betweenness(e), alerts.where("engine = 'beacons'"), alerts.where("severity = 'CRITICAL'").select(F.col("src_ip").alias("ip")))
+
+
+def _communities(spark, sf_dir):
+    e = graph.build_edges(fixtures.flows(spark, sf_dir))
+    return graph.community_profiles(e, graph.label_propagation(e), _detected(spark, sf_dir).where("severity = 'CRITICAL'").select(F.col("src_ip").alias("ip")))
+
+
+_add("betweenness", _on("flows", lambda f: graph.betweenness(graph.build_edges(f))))
+_add("node_roles", _on("flows", lambda f: graph.node_roles(graph.build_edges(f), graph.betweenness(graph.build_edges(f)))))
+_add("c2_candidates", _c2)
+_add("community_profiles", _communities)
+_add("components", _on("flows", lambda f: graph.connected_components(graph.build_edges(f))))
+
+
 def queries() -> dict:
     return dict(_Q)
 

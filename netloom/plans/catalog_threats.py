@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import circuits, correlation, features, fingerprints, graph, hunting, traffic
+from netloom.operators import circuits, correlation, features, fingerprints, graph, hunting, traffic, views
 from netloom.operators import reference as R
 from netloom.plans import catalog, fixtures
 from netloom.plans.catalog import _AGG, _AL, _MALWARE, _PK, _alerts, _internal, _on
@@ -314,6 +314,27 @@ _add("community_profiles", _communities)
 _add("components", _on("flows", lambda f: graph.connected_components(graph.build_edges(f))))
 
 
+# -- views
+
+_add(
+    "session_summary",
+    _on("flows", views.session_summary),
+    duck("flows") + """ SELECT session_id, count(*) AS flows, sum(total_bytes)::BIGINT AS bytes, sum(packet_count)::BIGINT AS packets, count(DISTINCT src_ip) AS sources, count(DISTINCT dst_ip) AS destinations, count(*) FILTER (protocol = 'TLS') AS tls_flows,
+    count(*) FILTER (protocol = 'DNS') AS dns_flows, count(DISTINCT sni) AS names, count(DISTINCT ja3) AS fingerprints, min(start_time) AS first_seen, max(start_time + session_duration) AS last_seen FROM flows GROUP BY session_id""",
+)
+_add("severity_breakdown", _over(views.severity_breakdown), _DA + " SELECT severity, count(*) AS alerts, max(score) AS top_score, count(DISTINCT technique) AS techniques FROM da GROUP BY severity")
+_add("top_techniques", _over(views.top_techniques), _DA + " SELECT technique, count(*) AS alerts FROM da GROUP BY technique ORDER BY alerts DESC, technique LIMIT 10")
+_add("category_timeline", _alerts(views.category_timeline), _AL + " SELECT (floor(created / 60) * 60)::BIGINT AS bucket, category, severity, count(*) AS alerts FROM al GROUP BY ALL")
+_add("fingerprint_names", _on("flows", views.fingerprint_names), duck("flows") + " SELECT ja3, sni, tls_version, count(*) AS flows, sum(total_bytes)::BIGINT AS bytes FROM flows WHERE ja3 IS NOT NULL GROUP BY ALL")
+_add(
+    "endpoint_matrix",
+    _on("flows", views.endpoint_matrix),
+    duck("flows") + """, x AS (SELECT src_ip, sum(total_bytes)::BIGINT AS b, count(*) AS f, count(DISTINCT dst_ip) AS d, count(DISTINCT dst_port) AS p FROM flows GROUP BY src_ip),
+    m AS (SELECT src_ip, b, round(b / max(b) OVER (), 4) AS bytes, round(f / max(f) OVER (), 4) AS flows, round(d / max(d) OVER (), 4) AS destinations, round(p / max(p) OVER (), 4) AS ports FROM x)
+    SELECT src_ip, bytes, flows, destinations, ports FROM m ORDER BY b DESC, src_ip LIMIT 30""",
+)
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -45,3 +45,14 @@ def test_results_and_idempotent_alerts(spark, tmp_path):
     for _ in range(2):
         events.insert_new_alerts(alerts, str(tmp_path / "a"))
     assert spark.read.parquet(str(tmp_path / "a")).count() == 2
+
+
+def test_counts(spark):
+    from netloom.operators import tls, views
+
+    i = spark.createDataFrame([("ip", "a"), ("ip", "b"), ("domain", None)], "ioc_type string, source string")
+    assert {(r.ioc_type, r.indicators, r.sources) for r in views.indicator_counts(i).collect()} == {("ip", 2, 2), ("domain", 1, 0)}
+    n = spark.createDataFrame([("1", "exit"), ("1", "exit"), ("2", "guard")], "ip string, node_type string")
+    assert {(r.node_type, r.nodes) for r in views.node_counts(n).collect()} == {("exit", 1), ("guard", 1)}
+    f = spark.createDataFrame([("f", "a", "b", "eb1d94daa7e0344597e756a1fb6e117a", None), ("g", "a", "b", None, "x")], "flow_id string, src_ip string, dst_ip string, ja3 string, ja3s string")
+    assert [(r.flow_id, r.tool) for r in tls.detect_mitm(f).collect()] == [("f", "Burp Suite")]

@@ -251,10 +251,15 @@ def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each cluster: the one with the least id.
-    Rows that repeat an id are one document."""
-    joined = written(jaccard_join(docs, id_col, text_col, **how).select(id_col, "cluster_id"))
-    gone = joined.where(F.col("cluster_id") < F.col(id_col)).select(id_col).distinct()
-    repeated = joined.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    """``docs`` with one row of each cluster: the one with the least id, rows
+    without an id last.  Each row takes part under a name of its own, so different
+    texts without an id, or under one id, are told apart."""
+    name = "_keep_one_row"
+    # the name is stored, so that a task that runs again finds the same one
+    named = written(docs.withColumn(name, F.monotonically_increasing_id()))
+    joined = jaccard_join(named, name, text_col, **how).select(name, "cluster_id")
+    order = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.col(name).alias("row"))
+    ids = named.select(name, order.alias("order"))
+    best = ids.join(joined.hint("merge"), name).groupBy("cluster_id").agg(F.min("order").alias("best"))
+    stay = written(best.select(F.col("best.row").alias(name)))
+    return named.join(stay.hint("merge"), name, "left_semi").select(*docs.columns)

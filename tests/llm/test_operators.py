@@ -252,6 +252,15 @@ def test_jaccard_join(spark, odd, none, block):
         assert kept.columns == odd.columns and kept.where("doc_id = 3").count() <= 1
 
 
+def test_keep_one_without_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    data = [(None, one), (None, two), (None, two), (None, three), (5, three), (7, one + " more"), (9, "alone in this text"), (9, "another text with that id"), (9, "alone in this text")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = collections.Counter(map(tuple, jaccard_join.keep_one(df).collect()))
+    assert got == collections.Counter([(None, two), (5, three), (7, one + " more"), (9, "alone in this text"), (9, "another text with that id")])
+    assert jaccard_join.keep_one(df.limit(0)).count() == 0
+
+
 def test_forest_depth_shortens():
     assert jaccard_join.forest_depth(0.8, 40, 12, 0.9999) == 7
     assert jaccard_join.forest_depth(0.8, 40, 12, 0.9) > 7

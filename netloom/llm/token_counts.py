@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import written
 from netloom.llm.pieces import PieceBPE
 
 CHUNK_CHARS = 1 << 18
@@ -119,6 +120,21 @@ def _transducer(path: str) -> CountTransducer:
 _HELD = None
 
 
+def giant_chunks(giants: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """``row, id, n_bytes, k, chunk`` of ``id, text, n_bytes``.  A giant's name is
+    written with it, so that a task that runs again deals it under the same one."""
+    id_type = giants.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row, key, text, n in zip(pdf["row"], pdf["id"], pdf["text"], pdf["n_bytes"], strict=True):
+                for k, c in enumerate(chunks_of(text, chunk_chars)):
+                    yield pd.DataFrame({"row": [row], "id": pd.Series([key], dtype=pdf["id"].dtype), "n_bytes": [n], "k": [k], "chunk": [c]})
+
+    named = written(giants.withColumn("row", F.monotonically_increasing_id()))
+    return named.mapInPandas(cut, f"row long, id {id_type}, n_bytes long, k int, chunk string")
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per document: ``id_col``, n_bytes, n_tokens.
 
@@ -135,15 +151,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "n_bytes": pdf["n_bytes"], "n_tokens": machine.count([*pdf["text"]])})
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        for pdf in batches:
-            for key, text, n in zip(pdf["id"], pdf["text"], pdf["n_bytes"], strict=True):
-                row = uuid.uuid4().hex
-                for k, c in enumerate(chunks_of(text, chunk_chars)):
-                    yield pd.DataFrame({"row": [row], "id": pd.Series([key], dtype=pdf["id"].dtype), "n_bytes": [n], "k": [k], "chunk": [c]})
-
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = _transducer(tokenizer_path)
         for pdf in batches:
@@ -160,7 +167,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     out = f"id {id_type}, n_bytes long, n_tokens long"
     with_bytes = lambda x: x.withColumn("n_bytes", F.octet_length("text").cast("long"))
     short = with_bytes(small).mapInPandas(whole, out)
-    cuts = with_bytes(giant).mapInPandas(cut, f"row string, id {id_type}, n_bytes long, k int, chunk string")
-    mapped = cuts.repartition("row", "k").mapInPandas(maps, f"row string, id {id_type}, n_bytes long, k int, head string, count long, tail string")
+    cuts = giant_chunks(with_bytes(giant), chunk_chars)
+    mapped = cuts.repartition("row", "k").mapInPandas(maps, f"row long, id {id_type}, n_bytes long, k int, head string, count long, tail string")
     long = mapped.groupBy("row").applyInPandas(combine, out)
     return short.unionByName(long).withColumnRenamed("id", id_col)

@@ -315,6 +315,14 @@ def test_token_counts(spark, odd, none, chunk):
     assert token_counts.token_counts(none, BYTE).count() == 0
 
 
+def test_giants_keep_their_names(spark):
+    # every run of the cutting tasks, as after a lost executor, deals the same names
+    giants = spark.createDataFrame([(None, "a b c " * 9, 54), (1, "d e f " * 9, 54), (1, "d e f " * 9, 54)], "id long, text string, n_bytes long").repartition(3)
+    chunks = token_counts.giant_chunks(giants, 10)
+    first, again = ({tuple(r) for r in chunks.collect()} for _ in range(2))
+    assert first == again and len(first) == 18 and len({r[0] for r in first}) == 3
+
+
 def test_pieces_like_library():
     rng = random.Random(1)
     byte, word = token_counts.CountTransducer(BYTE), token_output.TextEncoder(WORD, "<u2")

@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ LIST_BOUNDS = frozenset("ul ol menu dl table select".split())
 SIDE_TAGS = frozenset("nav header footer aside form menu dialog button select".split()) | RAW | {"head"}
 SIDE_WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|adbox|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|notice|cookie|cookies|consent|gdpr|popup|modal|overlay|alert|newsletter|subscribe|signup|login|comment|comments|reply|replies|disqus|respond|related|recommended|share|sharing|social|pagination|pager|hidden|toolbar|skip)(?:$|[\s_-])")
 MAIN_TAGS = ("article", "main")
+# Elements that hold blocks of an article; any other is part of its text.
+CONTAINERS = frozenset("html body div section article main center".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _CLASS = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -155,28 +158,58 @@ def block_texts(html: str, wanted) -> Iterator[str]:
         yield text
 
 
-def page_tokens(html: str) -> dict[str, tuple[int, int, int]]:
+def page_slots(html: str) -> dict[str, tuple[int, int, int, int]]:
     """For each role of a page: how often it opens, the position at which it
-    first opens, and the characters of text directly in it."""
-    count, first, chars = Counter(), {}, Counter()
+    first opens, the characters of text directly in it and a hash of that text."""
+    count, first, chars, held = Counter(), {}, Counter(), {}
     for i, (kind, path, text) in enumerate(walk(html)):
         if kind == "open":
             role = ">".join(path)
             count[role] += 1
             first.setdefault(role, i)
         elif kind == "text" and path:
-            chars[">".join(path)] += len(text.strip())
-    return {r: (n, first[r], chars[r]) for r, n in count.items()}
+            if text := text.strip():
+                role = ">".join(path)
+                chars[role] += len(text)
+                held.setdefault(role, xxhash.xxh3_64()).update(text.encode("utf-8", "surrogatepass") + b"\0")
+    signed = lambda h: h - (1 << 63)
+    return {r: (n, first[r], chars[r], signed(held[r].intdigest()) if r in held else 0) for r, n in count.items()}
+
+
+def page_tokens(html: str) -> dict[str, tuple[int, int, int]]:
+    """``page_slots`` without the hashes."""
+    return {r: v[:3] for r, v in page_slots(html).items()}
+
+
+def _name(role: str) -> str:
+    return re.split(r"[.#\[]", role, maxsplit=1)[0]
+
+
+def region_of(slots: list[str]) -> list[str]:
+    """The deepest container that holds all of ``slots``: their common ancestor,
+    never a block or a phrase of the text itself.  Empty if there is none."""
+    paths = [r.split(">") for r in slots]
+    out = []
+    for parts in zip(*paths, strict=False):
+        if len(set(parts)) > 1 or _name(parts[0]) not in CONTAINERS:
+            break
+        out.append(parts[0])
+    return [">".join(out)] if out else []
 
 
 def nest(rows, n_pages: int) -> dict:
     """The template of a host from rows (role, vector, pages, total, position,
-    chars): valid classes, each with its roles in order and the class it lies in,
-    and the roles that hold the article (``main``)."""
+    chars and, if known, whether the text differs between pages): valid classes,
+    each with its roles in order and the class it lies in, and the roles that hold
+    the article (``main``).  Where no article or main tag holds it, ``fixed`` are
+    the roles outside that hold the same text on every page; else it is None."""
     enough = max(MIN_PAGES, MIN_SUPPORT * n_pages)
     classes: dict = {}
-    for role, vector, pages, total, position, chars in rows:
+    varying = []
+    for role, vector, pages, total, position, chars, *differs in rows:
         if pages >= enough:
+            if differs and differs[0]:
+                varying.append(role)
             classes.setdefault((pages, vector), []).append((position, role, total, chars))
     # Roles from the outermost in.  A role joins its parent's class if their vectors
     # are equal; else it belongs to the class of its vector that lies in its parent's
@@ -200,20 +233,31 @@ def nest(rows, n_pages: int) -> dict:
     named = [r for r in regions if re.split(r"[.#\[]", r.rpartition(">")[2])[0] in MAIN_TAGS and below[r]]
     if named:  # the outermost article or main
         main = [r for r in named if not any(r.startswith(o + ">") for o in named if o != r)]
-    else:  # the deepest region with nearly all of the text in the slots
-        good = [r for r in regions if whole and below[r] >= 0.8 * whole]
-        main = [max(good, key=lambda r: (r.count(">"), r))] if good else []
-    return {"template": template, "main": sorted(main)}
-
-
-def extractor(main: list[str]):
-    """Main text of a page, given the article roles of its host's template."""
+        return {"template": template, "main": sorted(main), "fixed": None}
+    varying = [r for r in varying if r in slots]
+    if varying:
+        main = region_of(varying)
+        inside = lambda r: not main or r == main[0] or r.startswith(main[0] + ">")
+        return {"template": template, "main": main, "fixed": sorted(r for r in slots if r not in varying and not inside(r))}
+    # no text is known to differ: the deepest region with nearly all of it, and nothing is fixed
+    good = [r for r in regions if whole and below[r] >= 0.8 * whole]
+    main = [max(good, key=lambda r: (r.count(">"), r))] if good else []
+    return {"template": template, "main": main, "fixed": []}
+
+
+def extractor(main: list[str], fixed: list[str] | None = None):
+    """Main text of a page, given the article roles of its host's template.  With
+    ``fixed`` it is all text but that of side roles and of those roles, so that a
+    block that few pages have stays wherever it lies."""
+    boiler = None if fixed is None else {tuple(r.split(">")) for r in fixed}
     mains = [tuple(r.split(">")) for r in main]
 
     def text_of(html: str | None) -> str:
         if not html:
             return ""
         clean = lambda p: not any(map(is_side, p))
+        if boiler is not None:
+            return " ".join(block_texts(html, lambda p: p not in boiler and clean(p)))
         if mains:
             got = " ".join(block_texts(html, lambda p: any(p[: len(m)] == m for m in mains) and clean(p)))
             if got:
@@ -225,7 +269,7 @@ def extractor(main: list[str]):
 
 
 def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", with_classes: bool = False) -> DataFrame:
-    """``host, n_pages, main`` (and ``template``, JSON) for every host with enough
+    """``host, n_pages, main, fixed`` (and ``template``, JSON) for every host with enough
     pages for a template."""
     import json
 
@@ -236,30 +280,30 @@ def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
         for pdf in batches:
             out = []
             for host, html, page in zip(pdf["host"], pdf["html"], pdf["page"], strict=True):
-                out += [(host, r, page, *v) for r, v in page_tokens(html).items()]
-            yield pd.DataFrame(out, columns=["host", "role", "page", "n", "position", "chars"])
+                out += [(host, r, page, *v) for r, v in page_slots(html).items()]
+            yield pd.DataFrame(out, columns=["host", "role", "page", "n", "position", "chars", "text"])
 
-    seen = rows.mapInPandas(tokens, "host string, role string, page long, n int, position int, chars long")
-    vectors = seen.groupBy("host", "role").agg(F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"), F.sum("position").alias("position"), F.sum("chars").alias("chars"))
+    seen = rows.mapInPandas(tokens, "host string, role string, page long, n int, position int, chars long, text long")
+    vectors = seen.groupBy("host", "role").agg(F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"), F.sum("position").alias("position"), F.sum("chars").alias("chars"), (F.min("text") < F.max("text")).alias("differs"))
     n_pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
     frequent = vectors.join(n_pages, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), MIN_SUPPORT * F.col("n_pages")))
     # At most (mean roles of a page / MIN_SUPPORT) rows a host are left to gather.
-    gathered = frequent.groupBy("host", "n_pages").agg(F.collect_list(F.struct("role", "vector", "pages", "total", (F.col("position") / F.col("pages")).alias("position"), "chars")).alias("rows"))
+    gathered = frequent.groupBy("host", "n_pages").agg(F.collect_list(F.struct("role", "vector", "pages", "total", (F.col("position") / F.col("pages")).alias("position"), "chars", "differs")).alias("rows"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [nest([(r["role"], r["vector"], r["pages"], r["total"], r["position"], r["chars"]) for r in rows], n) for rows, n in zip(pdf["rows"], pdf["n_pages"], strict=True)]
+            made = [nest([(r["role"], r["vector"], r["pages"], r["total"], r["position"], r["chars"], r["differs"]) for r in rows], n) for rows, n in zip(pdf["rows"], pdf["n_pages"], strict=True)]
             text = [json.dumps([{"pages": k[0][0], "roles": v["roles"], "in": (m["template"].get(v["in"]) or {}).get("roles", [None])[0]} for k, v in m["template"].items()]) if with_classes else "" for m in made]
-            yield pd.DataFrame({"host": pdf["host"], "n_pages": pdf["n_pages"], "main": [m["main"] for m in made], "template": text})
+            yield pd.DataFrame({"host": pdf["host"], "n_pages": pdf["n_pages"], "main": [m["main"] for m in made], "fixed": [m["fixed"] for m in made], "template": text})
 
-    out = gathered.mapInPandas(build, "host string, n_pages long, main array<string>, template string")
+    out = gathered.mapInPandas(build, "host string, n_pages long, main array<string>, fixed array<string>, template string")
     return out if with_classes else out.drop("template")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row per page: ``id_col``, url, text, n_chars."""
     templates = written(host_templates(pages, url_col, html_col).drop("n_pages"))
-    size = templates.agg(F.sum(F.octet_length("host") + F.octet_length(F.concat_ws(" ", "main")) + 64)).first()[0] or 0
+    size = templates.agg(F.sum(F.octet_length("host") + F.octet_length(F.concat_ws(" ", "main", "fixed")) + 64)).first()[0] or 0
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if size <= max_broadcast_bytes:
         joined = rows.join(F.broadcast(templates), "host", "left")
@@ -272,14 +316,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         held: dict[tuple, object] = {}
         for pdf in batches:
             texts = []
-            for html, main in zip(pdf["html"], pdf["main"], strict=True):
-                key = () if main is None else tuple(main)
+            for html, main, fixed in zip(pdf["html"], pdf["main"], pdf["fixed"], strict=True):
+                key = (() if main is None else tuple(main), None if fixed is None else tuple(fixed))
                 if key not in held:
                     if len(held) > 1000:
                         held.clear()
-                    held[key] = extractor([*key])
+                    held[key] = extractor([*key[0]], key[1])
                 texts.append(held[key](html))
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts})
 
-    got = joined.select("id", "url", "html", "main").mapInPandas(run, f"id {id_type}, url string, text string")
+    got = joined.select("id", "url", "html", "main", "fixed").mapInPandas(run, f"id {id_type}, url string, text string")
     return got.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))

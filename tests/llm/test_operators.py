@@ -87,6 +87,17 @@ def test_template_without_article_tag():
     assert got["main"] == ["html>body>div.c1>p"]
 
 
+def test_whole_article_without_article_tag(spark):
+    page = "<html><body><div class='top'>Site</div><div class='c1'><h1>head {0}</h1><div class='b'><p>{1}</p></div><ul><li>item {0}</li></ul><blockquote>said {0}</blockquote>{2}</div>{3}<div class='menu'>x</div></body></html>"
+    odd = lambda i: ("<table><tr><td>cell</td></tr></table>", "<div class='z'>after</div>") if i == 3 else ("", "")
+    pages = [(i, f"http://n.example/{i}", page.format(i, "long text " * (i + 30), *odd(i))) for i in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {i: " ".join(f"head {i} {'long text ' * (i + 30)} item {i} said {i} {'cell after' if i == 3 else ''}".split()) for i in range(6)}
+    assert {r.page_id: r.text for r in html_extraction.extract_text(df).collect()} == want
+    got = html_extraction.host_templates(df).first()
+    assert got.main == ["html>body>div.c1"] and got.fixed == ["html>body>div.top"]
+
+
 def test_warc_round_trip(spark):
     big = "é" * 200
     data = [(1, "http://a/?q=1", big, 0), (2, None, big, 0), (3, "u\r\nv", None, 0), (None, "n", big, 0), (5, "b", "short", 0), (6, "b", "short", 0), (1, "http://a/?q=1", big, 0)]

@@ -1,35 +1,49 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from a template.  A page is a sequence of tokens; a tag's
-token is its role, the path of tag names (with class or id) that leads to it, so
-that equal tags in different places are told apart.  A token's *occurrence
-vector* holds how often it occurs in each page of the host.  Tokens with equal
-vectors form an equivalence class; classes that occur in enough pages and whose
-tokens keep one order and nest properly are valid, and nest into the template:
-a class lies in the class of its roles' parent.  What varies between the tokens
-of the template are its slots.  The slots below the template's article region
-are the text; slots of menus, notices and the like are not.
-
-Vectors are never gathered: a vector is a sum of hashes over (page, count),
-aggregated with partial sums, so a host with a third of all pages is like any
-other.  A host's template (tens of roles) is joined back to its pages by a
-broadcast whose size is checked, or by a salted shuffle join beyond it.
-
-Pages of hosts with too few pages, and pages that their template doesn't fit,
-are read by the roles that HTML itself gives (article or main, else the body).
-
-Defined results: null, empty or unparsable html gives an empty text; a null url
-is a host of its own; repeated rows each get their row; text is never cut.
+Pages of one host come from a template.  A page is a sequence of tokens: a tag's
+token is its role (the path of tags, with class or id, that leads to it), a word's
+token is the word within its role.  A token's *occurrence vector* holds how often
+it occurs in each page of the host.
+
+1. *Vectors.*  A vector is a sum of hashes over (page, count), so it is aggregated
+   with partial sums and never gathered: a host with a third of all pages is like
+   any other.  Only tokens on at least ``MIN_SUPPORT`` of a host's pages go on.
+2. *Order.*  Tokens with equal vectors form an equivalence class.  Every page is
+   checked against the one order of each of its classes; a token that stands out of
+   that order on more than ``MAX_DISORDER`` of the pages leaves its class.
+3. *Nesting.*  A class lies in the class of the roles around it: tokens with equal
+   vectors below different classes are different classes.  Classes of at least
+   ``MIN_TOKENS`` tokens are valid and nest into the template.
+4. *Slots.*  What varies between template tokens are slots.  The article is the
+   region, opened by a tag of a valid class, that holds the slots: the outermost
+   ``article`` or ``main`` of the template where there is one, else the container
+   reached from the body by going into the part with most of the slots' words (words
+   in links aside) until its own parts are headings, paragraphs and the like.
+
+The text of a page is that of its region.  In a region found by slots, blocks made
+of template words only and blocks of links are left out, and blocks whose role the
+template doesn't know stay wherever they lie.  Roles that HTML or common class names
+mark as no article text (menus, notices, comments) are left out everywhere.  Pages
+of hosts with too few pages, and pages that their template doesn't fit, are read by
+HTML's own roles (article or main, else the body).
+
+Reading a page is linear in its length: roles are hashes, open elements are found by
+name without a search.  Defined results: null, empty or unparsable html gives an
+empty text; null urls are one host; repeated rows each get their row; ids of any
+type come back unchanged; text is never cut.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as htmllib
+import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,293 +51,560 @@ from pyspark.sql import functions as F
 from netloom.llm.common import written
 from netloom.llm.url_filters import host_of
 
-#: A class counts as part of a template when this share of the host's pages has it.
+#: A token counts as part of a template when this share of the host's pages has it,
 MIN_SUPPORT = 0.5
 #: and at least so many pages.
 MIN_PAGES = 3
+#: A valid class has so many tokens.
+MIN_TOKENS = 3
+#: Share of pages on which a token may stand out of its class's order.
+MAX_DISORDER = 0.05
+#: A region holds at least this share of the slots around it.
+MIN_SHARE = 0.5
+#: A role holds links where this share of its words is in links.
+LINK_SHARE = 0.9
 #: Bound for the broadcast of templates.
 MAX_BROADCAST_BYTES = 16 << 20
 SALTS = 32
+MAX_HELD = 300_000
+FLUSH_TOKENS = 1 << 20
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object noframes xmp".split())
 CLOSES_P = BLOCK - {"br", "option", "optgroup", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-CLOSED_BY_OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-LIST_BOUNDS = frozenset("ul ol menu dl table select".split())
+CLOSED_BY_OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LIST_BOUNDS = tuple("ul ol menu dl table select".split())
 # Roles that HTML or common class names mark as no article text.
 SIDE_TAGS = frozenset("nav header footer aside form menu dialog button select".split()) | RAW | {"head"}
 SIDE_WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|adbox|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|notice|cookie|cookies|consent|gdpr|popup|modal|overlay|alert|newsletter|subscribe|signup|login|comment|comments|reply|replies|disqus|respond|related|recommended|share|sharing|social|pagination|pager|hidden|toolbar|skip)(?:$|[\s_-])")
 MAIN_TAGS = ("article", "main")
-# Elements that hold blocks of an article; any other is part of its text.
+# Elements that hold blocks; any other is part of a text.
 CONTAINERS = frozenset("html body div section article main center".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_VALUE = re.compile(r"=\s*[\"']|>")
 _CLASS = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)", re.I | re.A) for n in RAW}
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _role(name: str, attrs: str) -> str:
+def label_of(name: str, attrs: str) -> str:
+    """An element's own part of a role: its name with class and role, else id."""
     if not attrs or attrs.isspace():
         return name
     marks = {k.lower(): " ".join((a or b or c).split()) for k, a, b, c in _CLASS.findall(attrs)}
-    out = name + (f".{marks['class']}" if marks.get("class") else "")
-    return out + (f"[{marks['role']}]" if marks.get("role") else "") if marks.get("class") or marks.get("role") else name + (f"#{re.sub('[0-9]+', '0', marks['id'])}" if marks.get("id") else "")
+    if marks.get("class") or marks.get("role"):
+        return name + (f".{marks['class']}" if marks.get("class") else "") + (f"[{marks['role']}]" if marks.get("role") else "")
+    return name + (f"#{re.sub('[0-9]+', '0', marks['id'])}" if marks.get("id") else "")
 
 
-def is_side(role: str) -> bool:
-    """Whether a role's own name marks it as no article text."""
-    name = re.split(r"[.#\[]", role, maxsplit=1)[0]
-    return name in SIDE_TAGS or (len(role) > len(name) and bool(SIDE_WORDS.search(re.sub(r"[.#\[\]]", " ", role[len(name) :]))))
+def name_of(label: str) -> str:
+    return re.split(r"[.#\[]", label, maxsplit=1)[0]
 
 
-def walk(html: str) -> Iterator[tuple[str, tuple, str]]:
-    """Events of a page in order: ("open", path, ""), ("break", path, "") at the
-    edge of a block, ("text", path, raw text)."""
-    path: list[str] = []
+def is_side(label: str) -> bool:
+    """Whether an element's own label marks it as no article text."""
+    name = name_of(label)
+    return name in SIDE_TAGS or (len(label) > len(name) and bool(SIDE_WORDS.search(re.sub(r"[.#\[\]]", " ", label[len(name) :]))))
+
+
+def walk(html: str, root, enter) -> Iterator[tuple[str, object, str]]:
+    """Events of a page in order: ("open", state, ""), ("break", state, "") at the
+    edge of a block, ("text", state, raw text).  An element's state is
+    ``enter(state around it, label)``.  Linear in the page's length: an unclosed
+    quote ends at the tag's first ``>``, and quotes count no more from there on."""
     names: list[str] = []
-    at, end = 0, len(html)
+    states = [root]
+    blocks = [0]  # of the elements up to each depth
+    where: dict[str, list[int]] = {}
+    text = pos = 0
+    end, last, quotes, cdata = len(html), html.rfind(">"), True, True
 
     def pop_to(i: int) -> bool:
-        block = any(n in BLOCK for n in names[i:])
-        del names[i:], path[i:]
+        block = blocks[-1] > blocks[i]
+        while len(names) > i:
+            where[names.pop()].pop()
+        del states[i + 1 :], blocks[i + 1 :]
         return block
 
-    while at < end:
-        m = _TAG.search(html, at)
-        stop = m.start() if m else end
-        if stop > at:
-            yield "text", tuple(path), html[at:stop]
+    def innermost(kinds) -> int:
+        return max((where[k][-1] for k in kinds if where.get(k)), default=-1)
+
+    while True:
+        pos = html.find("<", pos)
+        if pos < 0:
+            break
+        kind, inner = html[pos + 1 : pos + 2], None
+        m = None
+        if kind in ("!", "?"):
+            if html.startswith("<!--", pos):
+                stop = html.find("-->", pos + 4) + 3
+                stop = end if stop == 2 else stop
+            else:
+                stop = -1
+                if cdata and html.startswith("<![CDATA[", pos):
+                    stop = html.find("]]>", pos + 9)
+                    cdata = stop >= 0
+                    inner = html[pos + 9 : stop] if cdata else None
+                    stop += 3 if cdata else 0
+                if stop < 0:
+                    if pos > last:
+                        break
+                    stop = html.find(">", pos) + 1
+        else:
+            if pos > last:
+                break
+            m = _NAME.match(html, pos + 1 + (kind == "/"))
+            if not m:
+                pos += 1
+                continue
+            stop = at = m.end()
+            while quotes:
+                v = _VALUE.search(html, at)
+                if v and html[v.end() - 1] == ">":
+                    stop = v.end() - 1
+                    break
+                at = html.find(html[v.end() - 1], v.end()) + 1 if v else 0
+                quotes = at > 0
+            if not quotes:
+                stop = html.find(">", stop)
+            attrs, stop = html[m.end() : stop], stop + 1
+        if pos > text:
+            yield "text", states[-1], html[text:pos]
+        text = pos = stop
         if m is None:
-            return
-        at = m.end()
-        close, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                yield "text", tuple(path), m[0][9:-3].replace("&", "&amp;")
+            if inner:
+                yield "text", states[-1], inner.replace("&", "&amp;")
             continue
-        name = name.lower()
-        if close:
-            if name in names:
-                i = len(names) - 1 - names[::-1].index(name)
-                if name in BLOCK or not any(n in BLOCK for n in names[i + 1 :]):
-                    if pop_to(i):
-                        yield "break", tuple(path), ""
+        name = m[0].lower()
+        if kind == "/":
+            if where.get(name):
+                i = where[name][-1]
+                if (name in BLOCK or blocks[-1] == blocks[i + 1]) and pop_to(i):
+                    yield "break", states[-1], ""
             continue
         if name in VOID or attrs.endswith("/") and name in ("svg", "path", "math"):
             if name in BLOCK:
-                yield "break", tuple(path), ""
+                yield "break", states[-1], ""
             continue
-        if name in CLOSES_P and "p" in names:
-            pop_to(len(names) - 1 - names[::-1].index("p"))
+        if name in CLOSES_P and where.get("p"):
+            pop_to(where["p"][-1])
         if name in CLOSED_BY_OWN_KIND:
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in CLOSED_BY_OWN_KIND[name]:
-                    pop_to(i)
-                    break
-                if names[i] in LIST_BOUNDS:
-                    break
+            i = innermost(CLOSED_BY_OWN_KIND[name])
+            if i > innermost(LIST_BOUNDS):
+                pop_to(i)
         if name in BLOCK:
-            yield "break", tuple(path), ""
+            yield "break", states[-1], ""
+        where.setdefault(name, []).append(len(names))
         names.append(name)
-        path.append(_role(name, attrs))
-        yield "open", tuple(path), ""
+        blocks.append(blocks[-1] + (name in BLOCK))
+        states.append(enter(states[-1], label_of(name, attrs)))
+        yield "open", states[-1], ""
         if name in RAW:
-            close_at = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            at = close_at.end() if close_at else end
+            close = _RAW_END[name].search(html, pos)
+            stop = html.find(">", close.end()) + 1 if close else 0
+            text = pos = stop or end
             pop_to(len(names) - 1)
-
-
-def block_texts(html: str, wanted) -> Iterator[str]:
-    """Texts of the blocks whose path ``wanted`` accepts: references decoded,
-    white space turned into one space, trimmed, empty ones left out."""
-    held: list[str] = []
-    known: dict[tuple, bool] = {}
-
-    def out():
-        text = " ".join(htmllib.unescape("".join(held)).split())
+    if text < end:
+        yield "text", states[-1], html[text:]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Reader:
+    """Tokens of pages.  A role is a tuple (hash, side, in a link, parent's hash,
+    label); roles and words met are held, ``MAX_HELD`` at most."""
+
+    ROOT = (0, False, False, 0, "")
+
+    def __init__(self):
+        self.roles: dict[tuple[int, str], tuple] = {}
+        self.words: dict[str, int] = {}
+
+    def enter(self, above: tuple, label: str) -> tuple:
+        got = self.roles.get((above[0], label))
+        if got is None:
+            if len(self.roles) > MAX_HELD:
+                self.roles.clear()
+            h = xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), seed=above[0])
+            got = (h, above[1] or is_side(label), above[2] or name_of(label) == "a", above[0], label)
+            self.roles[above[0], label] = got
+        return got
+
+    def hashes(self, words: list[str]) -> list[int]:
+        held = self.words
+        for w in set(words).difference(held):
+            if len(held) > MAX_HELD:
+                held.clear()
+            held[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1
+        try:
+            return [*map(held.__getitem__, words)]
+        except KeyError:  # cleared on the way
+            return [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1 for w in words]
+
+    def tokens(self, html: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, tuple], list[str]]:
+        """A page's tokens in order, their roles' hashes, which of them are words, the
+        roles and the words."""
+        role, word, roles, said = [], [], {}, []
+        for kind, state, text in walk(html, self.ROOT, self.enter):
+            if kind == "open":
+                role.append(state[0])
+                word.append(0)
+                roles[state[0]] = state
+            elif kind == "text" and (got := htmllib.unescape(text).split()):
+                role += [state[0]] * len(got)
+                word += self.hashes(got)
+                said += got
+        r, w = np.array(role, dtype=np.uint64), np.array(word, dtype=np.uint64)
+        return np.where(w == 0, r, self.token(r, w)), r, w != 0, roles, said
+
+    @staticmethod
+    def token(role, word):
+        return _mix(role + word * _GOLD)
+
+    def block_texts(self, html: str, wanted) -> Iterator[tuple[str, tuple, np.ndarray]]:
+        """(text, role, word tokens) of every block with text whose role ``wanted``
+        accepts: references decoded, white space turned into one space."""
+        held: list[str] = []
+        roles: list[tuple] = []
+
+        def out():
+            parts = [(r, htmllib.unescape(t)) for r, t in zip(roles, held, strict=True)]
+            words = "".join(t for _, t in parts).split()
+            first = next((r for r, t in parts if not t.isspace()), Reader.ROOT)
+            tokens = lambda: [(r[0], w) for r, t in parts for w in self.hashes(t.split())]
+            held.clear()
+            roles.clear()
+            return " ".join(words), first, tokens
+
+        for kind, state, text in walk(html, self.ROOT, self.enter):
+            if kind == "text":
+                if wanted(state):
+                    held.append(text)
+                    roles.append(state)
+            elif kind == "break" and held and (got := out())[0]:
+                yield got
+        if held and (got := out())[0]:
+            yield got
+
+
+def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, token, v, pages, total, position and, for tags, parent, label,
+    words, links) from pages (host, page, html), summed over runs of pages."""
+    read, held, size = Reader(), [], 0
+
+    def flush():
+        token = np.concatenate([t for _, _, t, _ in held])
+        n = np.array([len(t) for _, _, t, _ in held])
+        order = np.concatenate([np.arange(k) for k in n])
+        page = np.repeat(np.arange(len(held)), n)
+        by = np.lexsort((order, token, page))
+        new = np.concatenate(([True], (token[by][1:] != token[by][:-1]) | (page[by][1:] != page[by][:-1])))
+        starts = np.flatnonzero(new)
+        count = np.diff(np.concatenate((starts, [len(by)])))
+        token, order, page = token[by][starts], order[by][starts], page[by][starts]
+        host = np.array([h for h, _, _, _ in held], dtype=np.int64)[page]
+        name = np.array([p for _, p, _, _ in held], dtype=np.int64).view(np.uint64)[page]
+        v = (_mix(name + count.astype(np.uint64) * _GOLD) >> np.uint64(32)).astype(np.int64)
+        by = np.lexsort((token, host))
+        host, token, v, count, order = host[by], token[by], v[by], count[by], order[by]
+        starts = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (host[1:] != host[:-1]))))
+        add = lambda x: np.add.reduceat(x, starts)
+        tags: dict[tuple[int, int], list] = {}
+        for h, _, _, t in held:
+            for r, (parent, label, words, links) in t.items():
+                got = tags.setdefault((h, r), [parent, label, 0, 0])
+                got[2] += words
+                got[3] += links
+        extra = [tags.get(k, (None, None, None, None)) for k in zip(host[starts].tolist(), token[starts].tolist(), strict=True)]
+        signed = lambda x: None if x is None else x - (1 << 64) if x >> 63 else x
         held.clear()
-        return text
-
-    for kind, path, text in walk(html):
-        if kind == "text":
-            ok = known.get(path)
-            if ok is None:
-                ok = known[path] = wanted(path)
-            if ok:
-                held.append(text)
-        elif kind == "break" and held and (text := out()):
-            yield text
-    if held and (text := out()):
-        yield text
-
-
-def page_slots(html: str) -> dict[str, tuple[int, int, int, int]]:
-    """For each role of a page: how often it opens, the position at which it
-    first opens, the characters of text directly in it and a hash of that text."""
-    count, first, chars, held = Counter(), {}, Counter(), {}
-    for i, (kind, path, text) in enumerate(walk(html)):
-        if kind == "open":
-            role = ">".join(path)
-            count[role] += 1
-            first.setdefault(role, i)
-        elif kind == "text" and path:
-            if text := text.strip():
-                role = ">".join(path)
-                chars[role] += len(text)
-                held.setdefault(role, xxhash.xxh3_64()).update(text.encode("utf-8", "surrogatepass") + b"\0")
-    signed = lambda h: h - (1 << 63)
-    return {r: (n, first[r], chars[r], signed(held[r].intdigest()) if r in held else 0) for r, n in count.items()}
-
-
-def page_tokens(html: str) -> dict[str, tuple[int, int, int]]:
-    """``page_slots`` without the hashes."""
-    return {r: v[:3] for r, v in page_slots(html).items()}
-
-
-def _name(role: str) -> str:
-    return re.split(r"[.#\[]", role, maxsplit=1)[0]
-
-
-def region_of(slots: list[str]) -> list[str]:
-    """The deepest container that holds all of ``slots``: their common ancestor,
-    never a block or a phrase of the text itself.  Empty if there is none."""
-    paths = [r.split(">") for r in slots]
-    out = []
-    for parts in zip(*paths, strict=False):
-        if len(set(parts)) > 1 or _name(parts[0]) not in CONTAINERS:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(host[starts]),
+                pa.array(token[starts].view(np.int64)),
+                pa.array(add(v)),
+                pa.array(np.diff(np.concatenate((starts, [len(host)])))),
+                pa.array(add(count)),
+                pa.array(add(order)),
+                pa.array([signed(x[0]) for x in extra], pa.int64()),
+                pa.array([x[1] for x in extra], pa.string()),
+                pa.array([x[2] for x in extra], pa.int64()),
+                pa.array([x[3] for x in extra], pa.int64()),
+            ],
+            ["host", "token", "v", "pages", "total", "position", "parent", "label", "words", "links"],
+        )
+
+    for batch in batches:
+        for host, page, html in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("html"), strict=True):
+            token, role, is_word, roles, _ = read.tokens(html.as_py())
+            if not len(token):
+                continue
+            at, words = np.unique(role[is_word], return_counts=True)
+            said = dict(zip(at.tolist(), words.tolist(), strict=True))
+            tags = {r: (s[3], s[4], said.get(r, 0), said.get(r, 0) if s[2] else 0) for r, s in roles.items()}
+            held.append((host, page, token, tags))
+            size += len(token)
+            if size > FLUSH_TOKENS:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+def classes(rows: pd.DataFrame) -> pd.DataFrame:
+    """``rows`` (one host's frequent tokens) with their class's number and their
+    rank in it, which is the order in which the tokens first occur."""
+    out = rows.assign(cls=rows.groupby(["pages", "total", "v"], sort=True).ngroup())
+    out = out.sort_values(["cls", "position", "token"], kind="stable")
+    return out.assign(rank=out.groupby("cls").cumcount())
+
+
+def out_of_order(ranks: list[int]) -> set[int]:
+    """Ranks outside of a longest increasing run of the sequence."""
+    tops, at, before = [], [], []
+    for i, r in enumerate(ranks):
+        k = bisect.bisect_left(tops, r)
+        before.append(at[k - 1] if k else -1)
+        tops[k : k + 1], at[k : k + 1] = [r], [i]
+    i, keep = at[-1] if at else -1, set()
+    while i >= 0:
+        keep.add(ranks[i])
+        i = before[i]
+    return set(ranks) - keep
+
+
+def check_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, token, bad, parent, label) from pages beside their host's tokens,
+    classes and ranks: on how many pages each token stands out of its class's order."""
+    read, plans = Reader(), {}
+    for batch in batches:
+        found: dict[tuple[int, int], list] = {}
+        cols = [batch.column(c) for c in ("host", "html", "tokens", "cls", "rank")]
+        for i, host in enumerate(cols[0].to_pylist()):
+            if host not in plans:
+                if len(plans) > 1000:
+                    plans.clear()
+                t, c, r = (np.asarray(x[i].values) for x in cols[2:])
+                plans[host] = {k: (a, b) for k, a, b in zip(t.view(np.uint64).tolist(), c.tolist(), r.tolist(), strict=True)}
+            plan = plans[host]
+            token, role, is_word, _, said = read.tokens(cols[1][i].as_py())
+            seen: dict[int, list[int]] = {}
+            tokens_in = []
+            place = np.cumsum(is_word) - 1
+            met = set()
+            for k in np.flatnonzero(np.isin(token, np.fromiter(plan, dtype=np.uint64, count=len(plan)))).tolist():
+                t = int(token[k])
+                if t not in met:
+                    met.add(t)
+                    seen.setdefault(plan[t][0], []).append(plan[t][1])
+                    tokens_in.append(t)
+                    if (host, t) not in found:
+                        found[host, t] = [0, int(role[k]) if is_word[k] else None, said[place[k]][:64] if is_word[k] else None]
+            bad = {(c, r) for c, ranks in seen.items() for r in out_of_order(ranks)}
+            if bad:
+                for t in tokens_in:
+                    found[host, t][0] += plan[t] in bad
+        signed = lambda x: None if x is None else x - (1 << 64) if x >> 63 else x
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([h for h, _ in found], pa.int64()),
+                pa.array([signed(t) for _, t in found], pa.int64()),
+                pa.array([v[0] for v in found.values()], pa.int64()),
+                pa.array([signed(v[1]) for v in found.values()], pa.int64()),
+                pa.array([v[2] for v in found.values()], pa.string()),
+            ],
+            ["host", "token", "bad", "parent", "label"],
+        )
+
+
+def nest(rows: pd.DataFrame) -> dict:
+    """The template of a host from its frequent tokens (token, v, pages, total,
+    position, bad, word, parent, label, words, links): valid classes with the class
+    each lies in, the article's region and what is known to be no text.
+
+    ``main``: roles of the article; ``explicit``: whether HTML names it so; ``known``:
+    all frequent roles; ``fixed``: word tokens of valid classes; ``links``: roles that
+    hold links.
+    """
+    rows = rows[rows["bad"] <= MAX_DISORDER * rows["pages"]]
+    rows = rows.sort_values(["word", "position", "token"], kind="stable")
+    tags = {r.token: r for r in rows.itertuples() if not r.word}
+
+    def above(parent: int) -> list[int]:
+        out = []
+        while parent in tags:
+            out.append(parent)
+            parent = tags[parent].parent
+        return out
+
+    # outermost first: a token joins the class around it if their vectors are equal,
+    # else the class of its vector that lies there
+    home: dict[int, tuple] = {}
+    template: dict[tuple, dict] = {}
+    depth = {t: len(above(t)) for t in tags}
+    for r in sorted(rows.itertuples(), key=lambda r: (r.word, depth.get(r.token, 0), r.position, r.token)):
+        around = home.get(r.parent)
+        key = (r.v, r.pages, r.total)
+        name = around if around and around[0] == key else (key, around and around[0])
+        home[r.token] = name
+        template.setdefault(name, {"in": around if around != name else None, "tokens": []})["tokens"].append(r)
+    valid = {k: c for k, c in template.items() if len(c["tokens"]) >= MIN_TOKENS}
+    ok = {r.token for c in valid.values() for r in c["tokens"]}
+    fixed = {r.token for c in valid.values() for r in c["tokens"] if r.word}
+    side = {t for t in tags if any(is_side(tags[x].label) for x in above(t))}
+    words = {t: 0 if t in side else max(0, r.words - r.links) for t, r in tags.items()}
+    for c in valid.values():
+        for r in c["tokens"]:
+            if r.word and r.parent in words:
+                words[r.parent] = max(0, words[r.parent] - r.total)
+    below = dict.fromkeys(tags, 0)
+    for t, n in words.items():
+        for x in above(t):
+            below[x] += n
+    children: dict[int, list[int]] = {}
+    for t, r in tags.items():
+        children.setdefault(r.parent if r.parent in tags else 0, []).append(t)
+    named = [t for t in ok & tags.keys() - side if name_of(tags[t].label) in MAIN_TAGS]
+    outer = [t for t in named if not any(x in named for x in above(t)[1:])]
+    once = {t for t in ok & tags.keys() - side if tags[t].total == tags[t].pages and name_of(tags[t].label) in CONTAINERS}
+    region = max((t for t in children.get(0, []) if t in once), key=lambda t: below[t], default=None)
+    while region is not None:
+        inside = [t for t in children.get(region, []) if below[t]]
+        if words[region] or any(name_of(tags[t].label) not in CONTAINERS for t in inside):
             break
-        out.append(parts[0])
-    return [">".join(out)] if out else []
-
-
-def nest(rows, n_pages: int) -> dict:
-    """The template of a host from rows (role, vector, pages, total, position,
-    chars and, if known, whether the text differs between pages): valid classes,
-    each with its roles in order and the class it lies in, and the roles that hold
-    the article (``main``).  Where no article or main tag holds it, ``fixed`` are
-    the roles outside that hold the same text on every page; else it is None."""
-    enough = max(MIN_PAGES, MIN_SUPPORT * n_pages)
-    classes: dict = {}
-    varying = []
-    for role, vector, pages, total, position, chars, *differs in rows:
-        if pages >= enough:
-            if differs and differs[0]:
-                varying.append(role)
-            classes.setdefault((pages, vector), []).append((position, role, total, chars))
-    # Roles from the outermost in.  A role joins its parent's class if their vectors
-    # are equal; else it belongs to the class of its vector that lies in its parent's
-    # class.  So every class is nested: its roles' outer parents are in one class.
-    home, template = {}, {}
-    vector_of = {r: key for key, members in classes.items() for _, r, _, _ in members}
-    place = {r: p for members in classes.values() for p, r, _, _ in members}
-    for role in sorted(vector_of, key=lambda r: (r.count(">"), place[r], r)):
-        above = home.get(role.rpartition(">")[0])
-        key = above if above and above[0] == vector_of[role] else (vector_of[role], above)
-        home[role] = key
-        template.setdefault(key, {"roles": [], "in": key[1]})["roles"].append(role)
-    for c in template.values():
-        c["roles"].sort(key=lambda r: (place[r], r))
-    chars = {r: c for m in classes.values() for _, r, _, c in m}
-    side = lambda r: any(map(is_side, r.split(">")))
-    slots = {r: c for r, c in chars.items() if c and not side(r)}
-    whole = sum(slots.values())
-    regions = [r for r in home if not side(r)]
-    below = {r: sum(c for s, c in slots.items() if s == r or s.startswith(r + ">")) for r in regions}
-    named = [r for r in regions if re.split(r"[.#\[]", r.rpartition(">")[2])[0] in MAIN_TAGS and below[r]]
-    if named:  # the outermost article or main
-        main = [r for r in named if not any(r.startswith(o + ">") for o in named if o != r)]
-        return {"template": template, "main": sorted(main), "fixed": None}
-    varying = [r for r in varying if r in slots]
-    if varying:
-        main = region_of(varying)
-        inside = lambda r: not main or r == main[0] or r.startswith(main[0] + ">")
-        return {"template": template, "main": main, "fixed": sorted(r for r in slots if r not in varying and not inside(r))}
-    # no text is known to differ: the deepest region with nearly all of it, and nothing is fixed
-    good = [r for r in regions if whole and below[r] >= 0.8 * whole]
-    main = [max(good, key=lambda r: (r.count(">"), r))] if good else []
-    return {"template": template, "main": main, "fixed": []}
-
-
-def extractor(main: list[str], fixed: list[str] | None = None):
-    """Main text of a page, given the article roles of its host's template.  With
-    ``fixed`` it is all text but that of side roles and of those roles, so that a
-    block that few pages have stays wherever it lies."""
-    boiler = None if fixed is None else {tuple(r.split(">")) for r in fixed}
-    mains = [tuple(r.split(">")) for r in main]
-
-    def text_of(html: str | None) -> str:
+        best = max((t for t in inside if t in once), key=lambda t: (below[t], -t), default=None)
+        if best is None or below[best] < MIN_SHARE * below[region]:
+            break
+        region = best
+    main = sorted(outer) if outer else [region] if region is not None and below[region] else []
+    # links of everything below a role that is no container
+    all_words, all_links = dict.fromkeys(tags, 0), dict.fromkeys(tags, 0)
+    for t, r in tags.items():
+        for x in above(t):
+            all_words[x] += r.words
+            all_links[x] += r.links
+    links = sorted(t for t in tags if all_words[t] and all_links[t] >= LINK_SHARE * all_words[t])
+    return {"classes": valid, "main": main, "explicit": bool(outer), "known": sorted(tags), "fixed": sorted(fixed), "links": links}
+
+
+class Extractor:
+    """Main text of pages, given the template of their host."""
+
+    def __init__(self, main=(), explicit=False, known=(), fixed=(), links=()):
+        self.main, self.known, self.fixed, self.links = ({x % (1 << 64) for x in xs} for xs in (main, known, fixed, links))
+        self.explicit = explicit
+
+    def __call__(self, read: Reader, html: str | None) -> str:
+        """The text of a page's region, else of HTML's own, else of all but side roles."""
         if not html:
             return ""
-        clean = lambda p: not any(map(is_side, p))
-        if boiler is not None:
-            return " ".join(block_texts(html, lambda p: p not in boiler and clean(p)))
-        if mains:
-            got = " ".join(block_texts(html, lambda p: any(p[: len(m)] == m for m in mains) and clean(p)))
-            if got:
+        above = {}  # role around each role of the page
+        region, named = {0: False}, {0: False}
+
+        def enter(around, label):
+            got = read.enter(around, label)
+            above[got[0]] = around
+            region[got[0]] = region[around[0]] or got[0] in self.main
+            named[got[0]] = named[around[0]] or name_of(label) in MAIN_TAGS
+            return got
+
+        def is_text(role, tokens) -> bool:
+            if self.explicit:
+                return True
+            block = role
+            while block[0] and name_of(block[4]) not in BLOCK:
+                block = above[block[0]]
+            if role[0] in self.links or block[0] in self.links:
+                return False
+            r, w = (np.array(x, dtype=np.uint64) for x in zip(*tokens(), strict=True))
+            return not all(t in self.fixed for t in Reader.token(r, w).tolist())
+
+        reader = _With(read, enter)
+        text = lambda wanted: " ".join(t for t, _, _ in reader.block_texts(html, wanted))
+        if self.main:
+            inside = lambda r: not r[1] and (region[r[0]] or not (self.explicit or r[0] in self.known))
+            if got := " ".join(t for t, r, tokens in reader.block_texts(html, inside) if is_text(r, tokens)):
                 return got
-        inner = lambda p: any(re.split(r"[.#\[]", x, maxsplit=1)[0] in MAIN_TAGS for x in p) and clean(p)
-        return " ".join(block_texts(html, inner)) or " ".join(block_texts(html, clean))
+        return text(lambda r: not r[1] and named[r[0]]) or text(lambda r: not r[1])
 
-    return text_of
 
+class _With(Reader):
+    """A reader that shares another's words and names roles by ``enter``."""
 
-def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", with_classes: bool = False) -> DataFrame:
-    """``host, n_pages, main, fixed`` (and ``template``, JSON) for every host with enough
-    pages for a template."""
-    import json
+    def __init__(self, read: Reader, enter):
+        self.roles, self.words, self.enter = read.roles, read.words, enter
 
-    # A page is named by its content: a task that runs again gives it the same name.
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(url_col, html_col).alias("page")).where("html is not null")
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for host, html, page in zip(pdf["host"], pdf["html"], pdf["page"], strict=True):
-                out += [(host, r, page, *v) for r, v in page_slots(html).items()]
-            yield pd.DataFrame(out, columns=["host", "role", "page", "n", "position", "chars", "text"])
+def _beside(rows: DataFrame, by_host: DataFrame, n_bytes: int, max_bytes: int) -> DataFrame:
+    """``rows`` with their host's row: broadcast up to ``max_bytes``, else each row
+    takes one of ``SALTS`` copies, so that a hot host is spread."""
+    if n_bytes <= max_bytes:
+        return rows.join(F.broadcast(by_host), "host", "left")
+    salted = by_host.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
 
-    seen = rows.mapInPandas(tokens, "host string, role string, page long, n int, position int, chars long, text long")
-    vectors = seen.groupBy("host", "role").agg(F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"), F.sum("position").alias("position"), F.sum("chars").alias("chars"), (F.min("text") < F.max("text")).alias("differs"))
-    n_pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
-    frequent = vectors.join(n_pages, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), MIN_SUPPORT * F.col("n_pages")))
-    # At most (mean roles of a page / MIN_SUPPORT) rows a host are left to gather.
-    gathered = frequent.groupBy("host", "n_pages").agg(F.collect_list(F.struct("role", "vector", "pages", "total", (F.col("position") / F.col("pages")).alias("position"), "chars", "differs")).alias("rows"))
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [nest([(r["role"], r["vector"], r["pages"], r["total"], r["position"], r["chars"], r["differs"]) for r in rows], n) for rows, n in zip(pdf["rows"], pdf["n_pages"], strict=True)]
-            text = [json.dumps([{"pages": k[0][0], "roles": v["roles"], "in": (m["template"].get(v["in"]) or {}).get("roles", [None])[0]} for k, v in m["template"].items()]) if with_classes else "" for m in made]
-            yield pd.DataFrame({"host": pdf["host"], "n_pages": pdf["n_pages"], "main": [m["main"] for m in made], "fixed": [m["fixed"] for m in made], "template": text})
-
-    out = gathered.mapInPandas(build, "host string, n_pages long, main array<string>, fixed array<string>, template string")
-    return out if with_classes else out.drop("template")
+def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``host`` (its hash), ``n_pages``, main, explicit, known, fixed, links and
+    template (JSON) for every host with enough pages for a template."""
+    # A page is named by its content: a task that runs again gives it the same name.
+    rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col).alias("html"), F.xxhash64(url_col, html_col).alias("page")).where("html is not null")
+    seen = rows.mapInArrow(vectors, "host long, token long, v long, pages long, total long, position long, parent long, label string, words long, links long")
+    summed = seen.groupBy("host", "token").agg(
+        *[F.sum(c).alias(c) for c in ("v", "pages", "total", "position")], F.max("parent").alias("parent"), F.max("label").alias("label"), F.sum("words").alias("words"), F.sum("links").alias("links")
+    )
+    n_pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
+    enough = summed.join(n_pages, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), MIN_SUPPORT * F.col("n_pages")))
+    frequent = written(enough.withColumn("position", F.col("position") / F.col("pages")))
+    # At most (mean tokens of a page / MIN_SUPPORT) rows a host are left to gather.
+    ordered = written(frequent.groupBy("host").applyInPandas(lambda pdf: classes(pdf)[["host", "token", "cls", "rank"]], "host long, token long, cls int, rank int"))
+    gathered = ordered.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("cls", "rank", "token"))).alias("x"))
+    plan = written(gathered.select("host", F.col("x.token").alias("tokens"), F.col("x.cls").alias("cls"), F.col("x.rank").alias("rank")))
+    size = 20 * ordered.count()
+    beside = _beside(rows, plan, size, max_broadcast_bytes).where("tokens is not null")
+    checked = beside.select("host", "html", "tokens", "cls", "rank").mapInArrow(check_order, "host long, token long, bad long, parent long, label string")
+    bad = checked.groupBy("host", "token").agg(F.sum("bad").alias("bad"), F.max("parent").alias("word_parent"), F.max("label").alias("word_label"))
+    parent, label = F.coalesce("parent", "word_parent", F.lit(0).cast("long")), F.coalesce("label", "word_label", F.lit(""))
+    whole = frequent.join(bad, ["host", "token"], "left").select(
+        "host", "token", "v", "pages", "total", "position", "n_pages", F.col("label").isNull().alias("word"), parent.alias("parent"), label.alias("label"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("words", "links", "bad")]
+    )
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = nest(pdf)
+        number = {k: i for i, k in enumerate(t["classes"])}
+        lines = [{"class": number[k], "in": number.get(c["in"]), "pages": k[0][1], "each": k[0][2] / k[0][1], "tokens": [r.label for r in c["tokens"]]} for k, c in t["classes"].items()]
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "n_pages": pdf["n_pages"].iloc[:1], **{c: [t[c]] for c in ("main", "explicit", "known", "fixed", "links")}, "template": [json.dumps(lines)]})
+
+    return whole.groupBy("host").applyInPandas(build, "host long, n_pages long, main array<long>, explicit boolean, known array<long>, fixed array<long>, links array<long>, template string")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row per page: ``id_col``, url, text, n_chars."""
-    templates = written(host_templates(pages, url_col, html_col).drop("n_pages"))
-    size = templates.agg(F.sum(F.octet_length("host") + F.octet_length(F.concat_ws(" ", "main", "fixed")) + 64)).first()[0] or 0
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    if size <= max_broadcast_bytes:
-        joined = rows.join(F.broadcast(templates), "host", "left")
-    else:  # each page takes one of SALTS copies of its host's template
-        salted = templates.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    id_type = pages.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, object] = {}
-        for pdf in batches:
+    templates = written(host_templates(pages, url_col, html_col, max_broadcast_bytes).drop("n_pages", "template"))
+    size = templates.agg(F.sum(8 * (F.size("main") + F.size("known") + F.size("fixed") + F.size("links")) + 64)).first()[0] or 0
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(host_of(F.col(url_col))).alias("host"), F.xxhash64(url_col, html_col).alias("page"))
+    joined = _beside(rows, templates, size, max_broadcast_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, held = Reader(), {}
+        for batch in batches:
+            cols = [batch.column(c) for c in ("host", "html", "main", "explicit", "known", "fixed", "links")]
             texts = []
-            for html, main, fixed in zip(pdf["html"], pdf["main"], pdf["fixed"], strict=True):
-                key = (() if main is None else tuple(main), None if fixed is None else tuple(fixed))
-                if key not in held:
+            for i, host in enumerate(cols[0].to_pylist()):
+                if host not in held:
                     if len(held) > 1000:
                         held.clear()
-                    held[key] = extractor([*key[0]], key[1])
-                texts.append(held[key](html))
-            yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts})
+                    held[host] = Extractor(*[c[i].as_py() for c in cols[2:]]) if cols[2][i].is_valid else Extractor()
+                texts.append(held[host](read, cols[1][i].as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    got = joined.select("id", "url", "html", "main", "fixed").mapInPandas(run, f"id {id_type}, url string, text string")
+    id_type = pages.schema[id_col].dataType.simpleString()
+    got = joined.select("id", "url", "html", "host", "main", "explicit", "known", "fixed", "links").mapInArrow(run, f"id {id_type}, url string, text string")
     return got.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))

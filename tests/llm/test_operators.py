@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from netloom.llm import common, components, decontamination, html_extraction, jaccard_join, license_scan, quality_rules, sentencepiece_codec, token_counts, token_output, url_filters, warc
+from netloom.llm import common, components, decontamination, jaccard_join, license_scan, quality_rules, sentencepiece_codec, token_counts, token_output, url_filters, warc
 
 LONG = "word " * 30_000
 DOCS = "doc_id long, text string, lang string, id string, n int, k int, name string, m string"
@@ -59,45 +59,6 @@ def test_quality_rules_reject_and_keep(spark):
     assert [r.doc_id for r in quality_rules.keep_good(df).collect()] == [0]
 
 
-PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li>m</li></ul></nav><div class='cookie-notice'>we use</div><article><h1>T &amp; {0}</h1><p><b>b{0}<br>c</p><p>d <i>e</i>f<aside>no</aside></article><section id='comments'><p>nice</p></section><footer>f {0}</footer>"
-
-
-def test_html_extraction(spark):
-    pages = [(i, f"https://h.example/{i}", PAGE.format(i), 7) for i in range(8)]
-    pages += [(100, None, None, 1), (101, "x", "", 1), (102, "http://q/", "plain &lt; text", 1), (103, "http://q/", "<p>a<br>b&nbsp;c</p><script>if(a<b)x='</p>'</script><form>z</form>", 1), (0, "https://h.example/0", PAGE.format(0), 7)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, host int")
-    for limit in (html_extraction.MAX_BROADCAST_BYTES, -1):  # broadcast, then salted join
-        got = collections.Counter((r.page_id, r.text, r.n_chars) for r in html_extraction.extract_text(df, max_broadcast_bytes=limit).collect())
-        want = [(i, f"T & {i} b{i} c d ef", len(f"T & {i} b{i} c d ef")) for i in [*range(8), 0]]
-        want += [(100, "", 0), (101, "", 0), (102, "plain < text", 12), (103, "a b c", 5)]
-        assert got == collections.Counter(want)
-    t = {r.host: r for r in html_extraction.host_templates(df, with_classes=True).collect()}
-    assert t["h.example"].main == ["html>body>article"] and "q" not in t
-    assert html_extraction.extract_text(df.limit(0)).count() == 0
-
-
-def test_template_without_article_tag():
-    # the article region is found by where the varying text is
-    page = "<html><body><div class='top'>Site</div><div class='c1'><p>{}</p></div><div class='menu'>x</div></body></html>"
-    counts = collections.defaultdict(list)
-    for i in range(6):
-        for r, v in html_extraction.page_tokens(page.format("long text " * (i + 5))).items():
-            counts[r].append(v)
-    got = html_extraction.nest([(r, tuple(n for n, _, _ in v), len(v), sum(n for n, _, _ in v), v[0][1], sum(c for _, _, c in v)) for r, v in counts.items()], 6)
-    assert got["main"] == ["html>body>div.c1>p"]
-
-
-def test_whole_article_without_article_tag(spark):
-    page = "<html><body><div class='top'>Site</div><div class='c1'><h1>head {0}</h1><div class='b'><p>{1}</p></div><ul><li>item {0}</li></ul><blockquote>said {0}</blockquote>{2}</div>{3}<div class='menu'>x</div></body></html>"
-    odd = lambda i: ("<table><tr><td>cell</td></tr></table>", "<div class='z'>after</div>") if i == 3 else ("", "")
-    pages = [(i, f"http://n.example/{i}", page.format(i, "long text " * (i + 30), *odd(i))) for i in range(6)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    want = {i: " ".join(f"head {i} {'long text ' * (i + 30)} item {i} said {i} {'cell after' if i == 3 else ''}".split()) for i in range(6)}
-    assert {r.page_id: r.text for r in html_extraction.extract_text(df).collect()} == want
-    got = html_extraction.host_templates(df).first()
-    assert got.main == ["html>body>div.c1"] and got.fixed == ["html>body>div.top"]
-
-
 def test_warc_round_trip(spark):
     big = "é" * 200
     data = [(1, "http://a/?q=1", big, 0), (2, None, big, 0), (3, "u\r\nv", None, 0), (None, "n", big, 0), (5, "b", "short", 0), (6, "b", "short", 0), (1, "http://a/?q=1", big, 0)]

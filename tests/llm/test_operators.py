@@ -15,6 +15,7 @@ import public_tokenizers
 from netloom.llm import common, components, decontamination, jaccard_join, license_scan, quality_rules, sentencepiece_codec, token_counts, token_output, url_filters, warc
 
 LONG = "word " * 30_000
+BIG = (1 << 62) + 1
 DOCS = "doc_id long, text string, lang string, id string, n int, k int, name string, m string"
 
 
@@ -287,34 +288,62 @@ def test_token_counts(spark, odd, none, chunk):
     assert token_counts.token_counts(none, BYTE).count() == 0
 
 
-def test_giants_keep_their_names(spark):
-    # every run of the cutting tasks, as after a lost executor, deals the same names
-    giants = spark.createDataFrame([(None, "a b c " * 9, 54), (1, "d e f " * 9, 54), (1, "d e f " * 9, 54)], "id long, text string, n_bytes long").repartition(3)
-    chunks = token_counts.giant_chunks(giants, 10)
-    first, again = ({tuple(r) for r in chunks.collect()} for _ in range(2))
-    assert first == again and len(first) == 18 and len({r[0] for r in first}) == 3
+def test_giant_chunks(spark):
+    giants = spark.createDataFrame([(5, "a b c " * 9), (6, "d e f " * 9)], "row long, text string").repartition(3)
+    got = collections.defaultdict(dict)
+    for r in token_counts.giant_chunks(giants, 10).collect():
+        got[r.row][r.k] = r.chunk
+    assert {k: "".join(v[i] for i in sorted(v)) for k, v in got.items()} == {5: "a b c " * 9, 6: "d e f " * 9}
+
+
+def test_giant_without_white_space(spark):
+    t = token_counts.CountTransducer(BYTE)
+    text = "".join(random.Random(8).choices(["ab", "the", "xyz", "9"], k=3000))
+    df = spark.createDataFrame([(BIG, text), (None, "w " * 500), (None, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_tokens) for r in token_counts.token_counts(df, BYTE, chunk_chars=100).collect()}
+    assert got == {(BIG, t.count(text)), (None, t.count("w " * 500)), (None, 0)}
+
+
+def test_transducer_forgets_states():
+    rng = random.Random(6)
+    small, large = token_counts.CountTransducer(BYTE, max_states=40), token_counts.CountTransducer(BYTE)
+    for _ in range(200):
+        x = "".join(rng.choices("abcd 'st\n<|1é", k=60))
+        assert small.count(x) == large.count(x)
+        assert len(small.states) <= 40
+    key, n = large.step(("letters", large.read((), "th")[0]), "e")
+    assert n == 0 and key[0] == "letters"  # "th" and "the" are one token each
+
+
+PARTS = [" ", "\n", "\t", "'", "s", "re", "a", "Z", "É", "é", "1", "<|endoftext|>", "!", "　", "\r", "\x1c", "\x85", "漢", "  ", "\x00", "İ", "Σ", "ß", "\xa0", "<|", "tion", "the", "'ll", "'v", "xx", "==", "<|endof", "\U0001f600", "²", "ʼ"]
+
+
+def test_transducer_like_library():
+    from tokenizers import Tokenizer
+
+    rng, machine, library = random.Random(1), token_counts.CountTransducer(BYTE), Tokenizer.from_file(BYTE)
+    for _ in range(3000):
+        x = "".join(rng.choice(PARTS) for _ in range(rng.randrange(30)))
+        assert machine.count(x) == len(library.encode(x, add_special_tokens=False).ids), repr(x)
+    with pytest.raises(ValueError):
+        token_counts.CountTransducer(WORD)
 
 
 def test_pieces_like_library():
-    rng = random.Random(1)
-    byte, word = token_counts.CountTransducer(BYTE), token_output.TextEncoder(WORD, "<u2")
-    parts = [" ", "\n", "\t", "'", "s", "re", "a", "Z", "É", "é", "1", "<|endoftext|>", "!", "　", "\r", "\x1c", "\x85", "漢", "  ", "\x00", "İ", "Σ", "ß", "\xa0", "<|"]
+    rng, word = random.Random(1), token_output.TextEncoder(WORD, "<u2")
     for _ in range(1500):
-        x = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
-        assert byte.count([x])[0] == len(byte.bpe.tokenizer.encode(x, add_special_tokens=False).ids), repr(x)
+        x = "".join(rng.choice(PARTS) for _ in range(rng.randrange(30)))
         assert np.frombuffer(word(x), "<u2").tolist() == word.bpe.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 def test_state_maps_compose_associatively():
-    m, rng = token_counts.CountTransducer(BYTE), random.Random(5)
+    m = token_counts.CountTransducer(BYTE)
     text = "the quick  brown\nfox don't <|endoftext|> jump " * 6
     maps = [m.state_map(c) for c in token_counts.chunks_of(text, 7)]
-    whole = m.scan(maps)
     left = maps[0]
     for x in maps[1:]:
         left = m.compose(left, x)
-    total = lambda s: s[1] + sum(m.count([s[0]] if s[2] is None else [s[0], s[2]]))
-    assert total(whole) == total(left) == m.count([text])[0] and rng
+    assert m.total(m.scan(maps)) == m.total(left) == m.count(text)
 
 
 def test_token_output(spark, odd, none):

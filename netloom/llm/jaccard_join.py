@@ -4,32 +4,40 @@ A text is the set of its 5-word shingles (words are runs of non-white-space; a
 text of one to four words is one shingle).  Two texts are linked if the Jaccard
 similarity of their sets is at least 0.8.
 
-1. *Classes.*  Documents with equal sets are one class, named by its least id.
+1. *Classes.*  Documents with equal sets are one class.
 2. *Forest.*  A class has a signature of ``trees`` labels of ``max_depth`` MinHash
-   values each; a tree is a prefix trie of its labels.  From the full depth on the
-   matched prefix is shortened until texts at the threshold meet in some tree with
-   probability ``target_recall``: ``1 - (1 - t**depth)**trees``.  Classes below one
-   trie node of that depth are candidates; a node is a grouping key, and a node's
-   members are linked to its least member only, never to each other.
-3. *Groups.*  Connected components of those star edges.
-4. *Verification.*  In a group every two classes are compared exactly.  A group is
-   dealt into hashed blocks of about ``block`` classes and each pair of blocks is
-   one unit of work on some task, which counts the links of each class and joins
+   values each; tree by tree the labels, in order, are a prefix trie.  Classes that
+   share no prefix of the least depth with any other are done.
+3. *Descent.*  The matched prefix starts at full depth and is shortened step by step.
+   At each depth the classes of a trie node are linked to its least member, connected
+   components of those links are groups, and in every group that has changed since
+   the depth before any two classes are compared exactly.  From the links found and
+   their similarities follows how many may still be missing: a link of similarity s
+   meets at depth d with probability p = 1 - (1 - s**d)**trees, so it stands for
+   (1 - p) / p others.  The prefix is shortened no more once the share found reaches
+   ``target_recall``; the least depth is the one at which even a link of the very
+   threshold meets with that probability, and it is reached wherever no link is found.
+4. *Verification.*  A small group is one unit of work on some task.  A large one is
+   dealt into hashed blocks; its texts are compared with one of them once and from
+   then on stand for their differences from it, a few shingles for near copies, and
+   each pair of blocks is a unit.  A unit counts the links of each class and joins
    linked classes by union-find; it returns one row per class, not one per pair.
-   Classes of copies are compared once, whatever their number.
+   Blocks grow with their group, so that texts are dealt to 32 units up to 262,144
+   different near copies; all pairs are compared, but copies only once.
 
-Defined results: texts without words have no shingles, form one class and no
-links; documents without an id take part as copies (a text that only they have
-has the class null and no links); repeated rows count as copies; extra columns
-are ignored.  Nothing is capped, cut or sampled.
+Defined results: texts without words have no shingles, form one class and no links;
+documents without an id take part (a class's id is the least of its documents', null
+if none has one); different texts under one id are different classes; repeated rows
+count as copies; extra columns are ignored.  Nothing is capped, cut or sampled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +48,14 @@ from netloom.llm.components import connected_components
 WORDS = 5
 THRESHOLD = 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 40, 12, 0.9999
-BLOCK = 256
+#: Depths by which a prefix is shortened at once.
+STEP = 3
+#: Classes of a block, and shingles of all its classes.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+SALTS = 16
 MAX_WORDS_HELD = 500_000
+#: Bits of a MinHash value below the least depth.
+_BITS = 12
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,76 +93,141 @@ class Shingler:
         return np.unique(_mix(out))
 
 
-def forest_depth(threshold: float, trees: int, max_depth: int, target_recall: float) -> int:
+def least_depth(threshold: float, trees: int, max_depth: int, target_recall: float) -> int:
     """The longest prefix with which texts at ``threshold`` meet in one of
-    ``trees`` tries with probability ``target_recall``: shortened step by step."""
+    ``trees`` tries with probability ``target_recall``."""
     for depth in range(max_depth, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= target_recall:
             return depth
     raise ValueError("no prefix reaches this recall with so few trees")
 
 
-class Forest:
-    """Keys of the trie nodes, one a tree, under which a set is filed."""
+class Signature:
+    """MinHash values of a set: ``bins`` values, each equal for two sets with the
+    probability of their similarity.
 
-    def __init__(self, trees: int, depth: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.trees, self.depth = trees, depth
-        self.scale = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        self.shift = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint64).astype(np.uint32)
-        self.roots = _mix(np.arange(1, trees + 1, dtype=np.uint64) * _GOLD)
+    Every element is thrown into a random bin, round after round, until no bin is
+    empty; a bin keeps the least of (round, hash).  That takes time in proportion to
+    the elements and bins together, not to their product."""
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.scale), 0xFFFFFFFF, dtype=np.uint32)
-        x = (shingles >> np.uint64(32)).astype(np.uint32)
-        for i in range(0, len(x), 1024):
-            part = np.multiply.outer(self.scale, x[i : i + 1024])
-            part += self.shift[:, None]
-            part ^= part >> np.uint32(15)
-            np.minimum(least, part.min(axis=1), out=least)
-        label = least.reshape(self.trees, self.depth).astype(np.uint64)
-        key = self.roots.copy()
-        for j in range(self.depth):
-            key = _mix(key * _GOLD + label[:, j])
-        return key.view(np.int64)
-
-
-def compare(sets: list[np.ndarray], threshold: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (i, j), i < j, of sets; with ``split`` only pairs across it.
-
-    Overlaps are counted by products of 0/1 matrices over the shingles that at
-    least two sets share, a few thousand columns at a time."""
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    if len(sets) == 2:
-        both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))], [0, 0]])
-    else:
-        every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), size)
-        _, column, seen = np.unique(every, return_inverse=True, return_counts=True)
-        shared = seen[column] > 1
-        rank = np.cumsum(seen > 1) - 1
-        owner, column = owner[shared], rank[column[shared]]
-        n = int((seen > 1).sum())
-        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        for first in range(0, n, 4096):
-            a, z = np.searchsorted(column, [first, first + 4096])
-            m = np.zeros((len(sets), min(4096, n - first)), dtype=np.float32)
-            m[owner[a:z], column[a:z] - first] = 1
-            both += m @ m.T
-    # j >= t  <=>  overlap * (1 + t) >= t * (sizes); in thousandths, so exact
-    t = round(threshold * 1000)
-    linked = np.triu(np.rint(both).astype(np.int64) * (1000 + t) >= t * (size[:, None] + size[None, :]), 1)
-    if split is not None:
-        linked[:split, :split] = False
-        linked[split:, split:] = False
-    return np.nonzero(linked)
+    TOP = np.uint64((1 << 64) - 1)
+
+    def __init__(self, bins: int):
+        self.bins = bins
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        bins, n, first = self.bins, len(shingles), 0
+        out = np.full(bins, self.TOP)
+        throws = bins * (np.log(bins) + 2)
+        while True:
+            per = max(1, int(np.ceil(throws / n)))
+            rounds = np.arange(first, first + per, dtype=np.uint64)
+            h = _mix(shingles[None, :] + (rounds * _GOLD)[:, None])
+            bin_of = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+            late = rounds >= bins  # from here on each round fills one bin
+            bin_of[late] = (rounds[late] % np.uint64(bins))[:, None]
+            np.minimum.at(out, bin_of.ravel().astype(np.int64), ((rounds << np.uint64(32))[:, None] | (h & np.uint64(0xFFFFFFFF))).ravel())
+            first += per
+            if out.max() != self.TOP:
+                return _mix(out)
+            throws = bins
 
 
-def _joined(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
-    root = list(range(n))
+class Forest:
+    """Where a set is filed in each tree: the trie node of the least depth, and the
+    values below it, in order, packed into one number."""
+
+    def __init__(self, trees: int, max_depth: int, least: int):
+        if (max_depth - least) * _BITS > 63:
+            raise ValueError("too many depths below the least one")
+        self.trees, self.max_depth, self.least = trees, max_depth, least
+        self.signature = Signature(trees * max_depth)
+        self.roots = _mix(np.arange(1, trees + 1, dtype=np.uint64) * _GOLD)
 
+    def file(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        label = self.signature(shingles).reshape(self.trees, self.max_depth)
+        node, below = self.roots.copy(), np.zeros(self.trees, dtype=np.uint64)
+        for j in range(self.least):
+            node = _mix(node * _GOLD + label[:, j])
+        for j in range(self.least, self.max_depth):
+            below = (below << np.uint64(_BITS)) | (label[:, j] >> np.uint64(64 - _BITS))
+        return node.view(np.int64), below.view(np.int64)
+
+
+@dataclass
+class Text:
+    """A class in a unit of work: its shingles themselves, or (``relative``) its
+    differences from a text of ``base`` shingles that all relative ones share."""
+
+    cls: int
+    n: int
+    plus: np.ndarray
+    minus: np.ndarray
+    relative: bool = False
+    base: int = 0
+    common: int = 0  # shingles that it has in common with that text
+
+
+_NONE = np.empty(0, dtype=np.uint64)
+
+
+def relative_to(pivot: np.ndarray, cls: int, shingles: np.ndarray) -> Text:
+    plus = np.setdiff1d(shingles, pivot, assume_unique=True)
+    minus = np.setdiff1d(pivot, shingles, assume_unique=True)
+    common = len(shingles) - len(plus)
+    if len(plus) + len(minus) < len(shingles):
+        return Text(cls, len(shingles), plus, minus, True, len(pivot), common)
+    return Text(cls, len(shingles), shingles, _NONE, False, len(pivot), common)
+
+
+def compare(left: list[Text], right: list[Text] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Linked pairs (i, j, similarity) between ``left`` and ``right`` (None: within
+    ``left``, i < j), a strip at a time.
+
+    Overlaps are products of matrices over the shingles that two texts share, with
+    -1 for a shingle that a relative text lacks: relative texts overlap in
+    base - lacks - lacks + product, a relative and another one in common + product."""
+    texts = left + (right or [])
+    first = len(left)
+    every = np.concatenate([x for t in texts for x in (t.plus, t.minus)])
+    sign = np.concatenate([np.full(len(x), v, dtype=np.float32) for t in texts for x, v in ((t.plus, 1), (t.minus, -1))])
+    owner = np.repeat(np.arange(len(texts)), [len(t.plus) + len(t.minus) for t in texts])
+    _, column, seen = np.unique(every, return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    rank = np.cumsum(seen > 1) - 1
+    owner, column, sign = owner[shared], rank[column[shared]], sign[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column, sign = owner[order], column[order], sign[order]
+    n_columns = int((seen > 1).sum())
+    n = np.array([t.n for t in texts], dtype=np.int64)
+    rel = np.array([t.relative for t in texts])
+    lacks = np.array([len(t.minus) for t in texts], dtype=np.int64)
+    common = np.array([t.common for t in texts], dtype=np.int64)
+    base = max(t.base for t in texts)
+    to = np.arange(first, len(texts)) if right is not None else np.arange(first)
+    t = round(threshold * 1000)
+    for a in range(0, first, 1024):
+        rows = np.arange(a, min(a + 1024, first))
+        both = np.zeros((len(rows), len(to)), dtype=np.float32)
+        for c in range(0, n_columns, 1024):
+            lo, hi = np.searchsorted(column, [c, c + 1024])
+            m = np.zeros((len(texts), min(1024, n_columns - c)), dtype=np.float32)
+            m[owner[lo:hi], column[lo:hi] - c] = sign[lo:hi]
+            both += m[rows] @ m[to].T
+        both = np.rint(both).astype(np.int64)
+        r, s = rel[rows][:, None], rel[to][None, :]
+        both += np.where(r & s, base - lacks[rows][:, None] - lacks[to][None, :], 0)
+        both += np.where(r & ~s, common[to][None, :], 0) + np.where(~r & s, common[rows][:, None], 0)
+        sizes = n[rows][:, None] + n[to][None, :]
+        linked = both * (1000 + t) >= t * sizes  # in thousandths, so exact
+        if right is None:
+            linked &= rows[:, None] < to[None, :]
+        i, j = np.nonzero(linked)
+        got = both[i, j]
+        yield rows[i], to[j], got / (sizes[i, j] - got)
+
+
+def _joined(n: int, i: np.ndarray, j: np.ndarray, root: list[int]) -> None:
     def find(x):
         while root[x] != x:
             root[x] = root[root[x]]
@@ -159,97 +238,187 @@ def _joined(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
         a, b = find(a), find(b)
         if a != b:
             root[max(a, b)] = min(a, b)
-    return [find(x) for x in range(n)]
-
-
-def verify(batches: Iterator[pd.DataFrame], threshold: float, words: int) -> Iterator[pd.DataFrame]:
-    """Units of work (grp, bi, bj) in order; a row (id, links, root, whole) for
-    each class in each unit.  Batches may cut a unit."""
-    shingle = Shingler(words)
-
-    def unit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["block", "id"], kind="stable")
-        bi, bj, nb = (int(rows[c].iloc[0]) for c in ("bi", "bj", "nb"))
-        split = int((rows["block"] == bi).sum()) if bi != bj else None
-        i, j = compare([shingle(t) for t in rows["text"]], threshold, split)
-        ids = rows["id"].to_numpy()
-        links = np.bincount(np.concatenate((i, j)), minlength=len(ids))
-        by_id = np.argsort(ids, kind="stable")  # union-find over ids in order, so that a root is the least
-        rank = np.empty(len(ids), dtype=np.int64)
-        rank[by_id] = np.arange(len(ids))
-        root = _joined(len(ids), rank[i], rank[j])
-        return pd.DataFrame({"id": ids, "links": links, "root": ids[by_id[[root[r] for r in rank]]], "whole": nb == 1})
-
-    held = None
-    for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        key = pdf[["grp", "bi", "bj"]].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
-        out = [unit(pdf.iloc[a:z]) for a, z in zip(starts[:-1], starts[1:], strict=True)]
-        held = pdf.iloc[starts[-1] :]
-        if out:
-            yield pd.concat(out, ignore_index=True)
-    if held is not None:
-        yield unit(held)
+    for x in range(n):
+        root[x] = find(x)
+
+
+def unit(left: list[Text], right: list[Text] | None, threshold: float, trees: int, depth: int) -> list[tuple[int, int, int, float]]:
+    """A row (cls, links, least class linked to it, links that may be missing) for
+    each class of a unit of work."""
+    texts = sorted(left, key=lambda t: t.cls) + sorted(right or [], key=lambda t: t.cls)
+    cls = np.array([t.cls for t in texts], dtype=np.int64)
+    by = np.argsort(cls, kind="stable")  # union-find over classes in order: a root is the least
+    rank = np.empty(len(cls), dtype=np.int64)
+    rank[by] = np.arange(len(cls))
+    links, missing, root = np.zeros(len(cls), dtype=np.int64), np.zeros(len(cls)), [*range(len(cls))]
+    for i, j, s in compare(texts[: len(left)], texts[len(left) :] if right is not None else None, threshold):
+        p = 1 - (1 - s**depth) ** trees
+        for x in (i, j):
+            links += np.bincount(x, minlength=len(cls))
+            missing += np.bincount(x, (1 - p) / p, minlength=len(cls))
+        _joined(len(cls), rank[i], rank[j], root)
+    return [*zip(cls.tolist(), links.tolist(), cls[by[[root[r] for r in rank.tolist()]]].tolist(), missing.tolist(), strict=True)]
+
+
+_FOUND = "cls long, links long, root long, missing double"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["cls", "links", "root", "missing"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Rows in runs of equal ``keys``; batches may cut a run."""
+    from itertools import groupby
+
+    def rows():
+        for batch in batches:
+            cols = [batch.column(c) for c in batch.schema.names]
+            for i in range(batch.num_rows):
+                yield {n: c[i] for n, c in zip(batch.schema.names, cols, strict=True)}
+
+    return groupby(rows(), key=lambda r: tuple(r[k].as_py() for k in keys))
+
+
+def _verify_small(texts: DataFrame, words: int, threshold: float, trees: int, depth: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, out = Shingler(words), []
+        for _, rows in _runs(batches, ("grp",)):
+            held = {}
+            for r in rows:
+                if (c := r["cls"].as_py()) not in held:  # rows repeated with id and text
+                    s = shingle(r["text"].as_py())
+                    held[c] = Text(c, len(s), s, _NONE)
+            out += unit([*held.values()], None, threshold, trees, depth)
+            if len(out) > 4096:
+                yield _found(out)
+                out = []
+        yield _found(out)
+
+    return texts.select("grp", "cls", "text").repartition("grp").sortWithinPartitions("grp", "cls").mapInArrow(run, _FOUND)
+
+
+def _verify_large(texts: DataFrame, words: int, threshold: float, trees: int, depth: int) -> DataFrame:
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+
+        def out(rows):
+            signed = lambda k: pa.array([x[k].view(np.int64) for x in rows], pa.list_(pa.int64()))
+            plain = [pa.array([x[k] for x in rows], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (3, pa.int64()), (4, pa.int32()))]
+            more = [pa.array([x[k] for x in rows], t) for k, t in ((7, pa.bool_()), (8, pa.int32()), (9, pa.int32()))]
+            return pa.RecordBatch.from_arrays([*plain, signed(5), signed(6), *more], ["grp", "nb", "block", "cls", "n", "plus", "minus", "relative", "base", "common"])
+
+        for (grp, block), rows in _runs(batches, ("grp", "block")):
+            pivot, made, last = None, [], None
+            for r in rows:
+                cls = r["cls"].as_py()
+                if r["member"].as_py() and cls == last:
+                    continue
+                s = shingle(r["text"].as_py())
+                if not r["member"].as_py():
+                    pivot = s
+                    continue
+                last, t = cls, relative_to(pivot, cls, s)
+                made.append((grp, r["nb"].as_py(), block, cls, t.n, t.plus, t.minus, t.relative, t.base, t.common))
+                if len(made) == 256:
+                    yield out(made)
+                    made = []
+            yield out(made)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, bi, bj), rows in _runs(batches, ("grp", "bi", "bj")):
+            blocks = {bi: [], bj: []}
+            for r in rows:
+                unsigned = lambda c: np.array(r[c].values, dtype=np.int64).view(np.uint64)  # noqa: B023,E731
+                blocks[r["block"].as_py()].append(Text(*(r[c].as_py() for c in ("cls", "n")), unsigned("plus"), unsigned("minus"), *(r[c].as_py() for c in ("relative", "base", "common"))))
+            if blocks[bi]:
+                yield _found(unit(blocks[bi], None if bi == bj else blocks[bj], threshold, trees, depth))
+
+    # the least class of a group goes to each of its blocks, before the block's own classes
+    blocks = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    pivots = texts.where("cls = grp").dropDuplicates(["cls"]).withColumn("block", blocks).withColumn("member", F.lit(False))
+    dealt = texts.withColumn("member", F.lit(True)).unionByName(pivots).repartition("grp", "block").sortWithinPartitions("grp", "block", "member", "cls")
+    kept = "grp long, nb int, block int, cls long, n int, plus array<long>, minus array<long>, relative boolean, base int, common int"
+    short = written(dealt.select("grp", "nb", "block", "member", "cls", "text").mapInArrow(differences, kept))
+    units = short.withColumn("other", blocks).select(F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), *short.columns)
+    return units.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "block", "cls").mapInArrow(pairs, _FOUND)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, target_recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
     """One row per document: ``id_col``, class_id (least id with an equal shingle
     set), n_copies (documents of the class), n_links (other classes linked to it)
     and cluster_id (least id of its connected component of links)."""
-    depth = forest_depth(threshold, trees, max_depth, target_recall)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, forest, empty = Shingler(words), Forest(trees, depth), np.empty(0, np.int64)
-        for pdf in batches:
-            out, held = [], {}
-            for key, text in zip(pdf["id"].array, pdf["text"].array, strict=True):
-                s = shingle(text)
+    least = least_depth(threshold, trees, max_depth, target_recall)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, forest, empty = Shingler(words), Forest(trees, max_depth, least), np.empty(0, np.int64)
+        for batch in batches:
+            names, sizes, filed, held = [], [], [], {}
+            for text in batch.column("text"):
+                s = shingle(text.as_py())
                 name = xxhash.xxh3_128_hexdigest(s.tobytes())
                 if name not in held:
-                    held[name] = forest.keys(s) if len(s) else empty
-                out.append((key, name, held[name]))
-            yield pd.DataFrame(out, columns=["id", "name", "keys"]).astype({"id": "Int64"})
-
-    filed = written(rows.mapInPandas(file, "id long, name string, keys array<long>"))
-    classes = written(filed.groupBy("name").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies")))
-    # one document stands for its class; repeated rows of it are the same
-    first = filed.withColumnRenamed("id", "class_id").join(classes.select("name", "class_id"), ["name", "class_id"]).select("class_id", "keys")
-    nodes = first.select("class_id", F.explode("keys").alias("node"))
-    least = nodes.groupBy("node").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("node", "low")
-    stars = nodes.join(least, "node").where("class_id > low").select(F.col("class_id").alias("src"), F.col("low").alias("dst")).distinct()
-    members = written(connected_components(stars).withColumnRenamed("node", "id").withColumnRenamed("component", "grp"))
-    sizes = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+                    held[name] = forest.file(s) if len(s) else (empty, empty)
+                names.append(name)
+                sizes.append(len(s))
+                filed.append(held[name])
+            lists = [pa.array([x[k] for x in filed], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(names), pa.array(sizes, pa.int32()), *lists], ["id", "hash", "name", "n", "nodes", "below"])
+
+    filed = written(rows.mapInArrow(file, "id long, hash long, name string, n int, nodes array<long>, below array<long>"))
+    # one document stands for its class; classes are numbered in the order of their ids
+    order = F.struct(F.col("id").isNull().alias("without"), "id", "hash")
+    classes = filed.groupBy("name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n_copies")).repartitionByRange("first").sortWithinPartitions("first", "name")
+    classes = written(classes.select("name", "n_copies", F.col("first.id").alias("class_id"), F.col("first.hash").alias("hash"), F.monotonically_increasing_id().alias("cls")))
+    same = filed.id.eqNullSafe(classes.class_id) & (filed.hash == classes.hash) & (filed.name == classes.name)
+    first = filed.join(classes, same).select("cls", "n", F.explode(F.arrays_zip("nodes", "below")).alias("x")).select("cls", "n", F.col("x.nodes").alias("node"), F.col("x.below").alias("below"))
+    shared = first.groupBy("node").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("node")
+    live = written(first.join(shared, "node"))
+    met = live.select("cls", "n").distinct()
+    by_text = rows.id.eqNullSafe(classes.class_id) & (rows.hash == classes.hash)
     # candidates grow with the data, so they are never broadcast: one plan at every size
-    texts = rows.join(placed.hint("merge"), "id").select("grp", "nb", "block", "id", "text")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    units = texts.withColumn("other", other).select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "nb", "block", "id", "text")
-    units = units.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "id")
-    found = written(units.mapInPandas(lambda b: verify(_once(b), threshold, words), "id long, links long, root long, whole boolean"))
-    links = found.groupBy("id").agg(F.sum("links").alias("n_links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))
-    spread = connected_components(found.where(~F.col("whole")).select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    result = links.join(spread.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("class_id"), "n_links", F.coalesce("root", "component").alias("cluster_id"))
-    known = classes.join(result, "class_id", "left").select("name", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("cluster_id", "class_id").alias("cluster_id"))
+    texts = written(rows.join(classes.join(met, "cls").hint("merge"), by_text).select("cls", "n", "text"))
+
+    members, found = None, None
+    for depth in [*range(max_depth, least, -STEP), least]:
+        key = F.col("node") if depth == least else F.xxhash64("node", F.shiftright("below", _BITS * (max_depth - depth)))
+        keyed = live.select("cls", key.alias("key"))
+        low = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "low")
+        stars = keyed.join(low, "key").where("cls > low").select(F.col("cls").alias("src"), F.col("low").alias("dst")).distinct()
+        if members is not None:
+            stars = stars.unionByName(members.select(F.col("cls").alias("src"), F.col("grp").alias("dst")))
+        grouped = connected_components(stars).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+        was = grouped.withColumn("was", F.lit(None).cast("long")) if members is None else grouped.join(members.withColumnRenamed("grp", "was"), "cls", "left")
+        was = written(was)
+        sizes = was.join(met, "cls").groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.count("was").alias("known"), F.min("was").alias("a"), F.max("was").alias("z"))
+        per = F.greatest(F.lit(block), F.least(F.lit(8192), F.col("m") / 32))
+        nb = F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+        changed = sizes.where("known < m or a < z").select("grp", nb.alias("nb"))
+        placed = written(was.join(changed, "grp").select("cls", "grp", "nb", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int").alias("block")))
+        work = texts.select("cls", "text").join(placed.hint("merge"), "cls")
+        how = (words, threshold, trees, depth)
+        one = _verify_small(work.where("nb = 1"), *how).withColumn("whole", F.lit(True))
+        many = _verify_large(work.where("nb > 1"), *how).withColumn("whole", F.lit(False))
+        new = one.unionByName(many)
+        if found is not None:
+            new = new.unionByName(found.join(placed.select("cls"), "cls", "left_anti"))
+        found, members = written(new), was.select("cls", "grp")
+        links, missing = found.agg(F.sum("links"), F.sum("missing")).first()
+        if links and links >= target_recall * (links + missing):
+            break
+
+    counted = found.groupBy("cls").agg(F.sum("links").alias("n_links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))
+    spread = connected_components(found.where(~F.col("whole")).select(F.col("cls").alias("src"), F.col("root").alias("dst")))
+    joined = counted.join(spread.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n_links", F.coalesce("root", "component").alias("head")).where("n_links > 0")
+    # a hub's row is copied, so that a large cluster's classes meet it on several tasks
+    heads = joined.select("head").distinct().join(classes.select(F.col("cls").alias("head"), F.col("class_id").alias("cluster_id")), "head").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    named = joined.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(heads, ["head", "salt"]).select("cls", "n_links", "cluster_id", F.lit(True).alias("linked"))
+    cluster = F.when(F.col("linked"), F.col("cluster_id")).otherwise(F.col("class_id"))
+    known = classes.join(named, "cls", "left").select("name", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cluster.alias("cluster_id"))
     return filed.select(F.col("id").alias(id_col), "name").join(known, "name").select(id_col, "class_id", "n_copies", "n_links", "cluster_id")
 
 
-def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Without repeated ids inside a unit (repeated rows of a document)."""
-    last = None
-    for pdf in batches:
-        key = pdf[["grp", "bi", "bj", "id"]].to_numpy()
-        if not len(key):
-            continue
-        same = np.concatenate(([last is not None and (key[0] == last).all()], (key[1:] == key[:-1]).all(axis=1)))
-        last = key[-1]
-        yield pdf[~same].reset_index(drop=True)
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each cluster: the one with the least id, rows
     without an id last.  Each row takes part under a name of its own, so different

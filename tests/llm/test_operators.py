@@ -185,7 +185,7 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [512, 4])
 def test_jaccard_join(spark, odd, none, block):
     rng = random.Random(9)
     base = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(12)]
@@ -218,7 +218,7 @@ def test_jaccard_join(spark, odd, none, block):
     got = {r.doc_id: (r.class_id, r.n_links, r.cluster_id) for r in jaccard_join.jaccard_join(docs, block=block).collect()}
     assert got == {i: (first[s], links[first[s]], find(first[s])) for i, s in enumerate(sets)}
     assert {r.doc_id for r in jaccard_join.keep_one(docs).collect()} == {find(i) for i in first.values()}
-    if block == 256:
+    if block == 512:
         assert jaccard_join.jaccard_join(odd).count() == odd.count()
         assert jaccard_join.jaccard_join(none).count() == 0
         kept = jaccard_join.keep_one(odd)
@@ -234,11 +234,53 @@ def test_keep_one_without_ids(spark):
     assert jaccard_join.keep_one(df.limit(0)).count() == 0
 
 
-def test_forest_depth_shortens():
-    assert jaccard_join.forest_depth(0.8, 40, 12, 0.9999) == 7
-    assert jaccard_join.forest_depth(0.8, 40, 12, 0.9) > 7
+def test_forest():
+    assert jaccard_join.least_depth(0.8, 40, 12, 0.9999) == 7
     with pytest.raises(ValueError):
-        jaccard_join.forest_depth(0.8, 1, 12, 0.9999)
+        jaccard_join.least_depth(0.8, 1, 12, 0.9999)
+    rng = np.random.default_rng(3)
+    forest, met, recall = jaccard_join.Forest(40, 12, 7), collections.Counter(), 400
+    for _ in range(recall):  # pairs with a similarity of exactly 0.8
+        u = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
+        (a, deep_a), (b, deep_b) = forest.file(u[:90]), forest.file(np.concatenate((u[:80], u[90:])))
+        for depth in (7, 9, 12):
+            met[depth] += bool(((a == b) & (deep_a >> 12 * (12 - depth) == deep_b >> 12 * (12 - depth))).any())
+    for depth in (7, 9, 12):
+        assert abs(met[depth] / recall - (1 - (1 - 0.8**depth) ** 40)) < 0.05
+    assert met[7] >= 0.995 * recall
+    for n in (1, 3, 5000):
+        s = jaccard_join.Signature(480)(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert len(s) == 480 and len(set(s.tolist())) > 400
+
+
+def test_relative_texts_compare_like_sets():
+    rng = np.random.default_rng(5)
+    pivot = np.unique(rng.integers(0, 1 << 64, 60, dtype=np.uint64))
+    sets = [pivot]
+    for k in range(40):
+        keep = pivot[rng.random(60) < (0.95 if k % 4 else 0.3)]
+        sets.append(np.unique(np.concatenate((keep, rng.integers(0, 1 << 64, int(rng.integers(0, 8)), dtype=np.uint64)))))
+    texts = [jaccard_join.relative_to(pivot, i, s) for i, s in enumerate(sets)]
+    assert {t.relative for t in texts} == {True, False}
+    want = {(i, j) for i, j in itertools.combinations(range(41), 2) if 10 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 8 * len(set(sets[i].tolist()) | set(sets[j].tolist()))}
+    assert {(a, b) for i, j, _ in jaccard_join.compare(texts, None, 0.8) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
+    cross = {(a, b) for i, j, _ in jaccard_join.compare(texts[:15], texts[15:], 0.8) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert cross == {(i, j) for i, j in want if i < 15 <= j}
+
+
+def test_prefix_is_shortened_only_as_far_as_needed(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    near = [" ".join([*base[:-1], f"end{i}"]) for i in range(6)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(near)], "doc_id long, text string")
+    depths, real = [], jaccard_join.connected_components
+    jaccard_join.connected_components = lambda e, **k: depths.append(1) or real(e, **k)
+    try:
+        got = jaccard_join.jaccard_join(docs).collect()
+    finally:
+        jaccard_join.connected_components = real
+    assert all(r.n_links == 5 and r.cluster_id == 0 for r in got)
+    assert len(depths) == 2  # one depth, and the components of the links
 
 
 SP = public_tokenizers.path("piece_bpe_32k.model")

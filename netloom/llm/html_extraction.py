@@ -5,16 +5,20 @@ token is its role (the path of tags, with class or id, that leads to it), a word
 token is the word within its role.  A token's *occurrence vector* holds how often
 it occurs in each page of the host.
 
-1. *Vectors.*  A vector is a sum of hashes over (page, count), so it is aggregated
+1. *Candidates.*  Only tokens on at least ``MIN_SUPPORT`` of a host's pages matter.
+   Such a token is on that share of the pages of some run of pages that one task
+   reads, so each run lists its own, with how often any other may have occurred;
+   the sums leave few tokens more than there are.
+2. *Vectors.*  A vector is a sum of hashes over (page, count), so it is aggregated
    with partial sums and never gathered: a host with a third of all pages is like
-   any other.  Only tokens on at least ``MIN_SUPPORT`` of a host's pages go on.
-2. *Order.*  Tokens with equal vectors form an equivalence class.  Every page is
-   checked against the one order of each of its classes; a token that stands out of
-   that order on more than ``MAX_DISORDER`` of the pages leaves its class.
-3. *Nesting.*  A class lies in the class of the roles around it: tokens with equal
+   any other.  Tokens with equal vectors form an equivalence class.
+3. *Order.*  On every page the tokens that occur once are held against the order of
+   their mean places; a token that stands out of it on more than ``MAX_DISORDER`` of
+   the pages is in no class, so the tokens of a class keep one order.
+4. *Nesting.*  A class lies in the class of the roles around it: tokens with equal
    vectors below different classes are different classes.  Classes of at least
    ``MIN_TOKENS`` tokens are valid and nest into the template.
-4. *Slots.*  What varies between template tokens are slots.  The article is the
+5. *Slots.*  What varies between template tokens are slots.  The article is the
    region, opened by a tag of a valid class, that holds the slots: the outermost
    ``article`` or ``main`` of the template where there is one, else the container
    reached from the body by going into the part with most of the slots' words (words
@@ -92,7 +96,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 def label_of(name: str, attrs: str) -> str:
     """An element's own part of a role: its name with class and role, else id."""
-    if not attrs or attrs.isspace():
+    if not attrs or "=" not in attrs:
         return name
     marks = {k.lower(): " ".join((a or b or c).split()) for k, a, b, c in _CLASS.findall(attrs)}
     if marks.get("class") or marks.get("role"):
@@ -161,7 +165,7 @@ def walk(html: str, root, enter) -> Iterator[tuple[str, object, str]]:
                 pos += 1
                 continue
             stop = at = m.end()
-            while quotes:
+            while quotes and html[stop] != ">":
                 v = _VALUE.search(html, at)
                 if v and html[v.end() - 1] == ">":
                     stop = v.end() - 1
@@ -219,13 +223,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class Reader:
     """Tokens of pages.  A role is a tuple (hash, side, in a link, parent's hash,
-    label); roles and words met are held, ``MAX_HELD`` at most."""
+    label); those met are held, ``MAX_HELD`` at most."""
 
     ROOT = (0, False, False, 0, "")
 
     def __init__(self):
         self.roles: dict[tuple[int, str], tuple] = {}
-        self.words: dict[str, int] = {}
 
     def enter(self, above: tuple, label: str) -> tuple:
         got = self.roles.get((above[0], label))
@@ -237,32 +240,34 @@ class Reader:
             self.roles[above[0], label] = got
         return got
 
-    def hashes(self, words: list[str]) -> list[int]:
-        held = self.words
-        for w in set(words).difference(held):
-            if len(held) > MAX_HELD:
-                held.clear()
-            held[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1
+    @staticmethod
+    def hashes(words: list[str]) -> np.ndarray:
         try:
-            return [*map(held.__getitem__, words)]
-        except KeyError:  # cleared on the way
-            return [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1 for w in words]
+            got = [*map(xxhash.xxh3_64_intdigest, words)]
+        except UnicodeEncodeError:  # lone surrogates
+            got = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
+        return np.array(got, dtype=np.uint64) | np.uint64(1)
 
     def tokens(self, html: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, tuple], list[str]]:
         """A page's tokens in order, their roles' hashes, which of them are words, the
         roles and the words."""
-        role, word, roles, said = [], [], {}, []
+        role, times, is_word, roles, said = [], [], [], {}, []
         for kind, state, text in walk(html, self.ROOT, self.enter):
             if kind == "open":
                 role.append(state[0])
-                word.append(0)
+                times.append(1)
+                is_word.append(False)
                 roles[state[0]] = state
-            elif kind == "text" and (got := htmllib.unescape(text).split()):
-                role += [state[0]] * len(got)
-                word += self.hashes(got)
+            elif kind == "text" and (got := (htmllib.unescape(text) if "&" in text else text).split()):
+                role.append(state[0])
+                times.append(len(got))
+                is_word.append(True)
                 said += got
-        r, w = np.array(role, dtype=np.uint64), np.array(word, dtype=np.uint64)
-        return np.where(w == 0, r, self.token(r, w)), r, w != 0, roles, said
+        n = np.array(times, dtype=np.int64)
+        r, w = np.repeat(np.array(role, dtype=np.uint64), n), np.repeat(np.array(is_word, dtype=bool), n)
+        token = r.copy()
+        token[w] = self.token(r[w], self.hashes(said))
+        return token, r, w, roles, said
 
     @staticmethod
     def token(role, word):
@@ -278,7 +283,7 @@ class Reader:
             parts = [(r, htmllib.unescape(t)) for r, t in zip(roles, held, strict=True)]
             words = "".join(t for _, t in parts).split()
             first = next((r for r, t in parts if not t.isspace()), Reader.ROOT)
-            tokens = lambda: [(r[0], w) for r, t in parts for w in self.hashes(t.split())]
+            tokens = lambda: [(r[0], w) for r, t in parts for w in self.hashes(t.split()).tolist()]
             held.clear()
             roles.clear()
             return " ".join(words), first, tokens
@@ -294,62 +299,43 @@ class Reader:
             yield got
 
 
-def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, token, v, pages, total, position and, for tags, parent, label,
-    words, links) from pages (host, page, html), summed over runs of pages."""
-    read, held, size = Reader(), [], 0
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, token, pages, position, slack) from pages (host, html), for each run
+    of pages of a host: the tokens on ``MIN_SUPPORT`` of them, with the number of pages
+    and the sum of their first positions.  ``slack`` is how often a token that isn't
+    listed may have occurred.  The row with the token null stands for the run."""
+    read, held, size = Reader(), {}, 0
 
     def flush():
-        token = np.concatenate([t for _, _, t, _ in held])
-        n = np.array([len(t) for _, _, t, _ in held])
-        order = np.concatenate([np.arange(k) for k in n])
-        page = np.repeat(np.arange(len(held)), n)
-        by = np.lexsort((order, token, page))
-        new = np.concatenate(([True], (token[by][1:] != token[by][:-1]) | (page[by][1:] != page[by][:-1])))
-        starts = np.flatnonzero(new)
-        count = np.diff(np.concatenate((starts, [len(by)])))
-        token, order, page = token[by][starts], order[by][starts], page[by][starts]
-        host = np.array([h for h, _, _, _ in held], dtype=np.int64)[page]
-        name = np.array([p for _, p, _, _ in held], dtype=np.int64).view(np.uint64)[page]
-        v = (_mix(name + count.astype(np.uint64) * _GOLD) >> np.uint64(32)).astype(np.int64)
-        by = np.lexsort((token, host))
-        host, token, v, count, order = host[by], token[by], v[by], count[by], order[by]
-        starts = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (host[1:] != host[:-1]))))
-        add = lambda x: np.add.reduceat(x, starts)
-        tags: dict[tuple[int, int], list] = {}
-        for h, _, _, t in held:
-            for r, (parent, label, words, links) in t.items():
-                got = tags.setdefault((h, r), [parent, label, 0, 0])
-                got[2] += words
-                got[3] += links
-        extra = [tags.get(k, (None, None, None, None)) for k in zip(host[starts].tolist(), token[starts].tolist(), strict=True)]
-        signed = lambda x: None if x is None else x - (1 << 64) if x >> 63 else x
+        out = []
+        for host, pages in held.items():
+            least = int(np.ceil(MIN_SUPPORT * len(pages)))
+            every, at, n = np.unique(np.concatenate([t for t, _ in pages]), return_inverse=True, return_counts=True)
+            place = np.bincount(at, np.concatenate([p for _, p in pages]))
+            keep = n >= least
+            token = [None, *every[keep].view(np.int64).tolist()]
+            out.append((host, token, [len(pages), *n[keep].tolist()], [0.0, *place[keep].tolist()], least - 1))
         held.clear()
+        flat = lambda k, kind: pa.array([x for r in out for x in r[k]], kind)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(host[starts]),
-                pa.array(token[starts].view(np.int64)),
-                pa.array(add(v)),
-                pa.array(np.diff(np.concatenate((starts, [len(host)])))),
-                pa.array(add(count)),
-                pa.array(add(order)),
-                pa.array([signed(x[0]) for x in extra], pa.int64()),
-                pa.array([x[1] for x in extra], pa.string()),
-                pa.array([x[2] for x in extra], pa.int64()),
-                pa.array([x[3] for x in extra], pa.int64()),
+                pa.array([r[0] for r in out for _ in r[1]], pa.int64()),
+                flat(1, pa.int64()),
+                flat(2, pa.int64()),
+                flat(3, pa.float64()),
+                pa.array([r[4] for r in out for _ in r[1]], pa.int64()),
             ],
-            ["host", "token", "v", "pages", "total", "position", "parent", "label", "words", "links"],
+            ["host", "token", "pages", "position", "slack"],
         )
 
     for batch in batches:
-        for host, page, html in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("html"), strict=True):
-            token, role, is_word, roles, _ = read.tokens(html.as_py())
-            if not len(token):
-                continue
-            at, words = np.unique(role[is_word], return_counts=True)
-            said = dict(zip(at.tolist(), words.tolist(), strict=True))
-            tags = {r: (s[3], s[4], said.get(r, 0), said.get(r, 0) if s[2] else 0) for r, s in roles.items()}
-            held.append((host, page, token, tags))
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            token = read.tokens(html.as_py())[0]
+            held.setdefault(host, []).append(np.unique(token, return_index=True))
             size += len(token)
             if size > FLUSH_TOKENS:
                 yield flush()
@@ -358,16 +344,8 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def classes(rows: pd.DataFrame) -> pd.DataFrame:
-    """``rows`` (one host's frequent tokens) with their class's number and their
-    rank in it, which is the order in which the tokens first occur."""
-    out = rows.assign(cls=rows.groupby(["pages", "total", "v"], sort=True).ngroup())
-    out = out.sort_values(["cls", "position", "token"], kind="stable")
-    return out.assign(rank=out.groupby("cls").cumcount())
-
-
-def out_of_order(ranks: list[int]) -> set[int]:
-    """Ranks outside of a longest increasing run of the sequence."""
+def out_of_order(ranks: list[int]) -> list[int]:
+    """Places outside of a longest increasing run of the sequence."""
     tops, at, before = [], [], []
     for i, r in enumerate(ranks):
         k = bisect.bisect_left(tops, r)
@@ -375,53 +353,76 @@ def out_of_order(ranks: list[int]) -> set[int]:
         tops[k : k + 1], at[k : k + 1] = [r], [i]
     i, keep = at[-1] if at else -1, set()
     while i >= 0:
-        keep.add(ranks[i])
+        keep.add(i)
         i = before[i]
-    return set(ranks) - keep
-
-
-def check_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, token, bad, parent, label) from pages beside their host's tokens,
-    classes and ranks: on how many pages each token stands out of its class's order."""
-    read, plans = Reader(), {}
+    return [i for i in range(len(ranks)) if i not in keep]
+
+
+class Measure:
+    """Sums over pages for one host's candidates, given in their order."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens.view(np.uint64)
+        self.by = np.argsort(self.tokens)
+        self.sorted = self.tokens[self.by]
+        self.sums = np.zeros((7, len(tokens)), dtype=np.int64)  # v, pages, total, position, bad, words, links
+        self.about: dict[int, tuple] = {}
+
+    def places(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``token`` are candidates, and their ranks."""
+        at = np.minimum(np.searchsorted(self.sorted, token), len(self.sorted) - 1)
+        hit = self.sorted[at] == token
+        return hit, self.by[at[hit]]
+
+    def add(self, page: int, token, role, is_word, roles, said) -> None:
+        hit, rank = self.places(token)
+        place = np.flatnonzero(hit)
+        met, first, n = np.unique(rank, return_index=True, return_counts=True)
+        v, pages, total, position, bad, words, links = self.sums
+        name = np.uint64(page % (1 << 64))
+        v[met] += (_mix(name + n.astype(np.uint64) * _GOLD) >> np.uint64(32)).astype(np.int64)
+        pages[met] += 1
+        total[met] += n
+        position[met] += place[first]
+        single = n == 1
+        ranks, where = met[single], place[first[single]]
+        inorder = np.argsort(where)
+        if (np.diff(inorder) < 0).any():
+            ranks = ranks[inorder]
+            bad[ranks[out_of_order(ranks.tolist())]] += 1
+        at, k = np.unique(role[is_word], return_counts=True)
+        hit, rank = self.places(at)
+        words[rank] += k[hit]
+        in_link = np.array([roles.get(r, Reader.ROOT)[2] for r in at[hit].tolist()], dtype=bool)
+        links[rank[in_link]] += k[hit][in_link]
+        for r, i in zip(met.tolist(), place[first].tolist(), strict=True):
+            if r not in self.about:
+                t = int(token[i])
+                word = bool(is_word[i])
+                self.about[r] = (word, int(role[i]) if word else roles[t][3], said[int(is_word[:i].sum())][:64] if word else roles[t][4])
+
+    def rows(self, host: int) -> list[tuple]:
+        return [(host, _signed(int(self.tokens[r])), *self.sums[:, r].tolist(), word, _signed(parent), label) for r, (word, parent, label) in self.about.items()]
+
+
+_MEASURED = pa.schema([*[(c, pa.int64()) for c in ("host", "token", "v", "pages", "total", "position", "bad", "words", "links")], ("word", pa.bool_()), ("parent", pa.int64()), ("label", pa.string())])
+
+
+def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_MEASURED`` from pages (host, page, html, tokens), where tokens are the
+    host's candidates in their order: sums over the pages of a batch."""
+    read = Reader()
     for batch in batches:
-        found: dict[tuple[int, int], list] = {}
-        cols = [batch.column(c) for c in ("host", "html", "tokens", "cls", "rank")]
-        for i, host in enumerate(cols[0].to_pylist()):
-            if host not in plans:
-                if len(plans) > 1000:
-                    plans.clear()
-                t, c, r = (np.asarray(x[i].values) for x in cols[2:])
-                plans[host] = {k: (a, b) for k, a, b in zip(t.view(np.uint64).tolist(), c.tolist(), r.tolist(), strict=True)}
-            plan = plans[host]
-            token, role, is_word, _, said = read.tokens(cols[1][i].as_py())
-            seen: dict[int, list[int]] = {}
-            tokens_in = []
-            place = np.cumsum(is_word) - 1
-            met = set()
-            for k in np.flatnonzero(np.isin(token, np.fromiter(plan, dtype=np.uint64, count=len(plan)))).tolist():
-                t = int(token[k])
-                if t not in met:
-                    met.add(t)
-                    seen.setdefault(plan[t][0], []).append(plan[t][1])
-                    tokens_in.append(t)
-                    if (host, t) not in found:
-                        found[host, t] = [0, int(role[k]) if is_word[k] else None, said[place[k]][:64] if is_word[k] else None]
-            bad = {(c, r) for c, ranks in seen.items() for r in out_of_order(ranks)}
-            if bad:
-                for t in tokens_in:
-                    found[host, t][0] += plan[t] in bad
-        signed = lambda x: None if x is None else x - (1 << 64) if x >> 63 else x
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([h for h, _ in found], pa.int64()),
-                pa.array([signed(t) for _, t in found], pa.int64()),
-                pa.array([v[0] for v in found.values()], pa.int64()),
-                pa.array([signed(v[1]) for v in found.values()], pa.int64()),
-                pa.array([v[2] for v in found.values()], pa.string()),
-            ],
-            ["host", "token", "bad", "parent", "label"],
-        )
+        held: dict[int, Measure] = {}
+        tokens, html = batch.column("tokens"), batch.column("html")
+        for i, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), strict=True)):
+            if host not in held:
+                held[host] = Measure(np.array(tokens[i].values))
+            got = read.tokens(html[i].as_py())
+            if len(got[0]):
+                held[host].add(page, *got)
+        rows = [r for h, m in held.items() for r in m.rows(h)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_MEASURED)], schema=_MEASURED)
 
 
 def nest(rows: pd.DataFrame) -> dict:
@@ -526,7 +527,7 @@ class Extractor:
             r, w = (np.array(x, dtype=np.uint64) for x in zip(*tokens(), strict=True))
             return not all(t in self.fixed for t in Reader.token(r, w).tolist())
 
-        reader = _With(read, enter)
+        reader = _With(enter)
         text = lambda wanted: " ".join(t for t, _, _ in reader.block_texts(html, wanted))
         if self.main:
             inside = lambda r: not r[1] and (region[r[0]] or not (self.explicit or r[0] in self.known))
@@ -536,10 +537,10 @@ class Extractor:
 
 
 class _With(Reader):
-    """A reader that shares another's words and names roles by ``enter``."""
+    """A reader that names roles by ``enter``."""
 
-    def __init__(self, read: Reader, enter):
-        self.roles, self.words, self.enter = read.roles, read.words, enter
+    def __init__(self, enter):
+        self.enter = enter
 
 
 def _beside(rows: DataFrame, by_host: DataFrame, n_bytes: int, max_bytes: int) -> DataFrame:
@@ -556,25 +557,20 @@ def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     template (JSON) for every host with enough pages for a template."""
     # A page is named by its content: a task that runs again gives it the same name.
     rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col).alias("html"), F.xxhash64(url_col, html_col).alias("page")).where("html is not null")
-    seen = rows.mapInArrow(vectors, "host long, token long, v long, pages long, total long, position long, parent long, label string, words long, links long")
-    summed = seen.groupBy("host", "token").agg(
-        *[F.sum(c).alias(c) for c in ("v", "pages", "total", "position")], F.max("parent").alias("parent"), F.max("label").alias("label"), F.sum("words").alias("words"), F.sum("links").alias("links")
-    )
-    n_pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
-    enough = summed.join(n_pages, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), MIN_SUPPORT * F.col("n_pages")))
-    frequent = written(enough.withColumn("position", F.col("position") / F.col("pages")))
-    # At most (mean tokens of a page / MIN_SUPPORT) rows a host are left to gather.
-    ordered = written(frequent.groupBy("host").applyInPandas(lambda pdf: classes(pdf)[["host", "token", "cls", "rank"]], "host long, token long, cls int, rank int"))
-    gathered = ordered.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("cls", "rank", "token"))).alias("x"))
-    plan = written(gathered.select("host", F.col("x.token").alias("tokens"), F.col("x.cls").alias("cls"), F.col("x.rank").alias("rank")))
-    size = 20 * ordered.count()
-    beside = _beside(rows, plan, size, max_broadcast_bytes).where("tokens is not null")
-    checked = beside.select("host", "html", "tokens", "cls", "rank").mapInArrow(check_order, "host long, token long, bad long, parent long, label string")
-    bad = checked.groupBy("host", "token").agg(F.sum("bad").alias("bad"), F.max("parent").alias("word_parent"), F.max("label").alias("word_label"))
-    parent, label = F.coalesce("parent", "word_parent", F.lit(0).cast("long")), F.coalesce("label", "word_label", F.lit(""))
-    whole = frequent.join(bad, ["host", "token"], "left").select(
-        "host", "token", "v", "pages", "total", "position", "n_pages", F.col("label").isNull().alias("word"), parent.alias("parent"), label.alias("label"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("words", "links", "bad")]
-    )
+    seen = rows.select("host", "html").mapInArrow(candidates, "host long, token long, pages long, position double, slack long")
+    summed = written(seen.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("position").alias("position"), F.sum("slack").alias("slack")))
+    hosts = summed.where("token is null").select("host", F.col("pages").alias("n_pages"), F.col("slack").alias("most")).where(F.col("n_pages") >= MIN_PAGES)
+    n_hosts = hosts.count()
+    # what may be on enough pages: the pages met and, in the other runs, all that may have been passed over
+    enough = lambda n: n >= F.greatest(F.lit(float(MIN_PAGES)), MIN_SUPPORT * F.col("n_pages"))
+    beside = summed.where("token is not null").join(F.broadcast(hosts) if 40 * n_hosts <= max_broadcast_bytes else hosts, "host")
+    likely = beside.where(enough(F.col("pages") + F.col("most") - F.col("slack"))).select("host", "token", (F.col("position") / F.col("pages")).alias("position"))
+    gathered = likely.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("position", "token"))).alias("x"))
+    plan = written(gathered.select("host", F.col("x.token").alias("tokens")))
+    size = plan.agg(F.sum(8 * F.size("tokens") + 40)).first()[0] or 0
+    measured = _beside(rows, plan, size, max_broadcast_bytes).where("tokens is not null").select("host", "page", "html", "tokens").mapInArrow(measure, "host long, token long, v long, pages long, total long, position long, bad long, words long, links long, word boolean, parent long, label string")
+    whole = measured.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("v", "pages", "total", "position", "bad", "words", "links")], *[F.max(c).alias(c) for c in ("word", "parent", "label")])
+    whole = whole.join(hosts.select("host", "n_pages"), "host").where(enough(F.col("pages"))).withColumn("position", F.col("position") / F.col("pages"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = nest(pdf)

@@ -7,6 +7,10 @@ doesn't want a record steps over it without inflating it.  Each task rotates its
 files at ``maxFileBytes``; the driver's commit writes ``_MANIFEST``, and only
 files named there are read, so files of failed or repeated attempts don't count.
 
+A second write into a folder adds its files to the manifest.  A folder without a
+manifest, or a single file, is read too: members without the extra field are
+inflated to be passed over, and plain records are stepped over by their length.
+
 Reading plans partitions from file sizes, takes record-type and other header
 predicates from the query (``spark.sql.python.filterPushdown.enabled``), inflates
 the first bytes of a record for its headers, and inflates and decodes the payload
@@ -89,7 +93,7 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
 
 
 def _parse_head(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    lines = head.decode("utf-8", "surrogateescape").split("\r\n")
     return dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
 
 
@@ -124,33 +128,83 @@ def _passes(row: dict, filters) -> bool:
     return True
 
 
+class _Member:
+    """A record's bytes as they come: ``read(n)`` gives at most ``n`` more, b"" at the
+    end; ``close`` leaves the file at the next record."""
+
+    def __init__(self, f):
+        self.f, self.at = f, f.tell()
+        fixed = f.read(_OFF)
+        self.empty = not fixed
+        self.inflate = self.total = None
+        if fixed[:4] == b"\x1f\x8b\x08\x04" and len(fixed) == _OFF and fixed[12:14] == b"sl":
+            self.total = _MEMBER.unpack(fixed)[7]
+            self.inflate, self.left = zlib.decompressobj(-15), self.total - _OFF - 8
+        else:
+            f.seek(self.at)
+            if fixed[:2] == b"\x1f\x8b":
+                self.inflate, self.left = zlib.decompressobj(31), 1 << 62
+
+    def read(self, n: int) -> bytes:
+        if self.inflate is None:
+            return self.f.read(n)
+        while not self.inflate.eof:
+            raw = self.inflate.unconsumed_tail
+            if not raw:
+                raw = self.f.read(min(self.left, 4096))
+                self.left -= len(raw)
+                if not raw:
+                    break
+            if got := self.inflate.decompress(raw, n):
+                return got
+        return b""
+
+    def close(self, start: int, length: int, got: int) -> None:
+        """``start`` and ``length`` of the block, of which ``got`` bytes were read."""
+        if self.total is not None:
+            self.f.seek(self.at + self.total)
+        elif self.inflate is None:
+            self.f.seek(self.at + start + length + 4)
+        else:
+            while self.read(1 << 16):
+                pass
+            self.f.seek(self.f.tell() - len(self.inflate.unused_data))
+
+
 def read_records(f, filters=(), payload: bool = True) -> Iterator[dict]:
     """Records of an open archive.  Headers come first; a record that fails the
     filters is stepped over."""
     while True:
-        at = f.tell()
-        fixed = f.read(_OFF)
-        if not fixed:
+        member = _Member(f)
+        if member.empty:
             return
-        magic, _, _, _, extra, tag, _, total, _ = _MEMBER.unpack(fixed)
-        if magic != b"\x1f\x8b\x08\x04" or extra != 12 or tag != b"sl":
-            raise ValueError("not a member with the extra field sl")
-        inflate, plain = zlib.decompressobj(-15), b""
-        left = total - _OFF
-        while b"\r\n\r\n" not in plain and left > 0:
-            raw = f.read(min(left, 2048))
-            left -= len(raw)
-            plain += inflate.decompress(inflate.unconsumed_tail + raw, 4096)
-        head, _, plain = plain.partition(b"\r\n\r\n")
+        plain = b""
+        while b"\r\n\r\n" not in plain and (more := member.read(4096)):
+            plain += more
+        head, _, block = plain.partition(b"\r\n\r\n")
+        if not head.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
         headers = _parse_head(head)
-        row = _header_row(headers)
+        row, length = _header_row(headers), int(headers["Content-Length"])
         if _passes(row, filters):
             row["headers"] = headers
             if payload and row["record_type"] == "response":
-                block = plain + inflate.decompress(inflate.unconsumed_tail + f.read(left)) + inflate.flush()
-                row["payload"] = block[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
+                parts, n = [block], len(block)
+                while n < length and (more := member.read(min(length - n, 1 << 20))):
+                    parts.append(more)
+                    n += len(more)
+                block = b"".join(parts)[:length]
+                row["payload"] = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
             yield row
-        f.seek(at + total)
+        member.close(len(head) + 4, length, len(block))
+
+
+def _manifest(fs, root: str) -> list | None:
+    """Names and sizes of the archive's files; None if there is no manifest."""
+    if fs.get_file_info(f"{root}/_MANIFEST").type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(f"{root}/_MANIFEST") as f:
+        return [tuple(x) for x in json.loads(f.read())]
 
 
 @dataclass
@@ -168,7 +222,8 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters):
         kinds = {EqualTo: "=", EqualNullSafe: "safe", LessThan: "<", LessThanOrEqual: "<=", GreaterThan: ">", GreaterThanOrEqual: ">=", In: "in", StringStartsWith: "starts"}
         for x in filters:
-            col = x.attribute[0] if len(x.attribute) == 1 else None
+            name = getattr(x, "attribute", ())  # negations have none
+            col = name[0] if len(name) == 1 else None
             if col in HEADER_COLUMNS and isinstance(x, IsNotNull):
                 self.filters.append(("notnull", col, None))
             elif col in HEADER_COLUMNS and type(x) in kinds:
@@ -178,8 +233,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = _fs(self.path)
-        with fs.open_input_stream(f"{root}/_MANIFEST") as f:
-            files = json.loads(f.read())
+        about = fs.get_file_info(root)
+        if about.type == pafs.FileType.File:
+            return [_Files([""])]
+        files = _manifest(fs, root)
+        if files is None:
+            found = fs.get_file_info(pafs.FileSelector(root))
+            files = [(x.base_name, x.size) for x in found if x.type == pafs.FileType.File and x.base_name.endswith((".warc", ".warc.gz"))]
         packs, held = [], None
         for name, size in sorted(files):
             if held is None or held[1] + size > self.pack:
@@ -193,7 +253,7 @@ class WarcReader(DataSourceReader):
         kind = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("refers_to", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
         for name in partition.names:
             rows, held = [], 0
-            with fs.open_input_file(f"{root}/{name}") as f:
+            with fs.open_input_file(f"{root}/{name}" if name else root) as f:
                 for row in read_records(f, self.filters, self.payload):
                     row["headers"] = [*row["headers"].items()]
                     rows.append(row)
@@ -213,8 +273,8 @@ class _Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Takes page_id, url, payload, record_type, payload_digest, refers_to."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.most = int(options.get("maxfilebytes", 64 << 20))
         self.date = options.get("date") or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -244,8 +304,9 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
+        before = [] if self.overwrite else _manifest(fs, root) or []
         with fs.open_output_stream(f"{root}/_MANIFEST") as f:
-            f.write(json.dumps([x for m in messages if m is not None for x in m.files]).encode())
+            f.write(json.dumps(before + [x for m in messages if m is not None for x in m.files]).encode())
 
 
 class WarcDataSource(DataSource):
@@ -260,7 +321,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite):
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

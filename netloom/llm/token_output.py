@@ -4,14 +4,16 @@ A shard is a run of records in ascending key order:
 
     length of data   unsigned 64-bit little-endian
     masked checksum of those eight bytes   unsigned 32-bit
-    data   key (signed 64-bit; ``NULL_KEY`` for null), then the ids, 16-bit where
-           the vocabulary fits, else 32-bit (the shard's name ends in .u16 / .u32)
+    data   one byte (1 where the key is null), key (signed 64-bit, zero where it is
+           null), then the ids, 16-bit where the vocabulary fits, else 32-bit (the
+           shard's name ends in .u16 / .u32)
     masked checksum of data   unsigned 32-bit
 
 The checksum is CRC-32, masked as TFRecord files mask theirs (rotated right by 15
 bits plus a constant), so that a checksum of data holding checksums stays good.
 Beside each shard lies ``<shard>.idx``, a 16-byte header and for each record its
-offset and key, so that a reader can fetch records in any order.
+offset and key (``NULL_KEY`` for null; the record itself tells), so that a reader can
+fetch records in any order.  A shard is closed at ``MAX_SHARD_BYTES``.
 
 Tasks write under names of their own (shard and a random suffix) and return one
 manifest row each; only files named by the manifest are ever read, so a task that
@@ -30,7 +32,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +44,15 @@ NULL_KEY = -(2**63)
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _SUM = struct.Struct("<I")
-_KEY = struct.Struct("<q")
+_KEY = struct.Struct("<?q")
+_KEY_BYTES = 9
 _MAGIC = b"NLIX\x01\x00\x00\x00"
 # A text is cut at ASCII white space; characters that str.split() also takes are looked for first.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _PART = re.compile("[^ \t-\r]+")
 MAX_HELD = 500_000
+#: A shard is closed once it has so many bytes.
+MAX_SHARD_BYTES = 256 << 20
 
 
 def masked(data: bytes) -> int:
@@ -60,12 +65,13 @@ def frame(data: bytes) -> bytes:
     return b"".join((n, _SUM.pack(masked(n)), data, _SUM.pack(masked(data))))
 
 
-def key_bytes(key: int) -> bytes:
-    return _KEY.pack(key)
+def key_bytes(key: int | None) -> bytes:
+    return _KEY.pack(key is None, key or 0)
 
 
-def key_of(data: bytes) -> int:
-    return _KEY.unpack_from(data)[0]
+def key_of(data: bytes) -> int | None:
+    null, key = _KEY.unpack_from(data)
+    return None if null else key
 
 
 def index_bytes(index: list[tuple[int, int]]) -> bytes:
@@ -130,7 +136,7 @@ def cuts_at_space(tokenizer) -> bool:
     return pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed"
 
 
-def write_token_records(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def write_token_records(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, max_shard_bytes: int = MAX_SHARD_BYTES) -> DataFrame:
     """Encode every text, append ``end_id`` and write shards in ascending
     ``id_col`` order below ``path`` (the shared folder if not given).
 
@@ -147,39 +153,46 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, end_id: int = 2, i
     end = np.array([end_id], dtype).tobytes()
     width = len(end)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyspark import TaskContext
 
-        encode, shard, out, at = _encoder(tokenizer_path, dtype), TaskContext.get().partitionId(), None, 0
-        index, n_tokens = [], 0
-        for pdf in batches:
-            for key, text in zip(pdf["id"].array, pdf["text"].array, strict=True):
+        encode, shard, out = _encoder(tokenizer_path, dtype), TaskContext.get().partitionId(), None
+        fs, root = open_fs(base)
+        part = 0
+
+        def closed():
+            out.close()
+            with fs.open_output_stream(name + ".idx") as f:
+                f.write(index_bytes(index))
+            row = ([shard], [part], [name], [dtype], [len(index)], [n_tokens])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["shard", "part", "path", "dtype", "n_records", "n_tokens"])
+
+        for batch in batches:
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 if out is None:
-                    fs, root = open_fs(base)
                     fs.create_dir(root, recursive=True)
-                    name = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.{'u16' if width == 2 else 'u32'}"
-                    out = fs.open_output_stream(name, buffer_size=1 << 20)
-                ids = encode(text) + end
-                k = NULL_KEY if key is None or key != key or key is pd.NA else int(key)
-                record = frame(key_bytes(k) + ids)
+                    name = f"{root}/shard-{shard:06d}-{part:04d}-{uuid.uuid4().hex}.{'u16' if width == 2 else 'u32'}"
+                    out, at, index, n_tokens = fs.open_output_stream(name, buffer_size=1 << 20), 0, [], 0
+                ids = encode(text.as_py()) + end
+                record = frame(key_bytes(key) + ids)
                 out.write(record)
-                index.append((at, k))
+                index.append((at, NULL_KEY if key is None else key))
                 at += len(record)
                 n_tokens += len(ids) // width
+                if at >= max_shard_bytes:
+                    yield closed()
+                    out, part = None, part + 1
         if out is not None:
-            out.close()
-            with fs.open_output_stream(name + ".idx") as f:
-                f.write(index_bytes(index))
-            yield pd.DataFrame({"shard": [shard], "path": [name], "dtype": [dtype], "n_records": [len(index)], "n_tokens": [n_tokens]})
+            yield closed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    made = dealt.mapInPandas(run, "shard int, path string, dtype string, n_records long, n_tokens long").collect()
+    made = dealt.mapInArrow(run, "shard int, part int, path string, dtype string, n_records long, n_tokens long").collect()
     manifest, start = [], 0
-    for r in sorted(made, key=lambda r: r.shard):
-        manifest.append((r.shard, r.path, r.dtype, r.n_records, r.n_tokens, start, base))
+    for i, r in enumerate(sorted(made, key=lambda r: (r.shard, r.part))):  # a row for each shard of max_shard_bytes
+        manifest.append((i, r.path, r.dtype, r.n_records, r.n_tokens, start, base))
         start += r.n_tokens
     return spark.createDataFrame(manifest, "shard int, path string, dtype string, n_records long, n_tokens long, start long, base string")
 
@@ -188,38 +201,40 @@ def read_token_records(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """The records of a manifest: key, start, n_tokens, ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers) and, if asked for, ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for base, path, dtype, start in zip(pdf["base"], pdf["path"], pdf["dtype"], pdf["start"], strict=True):
-                fs, _ = open_fs(base)
-                rows, held = [], 0
-                with fs.open_input_stream(path, buffer_size=1 << 20) as f:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                fs, _ = open_fs(r["base"])
+                rows, held, start, dtype = [], 0, r["start"], r["dtype"]
+                with fs.open_input_stream(r["path"], buffer_size=1 << 20) as f:
                     while (data := read_frame(f)) is not None:
-                        ids = np.frombuffer(data, dtype, offset=8).astype("<u4")
-                        key = key_of(data)
-                        rows.append((None if key == NULL_KEY else key, start, len(ids), zlib.crc32(ids.tobytes()), *([ids.astype("<i4")] if with_ids else [])))
+                        ids = np.frombuffer(data, dtype, offset=_KEY_BYTES).astype("<u4")
+                        rows.append((key_of(data), start, len(ids), zlib.crc32(ids.tobytes()), *([ids.astype("<i4")] if with_ids else [])))
                         start, held = start + len(ids), held + len(data)
                         if len(rows) >= 4096 or held > 16 << 20 and with_ids:
-                            yield _frame_rows(rows, with_ids)
+                            yield columns(rows)
                             rows, held = [], 0
-                yield _frame_rows(rows, with_ids)
+                yield columns(rows)
+
+    kinds = [("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])]
 
-    def _frame_rows(rows, with_ids):
-        out = pd.DataFrame(rows, columns=["key", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
-        return out.astype({"key": "Int64"})
+    def columns(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
-    return manifest.mapInPandas(run, "key long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
+    # a shard is one task's work
+    files = manifest.repartition(max(1, manifest.count()), "path") if manifest.count() else manifest
+    return files.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
-def read_record_at(uri: str, path: str, n: int) -> tuple[int, np.ndarray]:
+def read_record_at(uri: str, path: str, n: int) -> tuple[int | None, np.ndarray]:
     """Record ``n`` of a shard through its offset index, for shuffled reads."""
     fs, _ = open_fs(uri)
     with fs.open_input_file(path + ".idx") as f:
         if f.read(8) != _MAGIC:
             raise ValueError("no offset index")
         f.seek(16 + 16 * n)
-        offset, key = struct.unpack("<qq", f.read(16))
+        offset = struct.unpack("<q", f.read(16)[:8])[0]
     with fs.open_input_file(path) as f:
         f.seek(offset)
         data = read_frame(f)
-    return key, np.frombuffer(data, "<u2" if path.endswith(".u16") else "<u4", offset=8)
+    return key_of(data), np.frombuffer(data, "<u2" if path.endswith(".u16") else "<u4", offset=_KEY_BYTES)

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Only joins and aggregates with partial aggregation: no group is gathered, and a
-hub's rows are dealt over ``SALTS`` parts.  The edges of every round are
+hub's edges are dealt over ``SALTS`` tasks.  The edges of every round are
 written to the shared folder, which cuts the lineage and survives lost
 executors.  Self-loops keep their node as a component of its own; an edge with a
 null end is ignored; repeated edges and an empty table are fine.
@@ -15,25 +15,23 @@ from pyspark.sql import functions as F
 from netloom.llm.common import written
 
 
-#: Parts into which the neighbours of a node are dealt.
-SALTS = 64
+#: Copies of a node's least neighbour, so that a hub's edges meet it on several tasks.
+SALTS = 8
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: each node's larger neighbours are linked to its least one.
-    Small star: each node and its smaller neighbours are linked to the least.
-
-    The least neighbour is found for each part of a node's neighbours, then for the
-    node, and goes back to the parts, so that no task holds a hub's neighbours."""
-    near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    near = near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    parts = near.groupBy("a", "part").agg(F.min("b").alias("m"))
-    least = parts.groupBy("a").agg(F.min("m").alias("m")).withColumn("m", F.least("a", "m"))
-    linked = near.join(parts.drop("m").join(least, "a").hint("merge"), ["a", "part"])
+    """Edges run from the larger node ``a`` to the smaller ``b``.  Large star: each
+    node's larger neighbours are linked to its least one.  Small star: each node and
+    its smaller neighbours are linked to the least.  A node without a smaller
+    neighbour is its own least."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    dealt = least.select(F.col("a").alias("node"), "m", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("part"))
+    here, there = ("b", "a") if large else ("a", "b")
+    near = edges.withColumn("part", F.pmod(F.xxhash64(there), F.lit(SALTS)).cast("int"))
+    linked = near.join(dealt.hint("merge"), (near[here] == dealt["node"]) & (near["part"] == dealt["part"]), "left")
     if large:
-        out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        return linked.select("a", F.coalesce("m", "b").alias("b"))
+    out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 

@@ -8,22 +8,20 @@ similarity of their sets is at least 0.8.
 2. *Forest.*  A class has a signature of ``trees`` labels of ``max_depth`` MinHash
    values each; tree by tree the labels, in order, are a prefix trie.  Classes that
    share no prefix of the least depth with any other are done.
-3. *Descent.*  The matched prefix starts at full depth and is shortened step by step.
-   At each depth the classes of a trie node are linked to its least member, connected
-   components of those links are groups, and in every group that has changed since
-   the depth before any two classes are compared exactly.  From the links found and
-   their similarities follows how many may still be missing: a link of similarity s
-   meets at depth d with probability p = 1 - (1 - s**d)**trees, so it stands for
-   (1 - p) / p others.  The prefix is shortened no more once the share found reaches
-   ``target_recall``; the least depth is the one at which even a link of the very
-   threshold meets with that probability, and it is reached wherever no link is found.
-4. *Verification.*  A small group is one unit of work on some task.  A large one is
-   dealt into hashed blocks; its texts are compared with one of them once and from
-   then on stand for their differences from it, a few shingles for near copies, and
-   each pair of blocks is a unit.  A unit counts the links of each class and joins
-   linked classes by union-find; it returns one row per class, not one per pair.
-   Blocks grow with their group, so that texts are dealt to 32 units up to 262,144
-   different near copies; all pairs are compared, but copies only once.
+3. *Descent.*  In each trie node of the least depth every class is held against the
+   node's least class: how long a prefix do their labels share in any tree?  From the
+   full depth on the matched prefix is shortened, step by step, until the share of
+   these pairs that meet reaches ``target_recall``.  The least depth is the one at
+   which even two texts at the very threshold meet with that probability.
+4. *Groups.*  At the depth found, the classes below one trie node are linked to the
+   node's least class only; connected components of those links are groups.
+5. *Verification.*  In a group any two classes are compared exactly.  A small group is
+   one unit of work on some task.  A large one is dealt into hashed blocks; its texts
+   are compared with one of them once and from then on stand for their differences
+   from it, a few shingles for near copies, and each pair of blocks is a unit.  A unit
+   counts the links of each class and joins linked classes by union-find; it returns
+   one row per class, not one per pair.  Blocks grow with their group, so that texts
+   are dealt to at most 32 units up to 262,144 different near copies.
 
 Defined results: texts without words have no shingles, form one class and no links;
 documents without an id take part (a class's id is the least of its documents', null
@@ -48,8 +46,6 @@ from netloom.llm.components import connected_components
 WORDS = 5
 THRESHOLD = 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 40, 12, 0.9999
-#: Depths by which a prefix is shortened at once.
-STEP = 3
 #: Classes of a block, and shingles of all its classes.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 SALTS = 16
@@ -102,6 +98,17 @@ def least_depth(threshold: float, trees: int, max_depth: int, target_recall: flo
     raise ValueError("no prefix reaches this recall with so few trees")
 
 
+def descend(met: dict[int, int], least: int, max_depth: int, target_recall: float) -> int:
+    """The depth to which a matched prefix has to be shortened: ``met`` counts pairs by
+    the longest prefix that they share; all that share the least one are to be found."""
+    whole, found = sum(met.values()), 0
+    for depth in range(max_depth, least, -1):
+        found += met.get(depth, 0)
+        if found >= target_recall * whole:
+            return depth
+    return least
+
+
 class Signature:
     """MinHash values of a set: ``bins`` values, each equal for two sets with the
     probability of their similarity.
@@ -242,29 +249,25 @@ def _joined(n: int, i: np.ndarray, j: np.ndarray, root: list[int]) -> None:
         root[x] = find(x)
 
 
-def unit(left: list[Text], right: list[Text] | None, threshold: float, trees: int, depth: int) -> list[tuple[int, int, int, float]]:
-    """A row (cls, links, least class linked to it, links that may be missing) for
-    each class of a unit of work."""
+def unit(left: list[Text], right: list[Text] | None, threshold: float) -> list[tuple[int, int, int]]:
+    """A row (cls, links, least class linked to it) for each class of a unit of work."""
     texts = sorted(left, key=lambda t: t.cls) + sorted(right or [], key=lambda t: t.cls)
     cls = np.array([t.cls for t in texts], dtype=np.int64)
     by = np.argsort(cls, kind="stable")  # union-find over classes in order: a root is the least
     rank = np.empty(len(cls), dtype=np.int64)
     rank[by] = np.arange(len(cls))
-    links, missing, root = np.zeros(len(cls), dtype=np.int64), np.zeros(len(cls)), [*range(len(cls))]
-    for i, j, s in compare(texts[: len(left)], texts[len(left) :] if right is not None else None, threshold):
-        p = 1 - (1 - s**depth) ** trees
-        for x in (i, j):
-            links += np.bincount(x, minlength=len(cls))
-            missing += np.bincount(x, (1 - p) / p, minlength=len(cls))
+    links, root = np.zeros(len(cls), dtype=np.int64), [*range(len(cls))]
+    for i, j, _ in compare(texts[: len(left)], texts[len(left) :] if right is not None else None, threshold):
+        links += np.bincount(i, minlength=len(cls)) + np.bincount(j, minlength=len(cls))
         _joined(len(cls), rank[i], rank[j], root)
-    return [*zip(cls.tolist(), links.tolist(), cls[by[[root[r] for r in rank.tolist()]]].tolist(), missing.tolist(), strict=True)]
+    return [*zip(cls.tolist(), links.tolist(), cls[by[[root[r] for r in rank.tolist()]]].tolist(), strict=True)]
 
 
-_FOUND = "cls long, links long, root long, missing double"
+_FOUND = "cls long, links long, root long"
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["cls", "links", "root", "missing"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["cls", "links", "root"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
@@ -280,7 +283,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
     return groupby(rows(), key=lambda r: tuple(r[k].as_py() for k in keys))
 
 
-def _verify_small(texts: DataFrame, words: int, threshold: float, trees: int, depth: int) -> DataFrame:
+def _verify_small(texts: DataFrame, words: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, out = Shingler(words), []
         for _, rows in _runs(batches, ("grp",)):
@@ -289,7 +292,7 @@ def _verify_small(texts: DataFrame, words: int, threshold: float, trees: int, de
                 if (c := r["cls"].as_py()) not in held:  # rows repeated with id and text
                     s = shingle(r["text"].as_py())
                     held[c] = Text(c, len(s), s, _NONE)
-            out += unit([*held.values()], None, threshold, trees, depth)
+            out += unit([*held.values()], None, threshold)
             if len(out) > 4096:
                 yield _found(out)
                 out = []
@@ -298,7 +301,7 @@ def _verify_small(texts: DataFrame, words: int, threshold: float, trees: int, de
     return texts.select("grp", "cls", "text").repartition("grp").sortWithinPartitions("grp", "cls").mapInArrow(run, _FOUND)
 
 
-def _verify_large(texts: DataFrame, words: int, threshold: float, trees: int, depth: int) -> DataFrame:
+def _verify_large(texts: DataFrame, words: int, threshold: float) -> DataFrame:
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
 
@@ -332,7 +335,7 @@ def _verify_large(texts: DataFrame, words: int, threshold: float, trees: int, de
                 unsigned = lambda c: np.array(r[c].values, dtype=np.int64).view(np.uint64)  # noqa: B023,E731
                 blocks[r["block"].as_py()].append(Text(*(r[c].as_py() for c in ("cls", "n")), unsigned("plus"), unsigned("minus"), *(r[c].as_py() for c in ("relative", "base", "common"))))
             if blocks[bi]:
-                yield _found(unit(blocks[bi], None if bi == bj else blocks[bj], threshold, trees, depth))
+                yield _found(unit(blocks[bi], None if bi == bj else blocks[bj], threshold))
 
     # the least class of a group goes to each of its blocks, before the block's own classes
     blocks = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
@@ -367,52 +370,49 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(names), pa.array(sizes, pa.int32()), *lists], ["id", "hash", "name", "n", "nodes", "below"])
 
     filed = written(rows.mapInArrow(file, "id long, hash long, name string, n int, nodes array<long>, below array<long>"))
-    # one document stands for its class; classes are numbered in the order of their ids
+    # one document stands for its class
     order = F.struct(F.col("id").isNull().alias("without"), "id", "hash")
-    classes = filed.groupBy("name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n_copies")).repartitionByRange("first").sortWithinPartitions("first", "name")
+    classes = filed.groupBy("name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     classes = written(classes.select("name", "n_copies", F.col("first.id").alias("class_id"), F.col("first.hash").alias("hash"), F.monotonically_increasing_id().alias("cls")))
     same = filed.id.eqNullSafe(classes.class_id) & (filed.hash == classes.hash) & (filed.name == classes.name)
-    first = filed.join(classes, same).select("cls", "n", F.explode(F.arrays_zip("nodes", "below")).alias("x")).select("cls", "n", F.col("x.nodes").alias("node"), F.col("x.below").alias("below"))
-    shared = first.groupBy("node").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("node")
-    live = written(first.join(shared, "node"))
-    met = live.select("cls", "n").distinct()
+    place = F.explode(F.arrays_zip("nodes", "below")).alias("x")
+    first = filed.join(classes, same).select("cls", "n", place).select("cls", "n", F.col("x.nodes").alias("node"), F.col("x.below").alias("below"))
+    low = first.groupBy("node").agg(F.min(F.struct("cls", "below")).alias("low"), F.max("cls").alias("high")).where("low.cls < high")
+    live = written(first.join(low, "node").select("cls", "n", "node", "below", "low"))
+
+    apart = F.col("below").bitwiseXOR(F.col("low.below"))
+    shared = F.lit(least)
+    for depth in range(least + 1, max_depth + 1):
+        shared = F.when(apart < F.lit(1 << _BITS * (max_depth - depth)), F.lit(depth)).otherwise(shared)
+    stars = written(live.where("cls > low.cls").groupBy(F.col("cls").alias("src"), F.col("low.cls").alias("dst")).agg(F.max(shared).alias("depth")))
+    met = {r.depth: r["count"] for r in stars.groupBy("depth").count().collect()}  # a row for each depth
+    depth = descend(met, least, max_depth, target_recall)
+    if depth > least:
+        keyed = live.select("cls", F.xxhash64("node", F.shiftright("below", _BITS * (max_depth - depth))).alias("key"))
+        head = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "low")
+        stars = keyed.join(head, "key").where("cls > low").select(F.col("cls").alias("src"), F.col("low").alias("dst")).distinct()
+
+    members = written(connected_components(stars).select(F.col("node").alias("cls"), F.col("component").alias("grp")).join(live.select("cls", "n").distinct(), "cls"))
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    per = F.greatest(F.lit(block), F.least(F.lit(8192), F.col("m") / 32))
+    nb = F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    placed = members.select("cls", "grp").join(sizes.select("grp", nb.alias("nb")), "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     by_text = rows.id.eqNullSafe(classes.class_id) & (rows.hash == classes.hash)
     # candidates grow with the data, so they are never broadcast: one plan at every size
-    texts = written(rows.join(classes.join(met, "cls").hint("merge"), by_text).select("cls", "n", "text"))
-
-    members, found = None, None
-    for depth in [*range(max_depth, least, -STEP), least]:
-        key = F.col("node") if depth == least else F.xxhash64("node", F.shiftright("below", _BITS * (max_depth - depth)))
-        keyed = live.select("cls", key.alias("key"))
-        low = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "low")
-        stars = keyed.join(low, "key").where("cls > low").select(F.col("cls").alias("src"), F.col("low").alias("dst")).distinct()
-        if members is not None:
-            stars = stars.unionByName(members.select(F.col("cls").alias("src"), F.col("grp").alias("dst")))
-        grouped = connected_components(stars).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-        was = grouped.withColumn("was", F.lit(None).cast("long")) if members is None else grouped.join(members.withColumnRenamed("grp", "was"), "cls", "left")
-        was = written(was)
-        sizes = was.join(met, "cls").groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.count("was").alias("known"), F.min("was").alias("a"), F.max("was").alias("z"))
-        per = F.greatest(F.lit(block), F.least(F.lit(8192), F.col("m") / 32))
-        nb = F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
-        changed = sizes.where("known < m or a < z").select("grp", nb.alias("nb"))
-        placed = written(was.join(changed, "grp").select("cls", "grp", "nb", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int").alias("block")))
-        work = texts.select("cls", "text").join(placed.hint("merge"), "cls")
-        how = (words, threshold, trees, depth)
-        one = _verify_small(work.where("nb = 1"), *how).withColumn("whole", F.lit(True))
-        many = _verify_large(work.where("nb > 1"), *how).withColumn("whole", F.lit(False))
-        new = one.unionByName(many)
-        if found is not None:
-            new = new.unionByName(found.join(placed.select("cls"), "cls", "left_anti"))
-        found, members = written(new), was.select("cls", "grp")
-        links, missing = found.agg(F.sum("links"), F.sum("missing")).first()
-        if links and links >= target_recall * (links + missing):
-            break
-
-    counted = found.groupBy("cls").agg(F.sum("links").alias("n_links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))
-    spread = connected_components(found.where(~F.col("whole")).select(F.col("cls").alias("src"), F.col("root").alias("dst")))
-    joined = counted.join(spread.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n_links", F.coalesce("root", "component").alias("head")).where("n_links > 0")
-    # a hub's row is copied, so that a large cluster's classes meet it on several tasks
-    heads = joined.select("head").distinct().join(classes.select(F.col("cls").alias("head"), F.col("class_id").alias("cluster_id")), "head").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    work = written(rows.join(classes.join(placed, "cls").hint("merge"), by_text).select("grp", "nb", "block", "cls", "text"))
+    one = _verify_small(work.where("nb = 1"), words, threshold).withColumn("whole", F.lit(True))
+    many = _verify_large(work.where("nb > 1"), words, threshold).withColumn("whole", F.lit(False))
+    found = written(one.unionByName(many).where("links > 0"))
+
+    counted = found.groupBy("cls").agg(F.sum("links").alias("n_links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("head"))
+    parts = found.where(~F.col("whole")).select(F.col("cls").alias("src"), F.col("root").alias("dst"))
+    if not parts.isEmpty():
+        spread = connected_components(parts).withColumnRenamed("node", "cls")
+        counted = counted.join(spread, "cls", "left").select("cls", "n_links", F.coalesce("head", "component").alias("head"))
+    joined = counted.join(classes.select("cls", "class_id"), "cls")
+    # a cluster's row is copied, so that a large cluster's classes meet it on several tasks
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    heads = joined.groupBy("head").agg(F.min("class_id").alias("cluster_id")).withColumn("salt", salts)
     named = joined.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(heads, ["head", "salt"]).select("cls", "n_links", "cluster_id", F.lit(True).alias("linked"))
     cluster = F.when(F.col("linked"), F.col("cluster_id")).otherwise(F.col("class_id"))
     known = classes.join(named, "cls", "left").select("name", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cluster.alias("cluster_id"))

@@ -90,6 +90,24 @@ def test_warc_reader_skips_payloads(tmp_path):
     assert [r["page_id"] for r in got] == [1] and "payload" not in got[0]
 
 
+def test_warc_long_header_and_foreign_archives(spark, tmp_path):
+    import gzip
+
+    url = "http://x/" + "a" * 100_000
+    df = spark.createDataFrame([(BIG, url, "body " * 50), (None, "u", "b")], "page_id long, url string, html string")
+    path = warc.write_archive(df)
+    got = {r.page_id: (r.target_uri, bytes(r.payload)) for r in warc.read_archive(spark, path).collect()}
+    assert got == {BIG: (url, b"body " * 50), None: ("u", b"b")}
+    warc.revisits(df.limit(1)).write.format("warc").mode("append").option("path", path).save()
+    assert warc.read_archive(spark, path).count() == 3
+    records = [warc.record_bytes(i, url, b"p" * i * 9000, "response", "d", None, "now") for i in range(3)]
+    for name, data in (("a.warc.gz", b"".join(map(gzip.compress, records))), ("b.warc", b"".join(records))):
+        (tmp_path / name).write_bytes(data)
+        one = warc.read_archive(spark, str(tmp_path / name)).where("page_id <> 1").collect()
+        assert [(r.page_id, len(r.payload), r.target_uri == url) for r in one] == [(0, 0, True), (2, 18000, True)]
+    assert warc.read_archive(spark, str(tmp_path)).count() == 6
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1000 + i + 1) for i in range(60)] + [(5000, i) for i in range(6000, 6400)] + [(7, 7), (None, 3), (3, None)]
@@ -177,6 +195,10 @@ def test_decontamination(spark, odd, none):
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in source.items() if k[-1] == "False")
     cut = decontamination.remove_contaminated(docs, bench, mode="spans")
     assert cut.count() == docs.count() and decontamination.scan(cut.where("text like 'pre%'"), bench).first().n_hit == 0
+    big = spark.createDataFrame([(BIG, "a b c d e"), (None, "x")], "doc_id long, text string")
+    for most in (decontamination.MAX_BROADCAST_BYTES, 200):
+        assert {(r.doc_id, r.n_hit) for r in decontamination.scan(big, bench, max_broadcast_bytes=most).collect()} == {(BIG, 5), (None, 0)}
+        assert [r.doc_id for r in decontamination.remove_contaminated(big, bench, max_broadcast_bytes=most).collect()] == [None]
     assert decontamination.scan(none, bench).count() == 0 and decontamination.scan(odd, bench.limit(0)).count() == odd.count()
 
 
@@ -269,18 +291,20 @@ def test_relative_texts_compare_like_sets():
 
 
 def test_prefix_is_shortened_only_as_far_as_needed(spark):
-    rng = random.Random(4)
-    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    assert jaccard_join.descend({12: 990, 9: 9, 7: 1}, 7, 12, 0.99) == 12
+    assert jaccard_join.descend({12: 990, 9: 9, 7: 1}, 7, 12, 0.999) == 9
+    assert jaccard_join.descend({12: 990, 9: 9, 7: 1}, 7, 12, 0.9999) == 7
+    base = [f"w{i * 7919 % 5000}" for i in range(400)]
     near = [" ".join([*base[:-1], f"end{i}"]) for i in range(6)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(near)], "doc_id long, text string")
-    depths, real = [], jaccard_join.connected_components
-    jaccard_join.connected_components = lambda e, **k: depths.append(1) or real(e, **k)
+    got = []
+    real = jaccard_join.descend
+    jaccard_join.descend = lambda *a: got.append(real(*a)) or got[-1]
     try:
-        got = jaccard_join.jaccard_join(docs).collect()
+        rows = jaccard_join.jaccard_join(docs).collect()
     finally:
-        jaccard_join.connected_components = real
-    assert all(r.n_links == 5 and r.cluster_id == 0 for r in got)
-    assert len(depths) == 2  # one depth, and the components of the links
+        jaccard_join.descend = real
+    assert got == [12] and all(r.n_links == 5 and r.cluster_id == 0 for r in rows)
 
 
 SP = public_tokenizers.path("piece_bpe_32k.model")
@@ -405,7 +429,10 @@ def test_token_output(spark, odd, none):
     assert collections.Counter((r.key, tuple(r.ids)) for r in got) == want
     shard = manifest.orderBy("shard").first()
     key, ids = token_output.read_record_at(shard.base, shard.path, shard.n_records - 1)
-    assert any((key if key != token_output.NULL_KEY else None) == r.key and list(ids) == r.ids for r in got)
+    assert any(key == r.key and list(ids) == r.ids for r in got)
+    big = spark.createDataFrame([(BIG, "a b"), (None, "c"), (-(2**63), "d")], "doc_id long, text string")
+    many = token_output.write_token_records(big, WORD, max_shard_bytes=1)
+    assert many.count() == 3 and [r.key for r in token_output.read_token_records(many).orderBy("start").collect()] == [None, -(2**63), BIG]
     assert token_output.read_token_records(token_output.write_token_records(none, WORD)).count() == 0
 
 

@@ -33,7 +33,7 @@ _add(
     _on("flows", circuits.classify_relay_traffic),
     duck("flows") + f""", x AS (SELECT src_ip, dst_ip AS relay_ip, count(*) AS flows, sum(total_bytes)::BIGINT AS bytes, sum(total_bytes) / sum(packet_count) AS b, avg(session_duration) AS d
       FROM flows WHERE {_internal('src_ip')} AND dst_ip IN {_GUARDS} GROUP BY ALL)
-    SELECT src_ip, relay_ip, flows, bytes, round(b, 1) AS bytes_per_packet, round(d, 2) AS mean_duration, CASE WHEN b < 200 AND d < 5 THEN 'name_lookups' WHEN b > 800 AND bytes > 500000 THEN 'file_download'
+    SELECT src_ip, relay_ip, flows, bytes, round(b, 1) AS bytes_per_packet, round(d, 2) AS mean_duration, CASE WHEN b < 200 AND d < 5 THEN 'dns_over_tor' WHEN b > 800 AND bytes > 500000 THEN 'file_download'
       WHEN b > 200 AND b < 600 AND d > 30 THEN 'web_browsing' WHEN b < 150 AND flows > 20 THEN 'c2_beaconing' WHEN bytes > 5000000 AND d > 120 THEN 'streaming' ELSE 'general' END AS kind FROM x""",
 )
 

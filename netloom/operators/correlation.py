@@ -237,7 +237,7 @@ def triage(alerts: DataFrame, rules=TRIAGE_RULES) -> DataFrame:
 # The states that may follow each state.
 TRANSITIONS = {
     "new": ("triaged", "investigating", "escalated", "resolved", "false_positive"), "triaged": ("investigating", "escalated", "resolved", "false_positive"),
-    "investigating": ("escalated", "resolved", "false_positive"), "escalated": ("investigating", "resolved"), "resolved": ("investigating",), "false_positive": ("investigating",),
+    "investigating": ("escalated", "resolved", "false_positive"), "escalated": ("investigating", "resolved"), "resolved": ("new",), "false_positive": ("new",),
 }
 
 

@@ -276,7 +276,7 @@ _add(
       round(length(regexp_replace(l, '[^0-9]', '', 'g')) / n, 4) AS di, round(least(1.0e0, greatest(0.0e0, (n - 8) / 20)), 4) AS le, round(least(1.0e0, coalesce(list_max(list_transform(regexp_extract_all(l, '{_CONS}+'), lambda v: length(v))), 0) / 5), 4) AS ru,
       round(len(list_distinct(string_split(l, ''))) / n, 4) AS un, round(len(list_distinct(t)) / greatest(len(t), 1), 4) AS tr FROM g),
     s AS (SELECT *, CASE WHEN n < 3 THEN 0.0e0 ELSE round(least(1.0e0, 0.2e0 * e + 0.2e0 * bi + 0.1e0 * co + 0.15e0 * di + 0.1e0 * le + 0.1e0 * ru + 0.05e0 * (1 - un) + 0.1e0 * tr + CASE WHEN e > 3.5 AND co > 0.65 THEN 0.15e0 ELSE 0.0e0 END + CASE WHEN di > 0.3 THEN 0.1e0 ELSE 0.0e0 END), 4) END AS score FROM m)
-    SELECT domain, score, score >= 0.55 AS is_dga, CASE WHEN score < 0.55 THEN 'benign' WHEN di > 0.5 THEN 'mostly_digits' WHEN n > 20 AND e > 4 THEN 'long_random' WHEN co > 0.75 THEN 'mostly_consonants' WHEN bi > 0.8 THEN 'unusual_pairs' ELSE 'unknown' END AS kind,
+    SELECT domain, score, score >= 0.55 AS is_dga, CASE WHEN score < 0.55 THEN 'benign' WHEN di > 0.5 THEN 'conficker' WHEN n > 20 AND e > 4 THEN 'necurs' WHEN co > 0.75 THEN 'cryptolocker' WHEN bi > 0.8 THEN 'suppobox' ELSE 'unknown_dga' END AS kind,
       CASE WHEN score > 0.8 THEN 'HIGH' WHEN score > 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s""",
 )
 _FAN = """e AS (SELECT DISTINCT src_ip, dst_ip FROM flows), fm AS (SELECT ip, sum(o)::BIGINT AS fan_out, sum(i)::BIGINT AS fan_in FROM (SELECT src_ip AS ip, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst_ip, 0, 1 FROM e) GROUP BY ip)"""

@@ -63,9 +63,9 @@ class IsolationForest:
         # Each row draws its place in each tree by hash; about twice the sample's
         # rows are drawn and the tree keeps the smallest hashes among them.
         share = min(1.0, 2.0 * most / max(n, 1))
-        tree = F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))
-        draw = F.pmod(F.xxhash64(F.lit(seed), "tree", key), F.lit(1 << 30)) / float(1 << 30)
-        drawn = df.select(key, *cols).withColumn("tree", tree).withColumn("draw", draw).where(F.col("draw") < share)
+        draw = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+        tree = F.explode(F.filter(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: draw(t) < share))
+        drawn = df.select(key, *cols, tree.alias("tree")).withColumn("draw", draw(F.col("tree")))
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["draw", key]).head(most)

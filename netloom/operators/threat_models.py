@@ -181,9 +181,11 @@ def linear_scores(train: DataFrame, rows: DataFrame, cols: list[str], kinds: lis
 def cluster_rates(rows: DataFrame, labelled: DataFrame, cols: list[str], key: str, k: int = 5, seed: int = 7) -> DataFrame:
     """``key, rate``: share of rows not labelled benign in each row's cluster."""
     made = VectorAssembler(inputCols=cols, outputCol="_v")
-    known = made.transform(labelled.na.fill(0.0, cols))
+    known = made.transform(labelled.na.fill(0.0, cols)).select("label", "_v").persist()
     model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(known)
     rate = model.transform(known).groupBy("_c").agg(F.avg((F.col("label") != "benign").cast("double")).alias("rate"))
+    rate = _held(rate)
+    known.unpersist()
     return model.transform(made.transform(rows.na.fill(0.0, cols))).join(F.broadcast(rate), "_c", "left").select(key, "rate")
 
 
@@ -223,23 +225,24 @@ def detect_all(flows: DataFrame, packets: DataFrame, labels: DataFrame, endpoint
     ``counters`` a kind.  The forest over the features serves every scorer."""
     raw = _held(flow_features(flows, packets))
     cols, kinds = [*FEATURES], [*TECHNIQUES]
-    x, _ = min_max(raw, cols)
-    labelled = x.join(labels.select("flow_id", "label"), "flow_id")
+    x = _held(min_max(raw, cols)[0])
+    labelled = _held(x.join(labels.select("flow_id", "label"), "flow_id"))
     clf = linear_scores(labelled, x, cols, kinds[:4], "flow_id")
     iso = IsolationForest(trees).fit(x, cols, "flow_id").score(x.select("flow_id", *cols), "iso").select("flow_id", F.round("iso", 4).alias("iso"))
     scored = _held(
         raw.join(clf, "flow_id").join(iso, "flow_id").join(ewma_scores(timing_sequences(packets)), "flow_id", "left").join(cluster_rates(x, labelled, TLS_FEATURES, "flow_id"), "flow_id", "left")
     )
     of = lambda kind: scored.withColumn("clf", F.col(f"clf_{kind}"))
-    ends = endpoint_features(flows, packets)
-    scaled, _ = min_max(ends, ENDPOINT_FEATURES)
+    ends = _held(endpoint_features(flows, packets))
+    scaled = _held(min_max(ends, ENDPOINT_FEATURES)[0])
     end_clf = linear_scores(scaled.join(endpoint_labels.select("src_ip", "label"), "src_ip"), scaled, ENDPOINT_FEATURES, kinds[4:], "src_ip").withColumnRenamed(f"clf_{kinds[4]}", "clf")
     end_iso = IsolationForest(trees, 200).fit(scaled, ENDPOINT_FEATURES, "src_ip").score(scaled, "iso").select("src_ip", "iso")
     moving = movement_threats(ends.select("src_ip", "port_entropy", "fan_out").join(end_clf, "src_ip").join(end_iso, "src_ip"), movement_scores(flows))
     every = _held(reduce(DataFrame.unionByName, [beacon_threats(of(kinds[0])), abnormal_threats(of(kinds[1])), relay_threats(of(kinds[2])), session_threats(of(kinds[3])), moving]))
     model = KMeans(k=k, seed=42, featuresCol="_v", predictionCol="cluster")
-    points = VectorAssembler(inputCols=cols, outputCol="_v").transform(x)
-    named = model.fit(points).transform(points).select("flow_id", "cluster")
+    points = VectorAssembler(inputCols=cols, outputCol="_v").transform(x).select("flow_id", "_v").persist()
+    named = _held(model.fit(points).transform(points).select("flow_id", "cluster"))
+    points.unpersist()
     ranked = rank_threats(every)
     scores = iso.join(named, "flow_id").join(ranked.select(F.col("entity").alias("flow_id"), F.col("score").alias("threat_score")), "flow_id", "left")
     return {

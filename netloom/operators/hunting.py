@@ -26,14 +26,36 @@ def build_baseline(flows: DataFrame, least: int = 5) -> DataFrame:
     return x.where(F.col("flows") >= least).join(mad, "src_ip").join(ports, "src_ip")
 
 
-def detect_deviations(current: DataFrame, baselines: DataFrame, new_least: int = 20) -> DataFrame:
-    """New endpoints, volume spikes and many new destinations against baselines."""
-    now = current.groupBy("src_ip").agg(F.count(F.lit(1)).alias("now_flows"), F.median("total_bytes").alias("now_bytes"), F.count_distinct("dst_ip").alias("now_destinations"))
-    fresh = now.join(baselines, "src_ip", "left_anti").where(F.col("now_flows") > new_least).select("src_ip", F.lit("new_endpoint").alias("kind"), F.col("now_flows").cast("double").alias("value"))
-    x = now.join(baselines, "src_ip").withColumn("z", S.modified_z("now_bytes", "median_bytes", "mad_bytes"))
-    spike = x.where("z > 3").select("src_ip", F.lit("byte_spike").alias("kind"), F.col("z").alias("value"))
-    wide = x.where("now_destinations - destinations > 5 and now_destinations > 1.5 * destinations").select("src_ip", F.lit("new_destinations").alias("kind"), (F.col("now_destinations") - F.col("destinations")).cast("double").alias("value"))
-    return reduce(DataFrame.unionByName, [fresh, spike, wide])
+def usual_values(history: DataFrame, value: str, n: int) -> DataFrame:
+    """The ``n`` commonest values of each source; of equal counts the least value."""
+    counts = history.where(F.col(value).isNotNull()).groupBy("src_ip", value).agg(F.count(F.lit(1)).alias("c"))
+    return counts.withColumn("r", F.row_number().over(W.partitionBy("src_ip").orderBy(F.desc("c"), value))).where(F.col("r") <= n).select("src_ip", value)
+
+
+def detect_deviations(current: DataFrame, history: DataFrame, least: int = 5, new_least: int = 20) -> DataFrame:
+    """``src_ip, kind, value, usual, risk, severity``: how sources differ from their
+    ``history`` (``least`` flows or more): no history but many flows, volume, and
+    destinations, hours and ports that are not among the usual ones.  Flows without
+    a source are left out, as are null values."""
+    current, history = (f.where("src_ip <> ''").withColumn("hour", (F.floor(F.col("start_time") / 3600) % 24).cast("int")) for f in (current, history))
+    base = history.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("src_ip")
+    now = current.groupBy("src_ip").agg(F.count(F.lit(1)).alias("flows"), F.sum("total_bytes").alias("bytes"))
+    c = F.col
+
+    def rows(x: DataFrame, kind: str, value, usual, risk, severity="MEDIUM") -> DataFrame:
+        return x.select("src_ip", F.lit(kind).alias("kind"), value.cast("double").alias("value"), usual.cast("double").alias("usual"), F.round(risk.cast("double"), 2).alias("risk"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))
+
+    out = [rows(now.join(base, "src_ip", "left_anti").where(c("flows") > new_least), "new_endpoint", c("flows"), F.lit(0), F.lit(40))]
+    x = now.join(base, "src_ip").join(median_mad(history, ["src_ip"], "total_bytes"), "src_ip").withColumn("z", F.abs(S.modified_z("bytes", "median", "mad"))).where("z > 3")
+    out.append(rows(x, "byte_spike", c("bytes"), c("median"), F.least(F.lit(100), 35 + c("z") * 8), F.when(c("z") > 5, "HIGH").otherwise("MEDIUM")))
+    # How many usual values are kept, and how risk grows with new ones.
+    for kind, value, n, start, step, most in (("new_destinations", "dst_ip", 10, 30, 3, 80), ("unusual_hours", "hour", 8, 25, 8, 60), ("new_ports", "dst_port", 10, 20, 4, 50)):
+        known = usual_values(history, value, n).join(base, "src_ip", "left_semi")
+        size = known.groupBy("src_ip").agg(F.count(F.lit(1)).alias("known"))
+        new = current.where(c(value).isNotNull()).select("src_ip", value).distinct().join(known, ["src_ip", value], "left_anti").groupBy("src_ip").agg(F.count(F.lit(1)).alias("new")).join(size, "src_ip")
+        enough = {"new_destinations": (c("new") > 5) & (c("new") > 0.5 * c("known")), "unusual_hours": c("new") > 0, "new_ports": c("new") > 3}[kind]
+        out.append(rows(new.where(enough), kind, c("new"), c("known"), F.least(F.lit(most), start + step * c("new"))))
+    return reduce(DataFrame.unionByName, out)
 
 
 def source_features(flows: DataFrame) -> DataFrame:

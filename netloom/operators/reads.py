@@ -119,3 +119,45 @@ def name_addresses(flows: DataFrame, name: str = "sni", address: str = "dst_ip")
     names = pairs.groupBy("address").agg(F.count(F.lit(1)).alias("names"))
     addresses = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("addresses"))
     return pairs.join(names, "address").join(addresses, "name").select("name", "address", "flows", "names", "addresses")
+
+
+# Address ranges with a bad name.
+SUSPICIOUS_RANGES = (r"^185\.220\.", r"^94\.102\.", r"^45\.142\.", r"^193\.32\.162\.")
+
+
+def reputation(addresses: DataFrame, ip: str = "ip", patterns=SUSPICIOUS_RANGES) -> DataFrame:
+    """``risk`` and ``flags``, the patterns that each address fits: internal
+    addresses have none, others are ``high`` with a flag and ``unknown`` without."""
+    kind = address_class(F.col(ip))
+    inside = kind.isin("private", "loopback")
+    flags = F.array_compact(F.array(*[F.when(F.regexp_like(F.col(ip), F.lit(p)) & ~inside, F.lit(p)) for p in patterns]))
+    return addresses.withColumn("kind", kind).withColumn("flags", F.array_join(flags, ",")).withColumn("risk", F.when(inside, "internal").when(F.col("flags") != "", "high").otherwise("unknown"))
+
+
+def mark_nodes(nodes: DataFrame, profiles: DataFrame, over: float = 40) -> DataFrame:
+    """Nodes with ``suspicious``: whether their profile's score is over ``over``."""
+    bad = profiles.where(F.col("suspicion_score") > over).select("ip", F.lit(True).alias("suspicious")).distinct()
+    return nodes.join(bad, "ip", "left").withColumn("suspicious", F.coalesce("suspicious", F.lit(False)))
+
+
+def sessions(flows: DataFrame, alerts: DataFrame, n: int = 50) -> DataFrame:
+    """The ``n`` newest sessions with their flows, bytes and alerts.  Both sides are
+    summed before they are joined."""
+    x = flows.groupBy("session_id").agg(F.min("start_time").alias("started"), F.count(F.lit(1)).alias("flows"), F.sum("total_bytes").alias("bytes"))
+    a = alerts.groupBy("session_id").agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"))
+    return x.join(a, "session_id", "left").fillna(0, ["alerts", "critical"]).orderBy(F.desc("started"), "session_id").limit(n)
+
+
+def tenant_overview(flows: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Distinct sources and sessions, bytes, alerts and open alerts of each tenant
+    that has flows."""
+    f = flows.groupBy("tenant_id").agg(F.count_distinct("src_ip").alias("sources"), F.count_distinct("session_id").alias("sessions"), F.sum("total_bytes").alias("bytes"))
+    a = alerts.groupBy("tenant_id").agg(F.count_distinct("alert_id").alias("alerts"), F.count_if(F.col("status") != "resolved").alias("open_alerts"))
+    return f.join(a, "tenant_id", "left").fillna(0, ["alerts", "open_alerts"])
+
+
+def known_flags(nodes: DataFrame, ip: str = "ip", **sets: DataFrame) -> DataFrame:
+    """A boolean column for each set: whether the address is in it."""
+    for name, rows in sets.items():
+        nodes = nodes.join(rows.select(F.col("ip").alias(ip)).distinct().withColumn(name, F.lit(True)), ip, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return nodes

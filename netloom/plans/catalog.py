@@ -328,19 +328,24 @@ _add(
 def _deviations(flows):
     """The other sessions' flows against a baseline of four sessions."""
     usual = F.col("session_id").isin("s0", "s1", "s2", "s3")
-    return hunting.detect_deviations(flows.where(~usual), hunting.build_baseline(flows.where(usual)))
+    return hunting.detect_deviations(flows.where(~usual), flows.where(usual))
 
 
 _add(
     "baseline_deviations",
     _on("flows", _deviations),
-    duck("flows") + """, u AS (SELECT * FROM flows WHERE session_id IN ('s0', 's1', 's2', 's3')), c AS (SELECT * FROM flows WHERE session_id NOT IN ('s0', 's1', 's2', 's3')),
-    m AS (SELECT src_ip, median(total_bytes) AS mb, count(DISTINCT dst_ip) AS destinations FROM u GROUP BY src_ip HAVING count(*) >= 5), d AS (SELECT src_ip, median(abs(total_bytes - mb)) AS mad FROM u JOIN m USING (src_ip) GROUP BY src_ip),
-    n AS (SELECT src_ip, count(*) AS nf, median(total_bytes) AS nb, count(DISTINCT dst_ip) AS nd FROM c GROUP BY src_ip),
-    x AS (SELECT *, CASE WHEN mad = 0 THEN 0.0 ELSE round(0.6745e0 * (nb - mb) / mad, 3) END AS z FROM n JOIN m USING (src_ip) JOIN d USING (src_ip))
-    SELECT src_ip, 'new_endpoint' AS kind, nf::DOUBLE AS value FROM n WHERE src_ip NOT IN (SELECT src_ip FROM m) AND nf > 20
-    UNION ALL SELECT src_ip, 'byte_spike', z FROM x WHERE z > 3
-    UNION ALL SELECT src_ip, 'new_destinations', (nd - destinations)::DOUBLE FROM x WHERE nd - destinations > 5 AND nd > 1.5 * destinations""",
+    duck("flows") + """, h AS (SELECT *, (floor(start_time / 3600)::BIGINT % 24)::INT AS hour, session_id IN ('s0', 's1', 's2', 's3') AS past FROM flows), u AS (SELECT * FROM h WHERE past), c AS (SELECT * FROM h WHERE NOT past),
+    m AS (SELECT src_ip, median(total_bytes) AS mb FROM u GROUP BY src_ip HAVING count(*) >= 5), d AS (SELECT src_ip, median(abs(total_bytes - mb)) AS mad FROM u JOIN m USING (src_ip) GROUP BY src_ip),
+    n AS (SELECT src_ip, count(*) AS nf, sum(total_bytes)::BIGINT AS nb FROM c GROUP BY src_ip), z AS (SELECT *, abs(CASE WHEN mad = 0 THEN 0.0 ELSE round(0.6745e0 * (nb - mb) / mad, 3) END) AS z FROM n JOIN m USING (src_ip) JOIN d USING (src_ip)),
+    lv AS (SELECT src_ip, past, unnest([struct_pack(kind := 'new_destinations', v := dst_ip), struct_pack(kind := 'unusual_hours', v := hour::VARCHAR), struct_pack(kind := 'new_ports', v := dst_port::VARCHAR)], recursive := true) FROM h),
+    lc AS (SELECT src_ip, kind, v, count(*) FILTER (past) AS before, count(*) FILTER (NOT past) AS after FROM lv WHERE src_ip IN (SELECT src_ip FROM m) GROUP BY ALL),
+    lr AS (SELECT *, row_number() OVER (PARTITION BY src_ip, kind ORDER BY before DESC, CASE WHEN kind = 'new_destinations' THEN 0 ELSE v::INT END, v) AS r FROM (SELECT * FROM lc WHERE before > 0)),
+    lk AS (SELECT src_ip, kind, v FROM lr WHERE r <= CASE kind WHEN 'unusual_hours' THEN 8 ELSE 10 END),
+    ln AS (SELECT src_ip, kind, count(*) AS new FROM lc ANTI JOIN lk USING (src_ip, kind, v) WHERE after > 0 GROUP BY ALL), ls AS (SELECT src_ip, kind, count(*) AS known FROM lk GROUP BY ALL)
+    SELECT src_ip, 'new_endpoint' AS kind, nf::DOUBLE AS value, 0.0e0 AS usual, 40.0e0 AS risk, 'MEDIUM' AS severity FROM n WHERE src_ip NOT IN (SELECT src_ip FROM m) AND nf > 20
+    UNION ALL SELECT src_ip, 'byte_spike', nb::DOUBLE, mb, round(least(100.0e0, 35 + z * 8), 2), CASE WHEN z > 5 THEN 'HIGH' ELSE 'MEDIUM' END FROM z WHERE z > 3
+    UNION ALL SELECT src_ip, kind, new::DOUBLE, known::DOUBLE, CASE kind WHEN 'new_destinations' THEN least(80, 30 + 3 * new) WHEN 'unusual_hours' THEN least(60, 25 + 8 * new) ELSE least(50, 20 + 4 * new) END::DOUBLE, 'MEDIUM'
+      FROM ln JOIN ls USING (src_ip, kind) WHERE CASE kind WHEN 'new_destinations' THEN new > 5 AND new > 0.5 * known WHEN 'unusual_hours' THEN true ELSE new > 3 END""",
 )
 
 # -- graph

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import reads
-from netloom.plans import fixtures
+from netloom.operators import reads, traffic
+from netloom.plans import catalog, fixtures
 from netloom.plans.fixtures import duck
 
 _Q, _SQL = {}, {}
@@ -71,6 +71,42 @@ _add(
     lambda spark, sf_dir: reads.name_addresses(fixtures.flows(spark, sf_dir)),
     duck("flows") + ", p AS (SELECT lower(sni) AS name, dst_ip AS address, count(*) AS flows FROM flows WHERE sni IS NOT NULL GROUP BY 1, 2) SELECT *, count(*) OVER (PARTITION BY address) AS names, count(*) OVER (PARTITION BY name) AS addresses FROM p",
 )
+_add(
+    "reputation",
+    lambda spark, sf_dir: reads.reputation(fixtures.flows(spark, sf_dir).select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()).select("ip", "risk", "flags"),
+    duck("flows") + ", d AS (SELECT src_ip AS ip FROM flows UNION SELECT dst_ip FROM flows), x AS (SELECT ip, starts_with(ip, '10.') AS i, CASE WHEN starts_with(ip, '185.220.') THEN '^185\\.220\\.' ELSE '' END AS flags FROM d) SELECT ip, flags, CASE WHEN i THEN 'internal' WHEN flags <> '' THEN 'high' ELSE 'unknown' END AS risk FROM x",
+)
+_add(
+    "sessions",
+    lambda spark, sf_dir: reads.sessions(fixtures.flows(spark, sf_dir), fixtures.alerts(spark, sf_dir)),
+    duck("flows", "alerts") + ", a AS (SELECT session_id, count(*) AS alerts, count(*) FILTER (severity = 'CRITICAL') AS critical FROM alerts GROUP BY 1), f AS (SELECT session_id, min(start_time) AS started, count(*) AS flows, sum(total_bytes)::BIGINT AS bytes FROM flows GROUP BY 1) SELECT session_id, started, flows, bytes, coalesce(alerts, 0) AS alerts, coalesce(critical, 0) AS critical FROM f LEFT JOIN a USING (session_id) ORDER BY started DESC, session_id LIMIT 50",
+)
+_add(
+    "tenant_overview",
+    lambda spark, sf_dir: reads.tenant_overview(fixtures.flows(spark, sf_dir), fixtures.alerts(spark, sf_dir)),
+    duck("flows", "alerts") + ", a AS (SELECT tenant_id, count(DISTINCT alert_id) AS alerts, count(*) FILTER (status <> 'resolved') AS open_alerts FROM alerts GROUP BY 1), f AS (SELECT tenant_id, count(DISTINCT src_ip) AS sources, count(DISTINCT session_id) AS sessions, sum(total_bytes)::BIGINT AS bytes FROM flows GROUP BY 1) SELECT tenant_id, sources, sessions, bytes, coalesce(alerts, 0) AS alerts, coalesce(open_alerts, 0) AS open_alerts FROM f LEFT JOIN a USING (tenant_id)",
+)
+
+
+def _nodes(spark, sf_dir):
+    f = fixtures.flows(spark, sf_dir)
+    return reads.mark_nodes(traffic.graph_nodes(traffic.connection_graph(f, None)), traffic.profile_endpoints(f)).select("ip", "degree", "suspicious")
+
+
+_add("marked_nodes", _nodes, f"SELECT n.ip, n.degree, coalesce(p.suspicion_score > 40, false) AS suspicious FROM ({catalog.oracle_sql()['graph_nodes']}) n LEFT JOIN ({catalog.oracle_sql()['endpoint_profiles']}) p ON n.ip = p.ip")
+
+
+def _flags(spark, sf_dir):
+    f, a = fixtures.flows(spark, sf_dir), fixtures.alerts(spark, sf_dir)
+    ends = f.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
+    return reads.known_flags(ends, alerted=a.select(F.col("src_ip").alias("ip")), served=f.where("sni is not null").select(F.col("dst_ip").alias("ip")))
+
+
+_add(
+    "known_flags",
+    _flags,
+    duck("flows", "alerts") + " SELECT ip, EXISTS (SELECT 1 FROM alerts WHERE src_ip = d.ip) AS alerted, EXISTS (SELECT 1 FROM flows WHERE sni IS NOT NULL AND dst_ip = d.ip) AS served FROM (SELECT src_ip AS ip FROM flows UNION SELECT dst_ip FROM flows) d",
+)
 
 
 def queries() -> dict:

@@ -3,9 +3,10 @@
 A text is a lattice whose nodes are the vocabulary's occurrences (and every
 single character).  Its encoding is the best path, in the max-plus sense: the
 weight of a path is the sum of its pieces' weights, minus infinity where two
-neighbours can't stand together.  A unigram model weighs by scores; a BPE model's
-result is the one path whose neighbours all are what BPE makes of the two of them
-together, so weights are zero or minus infinity.
+neighbours can't stand together.  A BPE model's result is the one path whose
+neighbours all are what BPE makes of the two of them together, so weights are zero
+or minus infinity.  Unigram models, which weigh by scores, are refused, as are
+vocabularies over 65,536 pieces.
 
 A giant text is cut into chunks.  The state at a cut is the node that covers or
 touches it from the left, so the states at a cut follow from the few characters
@@ -59,6 +60,10 @@ class Codec:
         self.rank = {sp.id_to_piece(i): (sp.get_score(i), i) for i in plain}
         if any(_BLANK in p.lstrip(_BLANK) for p in self.rank):
             raise ValueError("a piece has a blank after another character")
+        if n > 1 << 16:
+            raise ValueError("ids of more than 65,536 pieces don't fit into 16 bits")
+        if any(score != int(score) for score, _ in self.rank.values()):
+            raise ValueError("scores that are not ranks: a unigram model; only BPE models are handled")
         self.longest = max(map(len, self.rank))
         self.byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.surface = [b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(_BLANK, " ").encode() for i in range(n)]

@@ -447,3 +447,15 @@ def test_damaged_records_are_found():
         with pytest.raises((ValueError, OverflowError, MemoryError)):
             token_output.read_frame(io.BytesIO(bytes(bad)))
     assert struct.unpack("<Q", data[:8])[0] == 24
+
+
+def test_models_of_another_kind_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Unigram(sentencepiece.SentencePieceProcessor):
+        def get_score(self, i):
+            return -1.5
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Unigram)
+    with pytest.raises(ValueError, match="unigram"):
+        sentencepiece_codec.Codec(SP)

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -155,6 +156,65 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(df.limit(0), RULES).count() == 0
 
 
+def test_linked_pages_like_brute_force(spark):
+    """Links of every form, resolved by the standard library and joined by a plain union."""
+    from urllib.parse import urljoin
+
+    rng = random.Random(11)
+    hosts = ["a.com", "www.a.com", "bad.org", "one.net", "two.net", "x.org", "y.org"]
+    some = lambda: "/".join(rng.choice(["en", "x", "q", "p", "..", "."]) for _ in range(rng.randrange(1, 4)))
+    data, edges = [], []
+    for i in range(800):
+        url = f"http://{rng.choice(hosts)}/{rng.choice(['en', 'x', 'q'])}/{rng.randrange(40)}" + rng.choice(["", "?k=1", "#f"])
+        base, html = url, "<p>none</p><!-- <link rel=canonical href='http://bad.org/x/9'> --><script>'<link rel=canonical href=http://bad.org/x/8>'</script>"
+        if rng.random() < 0.2:
+            folder = rng.choice(["/x/", "//two.net/q/", "sub/"])
+            base, html = urljoin(url, folder), html + f"<base target=_top href='{folder}'>"
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            link = rng.choice([f"/{some()}/{rng.randrange(40)}", f"{some()}", "?k=2&l=3", f"../x/{rng.randrange(40)}", f"//{rng.choice(hosts)}/x/{rng.randrange(40)}", f"https://{rng.choice(hosts)}/q/./{rng.randrange(40)}", "#top", "mailto:x@bad.org"])
+            shape = rng.choice(['<link rel="alternate canonical" href="{}">', "<LINK data-href='http://bad.org/x/7' HREF={} rel=Canonical>", "<link title='rel=next > href=/no' rel='canonical'\n href=' {} '/>", '<meta http-equiv="Refresh" content="0; URL={}">', "<meta content='3;{}' http-equiv=refresh>"])
+            html += shape.format(link.replace("&", "&amp;"))
+            if link[0] != "#" and not link.startswith("mailto"):
+                edges.append((url, urljoin(base, link)))
+        data.append((i, url, html + "<link rel=next href=/x/1>"))
+
+    def key(u):
+        host, rest = u.split("://")[1].split("#")[0].split("/", 1)
+        return urljoin(f"http://{host}/", "/" + rest).split("://")[1]
+
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def rule(k):
+        host, path = k.split("/", 1)[0], "/" + k.split("/", 1)[1].split("?")[0]
+        fit = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fit, key=lambda r: len(r.text)).verdict if fit else None
+
+    for a, b in edges:
+        root[find(key(a))] = find(key(b))
+    bad = {find(k) for k in [*root] if rule(k) == "block"}
+    want = {i: rule(key(u)) or ("block" if key(u) in root and find(key(u)) in bad else "allow") for i, u, _ in data}
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(df, RULES).collect()}
+    assert got == want
+    assert sum(v == "block" and rule(key(u)) is None for (i, u, _), v in zip(data, want.values())) > 20
+
+
+def test_links_of_odd_pages(spark):
+    """Pages of a million characters that never close a tag, a quote or a comment end at once."""
+    n = 1_000_000
+    pages = [f"{x * (n // len(x))}" for x in ("<link ", "<link '", '<link "\'', "<!--", "<script ", "<meta " + "a" * 994, "<link " + " " * 994)] + ["", None]
+    df = spark.createDataFrame([(f"http://h.org/{i}", p, "x") for i, p in enumerate(pages)], "url string, html string, dst string")
+    began = time.time()
+    assert url_filters.links_in(df).count() == 0
+    assert time.time() - began < 30
+
+
 def test_license_scan(spark):
     filler = [f"some {w} prose about nothing that matters here" for w in "red green blue old new big small".split()]
     texts = [*filler, "intro\nLicensed under the Apache License, Version 2.0.\nend", "MIT\nReleased under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "under the License of nobody", "the terms of the public version license general", None, "", "x " * 20_000]

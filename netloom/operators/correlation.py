@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -171,7 +172,7 @@ HYPOTHESES = {
 
 def flow_signals(flows: DataFrame, alerts: DataFrame, malware: DataFrame, heavy: int = 10_000_000) -> DataFrame:
     """``ip, signal``: what flows and alerts say about each source."""
-    f = flows.join(F.broadcast(malware.select("ja3", F.lit(True).alias("_bad"))), "ja3", "left")
+    f = flows.join(malware.select("ja3", F.lit(True).alias("_bad")), "ja3", "left")
     off = F.avg((S.hour_of("start_time") <= 5).cast("double"))
     x = f.groupBy(F.col("src_ip").alias("ip")).agg(
         F.sum("total_bytes").alias("_b"), F.bool_or("_bad").alias("_bad"), F.count_distinct("dst_port").alias("_p"), F.bool_or(F.col("dst_port") == 445).alias("_smb"), F.bool_or(F.col("dst_port") == 3389).alias("_rdp"), F.avg((F.col("protocol") == "TLS").cast("double")).alias("_tls"), off.alias("_off")
@@ -254,22 +255,59 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("alert_id").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("at"))
 
 
-def related_alerts(alerts: DataFrame, to: DataFrame, least: float = 0.3, n: int = 10) -> DataFrame:
-    """For the alerts ``to``, other alerts by what they share: session .3, source
-    .2, each address .1, category .2.  Every pair that can reach ``least`` shares
-    a session, source or address, or a category and one of these, so the equi join
-    on the first three finds all; pairs are weighed once."""
-    cols = ("alert_id", "session_id", "src_ip", "dst_ip", "category")
-    keys = F.explode(F.array_distinct(F.array(F.concat(F.lit("s:"), "session_id"), F.concat(F.lit("i:"), "src_ip"), F.concat(F.lit("i:"), "dst_ip"))))
-    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in cols])
-    a = side(to, "a").withColumn("_k", F.explode(F.array_distinct(F.array_compact(F.array(F.concat(F.lit("s:"), F.col("a_session_id")), F.concat(F.lit("i:"), F.col("a_src_ip")), F.concat(F.lit("i:"), F.col("a_dst_ip")))))))
-    b = alerts.select(*[F.col(c).alias(f"b_{c}") for c in cols], keys.alias("_k")).where("_k is not null")
-    x = a.join(b, "_k").where("a_alert_id <> b_alert_id").drop("_k").distinct()
-    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False)).cast("int")
-    shared = F.size(F.array_intersect(F.array_compact(F.array("a_src_ip", "a_dst_ip")), F.array_compact(F.array("b_src_ip", "b_dst_ip"))))
-    x = x.withColumn("score", F.round(0.3 * same("session_id") + 0.2 * same("src_ip") + 0.1 * shared + 0.2 * same("category"), 2)).where(F.col("score") >= least)
-    place = F.row_number().over(W.partitionBy("a_alert_id").orderBy(F.desc("score"), "b_alert_id"))
-    return x.withColumn("place", place).where(F.col("place") <= n).select(F.col("a_alert_id").alias("alert_id"), F.col("b_alert_id").alias("related_id"), "score", "place")
+# Fixed values, in tenths: what a pair of alerts scores for each thing that it shares.
+SESSION, SOURCE, ADDRESS, CATEGORY, TECHNIQUE = 3, 2, 1, 2, 2
+
+
+def _shared_keys(least: int) -> Column:
+    """All things, or sets of things, that an alert shares with any alert that it
+    scores ``least`` tenths or more with, as strings."""
+    c, none = F.col, F.lit(None).cast("string")
+    one = lambda x: F.array(x)
+    longer = lambda found, values: F.flatten(F.transform(found, lambda k: F.transform(F.coalesce(values, F.array(none)), lambda v: F.concat(k, F.lit("\x1f"), v))))
+    ips = F.array_distinct(F.array_compact(F.array("src_ip", "dst_ip")))
+    two = F.when(c("src_ip") != c("dst_ip"), F.concat_ws("|", F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip")))
+    ends = F.when(c("src_ip") != c("dst_ip"), F.concat_ws("|", "src_ip", "dst_ip"))
+    addresses = [(0, None), (ADDRESS, ips), (2 * ADDRESS, one(two)), (SOURCE + ADDRESS, one(c("src_ip"))), (SOURCE + 2 * ADDRESS, one(ends))]
+    sessions, categories = [(0, None), (SESSION, one(c("session_id")))], [(0, None), (CATEGORY, one(c("category")))]
+    keys = []
+    for combo in itertools.product(sessions, categories, [(0, None), (TECHNIQUE, c("techniques"))], addresses):
+        if sum(w for w, _ in combo) < least or not any(w for w, _ in combo):
+            continue
+        name = "".join(str(w) if v is not None else "-" for w, v in combo)
+        found = F.array(F.lit(name))
+        for _, values in combo:
+            if values is not None:
+                found = longer(found, values)
+        keys.append(found)
+    return F.array_distinct(F.array_compact(F.flatten(F.array(*keys)))) if keys else F.array().cast("array<string>")
+
+
+def related_alerts(alerts: DataFrame, to: DataFrame | None = None, least: float = 0.3, n: int = 10) -> DataFrame:
+    """For each alert of ``to`` (all, if not given), the ``n`` alerts that share the
+    most with it: session .3, source .2, each address .1, category .2, any of
+    ``techniques`` (an array column that may be absent) .2; of equal scores the
+    lesser ids.
+
+    Exact without listing the pairs of a hot session or address: whoever shares a
+    given set of things with an alert scores at least that set's sum, so of all
+    alerts with one set only the ``n + 1`` least ids can be among an alert's ``n``
+    best.  Sets are dealt by value and cut to that many before the shuffle.  Null
+    values are shared with no one; alert ids must be unique.
+    """
+    cols = ("alert_id", "session_id", "src_ip", "dst_ip", "category", "techniques")
+    full = lambda df: (df if "techniques" in df.columns else df.withColumn("techniques", F.array().cast("array<string>"))).select(*cols)
+    keyed = lambda df, p: full(df).select(F.struct(*cols).alias(p), F.explode(_shared_keys(round(least * 10))).alias("_k"))
+    place = F.row_number().over(W.partitionBy("_k").orderBy("b.alert_id"))
+    listed = keyed(alerts, "b").withColumn("_p", place).where(F.col("_p") <= n + 1).drop("_p")
+    x = keyed(alerts if to is None else to, "a").join(listed, "_k").where("a.alert_id <> b.alert_id").drop("_k").distinct()
+    same = lambda c: F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False)).cast("int")
+    shared = F.size(F.array_intersect(F.array_compact(F.array("a.src_ip", "a.dst_ip")), F.array_compact(F.array("b.src_ip", "b.dst_ip"))))
+    technique = F.coalesce(F.size(F.array_intersect(F.array_compact("a.techniques"), F.array_compact("b.techniques"))) > 0, F.lit(False)).cast("int")
+    score = SESSION * same("session_id") + SOURCE * same("src_ip") + ADDRESS * shared + CATEGORY * same("category") + TECHNIQUE * technique
+    x = x.select(F.col("a.alert_id").alias("alert_id"), F.col("b.alert_id").alias("related_id"), F.round(score / 10, 2).alias("score"))
+    best = F.row_number().over(W.partitionBy("alert_id").orderBy(F.desc("score"), "related_id"))
+    return x.where(F.col("score") >= least).withColumn("place", best).where(F.col("place") <= n)
 
 
 def event_timeline(alerts: DataFrame, ts: str = "created", width: int = 60) -> DataFrame:

@@ -108,9 +108,10 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def betweenness(edges: DataFrame, sources: int = 50, depth: int = 12) -> DataFrame:
+def betweenness(edges: DataFrame, sources: int = 50) -> DataFrame:
     """Shortest paths through each node from the ``sources`` smallest nodes, times
-    2 / ((n - 1)(n - 2)).  One join a level out and one back; each level is kept."""
+    2 / ((n - 1)(n - 2)).  One join a level out and one back, however long the paths
+    are; each level is kept."""
     spark = edges.sparkSession
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder and spark.sparkContext.getCheckpointDir() is None:
@@ -122,7 +123,7 @@ def betweenness(edges: DataFrame, sources: int = 50, depth: int = 12) -> DataFra
     start = nodes.orderBy("node").limit(sources)
     levels = [keep(start.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
     seen = levels[0].select("source", "node")
-    for _ in range(depth):
+    while True:
         got = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         nxt = keep(got.join(seen, ["source", "node"], "left_anti"))
         if not nxt.limit(1).count():

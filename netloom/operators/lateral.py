@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,27 +39,30 @@ def detect_admin_lateral(flows: DataFrame, least: int = 3) -> DataFrame:
 
 def detect_sequential(flows: DataFrame, max_gap: float = 30.0, least: int = 5) -> DataFrame:
     """Chains of new destinations, each within ``max_gap`` of the last accepted
-    one.  The scan depends on what it accepted before, so it runs over one
-    source's rows in order; memory holds one source's flows."""
-
-    def chains(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_time", "flow_id"])
-        t, d, p = pdf["start_time"].tolist(), pdf["dst_ip"].tolist(), pdf["dst_port"].tolist()
-        out, i = [], 0
-        while len(t) >= least and i < len(t) - 2:
-            seen, last, j = {d[i]}, t[i], i + 1
-            while j < len(t) and t[j] - last <= max_gap:
-                if d[j] not in seen:
-                    seen.add(d[j])
-                    last = t[j]
-                j += 1
-            if len(seen) >= least:
-                out.append((pdf["src_ip"].iloc[0], min(seen), p[i], len(seen), round(last - t[i], 3), min(100, 60 + 5 * len(seen))))
-            i = j
-        return pd.DataFrame(out, columns=["src_ip", "dst_ip", "dst_port", "targets", "seconds", "score"])
-
-    x = internal_flows(flows).select("src_ip", "dst_ip", "dst_port", "start_time", "flow_id")
-    return x.groupBy("src_ip").applyInPandas(chains, "src_ip string, dst_ip string, dst_port int, targets long, seconds double, score long")
+    one; what an accepted row starts depends on the rows before, so rows stream by
+    in order, sorted within their source.  Held at once: the open chain's
+    destinations, never a source's flows.  Of equal times the lesser id is first;
+    rows without a time or source are left out."""
+
+    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, seen, began, last, port = None, set(), 0.0, 0.0, None
+        for b in batches:
+            out = []
+            for s, d, p, t in zip(b["src_ip"], b["dst_ip"], b["dst_port"], b["start_time"], strict=True):
+                if s != source or t - last > max_gap:
+                    if len(seen) >= least:
+                        out.append((source, min(seen), port, len(seen), round(last - began, 3), min(100, 60 + 5 * len(seen))))
+                    source, seen, began, last, port = s, {d}, t, t, p
+                elif d not in seen:
+                    seen.add(d)
+                    last = t
+            yield pd.DataFrame(out, columns=["src_ip", "dst_ip", "dst_port", "targets", "seconds", "score"])
+        if len(seen) >= least:
+            yield pd.DataFrame([(source, min(seen), port, len(seen), round(last - began, 3), min(100, 60 + 5 * len(seen)))], columns=["src_ip", "dst_ip", "dst_port", "targets", "seconds", "score"])
+
+    x = internal_flows(flows).where("src_ip is not null and start_time is not null").select("src_ip", "dst_ip", "dst_port", "start_time", "flow_id")
+    x = x.repartition("src_ip").sortWithinPartitions("src_ip", "start_time", "flow_id")
+    return x.mapInPandas(chains, "src_ip string, dst_ip string, dst_port int, targets long, seconds double, score long")
 
 
 def detect_cred_relay(flows: DataFrame, within: float = 10.0) -> DataFrame:

@@ -12,9 +12,10 @@ from netloom.operators.windows import gaps
 
 def match_relay_nodes(flows: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Flows with a relay at either end; the destination counts first."""
-    nodes = R.relay_nodes(flows.sparkSession) if nodes is None else nodes
+    # a table given as argument is broadcast only if Spark finds it small enough
+    nodes = F.broadcast(R.relay_nodes(flows.sparkSession)) if nodes is None else nodes
     ends = flows.select("flow_id", F.posexplode(F.array("dst_ip", "src_ip")).alias("side", "ip"))
-    hit = ends.join(F.broadcast(nodes), "ip").groupBy("flow_id").agg(F.min_by(F.struct("ip", "node_type"), "side").alias("h"))
+    hit = ends.join(nodes, "ip").groupBy("flow_id").agg(F.min_by(F.struct("ip", "node_type"), "side").alias("h"))
     return flows.join(hit, "flow_id").select("flow_id", "src_ip", "dst_ip", F.col("h.ip").alias("relay_ip"), F.col("h.node_type").alias("node_type"))
 
 

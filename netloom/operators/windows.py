@@ -55,11 +55,12 @@ def ip_range_join(df: DataFrame, ip_number: str, blocks: DataFrame, wide: int =
     equi join; unmatched rows have null block columns.
     """
     b = blocks.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_ip") / wide), F.floor(F.col("end_ip") / wide))))
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    hit = rows.select("_row", ip_number, F.floor(F.col(ip_number) / wide).alias("_b")).join(b, "_b").where(F.col(ip_number).between(F.col("start_ip"), F.col("end_ip")))
+    # joined by address, so a frequent one is looked up once
+    ips = df.select(F.col(ip_number).alias("_ip")).where("_ip is not null").distinct()
+    hit = ips.withColumn("_b", F.floor(F.col("_ip") / wide)).join(b, "_b").where(F.col("_ip").between(F.col("start_ip"), F.col("end_ip")))
     names = [c for c in blocks.columns if c not in ("start_ip", "end_ip", "block_order")]
-    best = hit.groupBy("_row").agg(F.min_by(F.struct(*names), "block_order").alias("_hit"))
-    return rows.join(best, "_row", "left").select(*df.columns, *[F.col(f"_hit.{n}").alias(n) for n in names])
+    best = hit.groupBy("_ip").agg(F.min_by(F.struct(*names), "block_order").alias("_hit"))
+    return df.join(best, df[ip_number] == best["_ip"], "left").select(*[df[c] for c in df.columns], *[F.col(f"_hit.{n}").alias(n) for n in names])
 
 
 def suffix_join(df: DataFrame, domain: str, indicators: DataFrame, value: str = "value") -> DataFrame:

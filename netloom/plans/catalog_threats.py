@@ -249,10 +249,12 @@ _add("state_changes", _alerts(lambda a: correlation.check_transitions(_changes(a
 _add("latest_states", _alerts(lambda a: correlation.latest_states(_changes(a))), _CH + " SELECT alert_id, arg_max(status, \"at\") AS status, max(\"at\") AS \"at\" FROM ch GROUP BY alert_id")
 _add(
     "related_alerts",
-    _alerts(lambda a: correlation.related_alerts(a, a.where("severity = 'CRITICAL' and threat_score > 90"))),
-    _AL + """, p AS (SELECT a.alert_id, b.alert_id AS related_id, round(0.3e0 * (a.session_id = b.session_id)::INT + 0.2e0 * (a.src_ip = b.src_ip)::INT + 0.1e0 * len(list_intersect([a.src_ip, a.dst_ip], [b.src_ip, b.dst_ip])) + 0.2e0 * (a.category = b.category)::INT, 2) AS score
-      FROM al a JOIN al b ON a.alert_id <> b.alert_id AND (a.session_id = b.session_id OR a.src_ip = b.src_ip OR a.src_ip = b.dst_ip OR a.dst_ip = b.src_ip OR a.dst_ip = b.dst_ip) WHERE a.severity = 'CRITICAL' AND a.threat_score > 90),
-    q AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY score DESC, related_id)::INT AS place FROM p WHERE score >= 0.3) SELECT * FROM q WHERE place <= 10""",
+    _alerts(lambda a: correlation.related_alerts(a.withColumn("techniques", F.array(F.concat(F.lit("T"), F.substr("alert_id", F.lit(2)).cast("long") % 9))))),
+    _AL + """, x AS (SELECT alert_id, session_id, src_ip, dst_ip, category, substr(alert_id, 2)::BIGINT % 9 AS technique FROM al),
+    p AS (SELECT a.alert_id, b.alert_id AS related_id, 3 * (a.session_id = b.session_id)::INT + 2 * (a.src_ip = b.src_ip)::INT + (a.src_ip IN (b.src_ip, b.dst_ip))::INT + (a.dst_ip <> a.src_ip AND a.dst_ip IN (b.src_ip, b.dst_ip))::INT + 2 * (a.category = b.category)::INT + 2 * (a.technique = b.technique)::INT AS s
+      FROM x a JOIN x b ON a.alert_id <> b.alert_id),
+    q AS (SELECT alert_id, unnest(min(((10 - s), related_id), 10)) AS r, generate_subscripts(min(((10 - s), related_id), 10), 1)::INT AS place FROM p WHERE s >= 3 GROUP BY alert_id)
+    SELECT alert_id, r[2] AS related_id, round((10 - r[1]) / 10.0e0, 2) AS score, place FROM q""",
 )
 _add("alert_groups", _alerts(lambda a: correlation.timed_groups(a, "src_ip", seconds=30 * 86400.0)))
 _add(

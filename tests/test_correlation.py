@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict, deque
 
-from netloom.operators import circuits, correlation, features, fingerprints, graph
+from pyspark.sql import functions as F
+
+from netloom.operators import circuits, correlation, features, fingerprints, graph, lateral
 
 FLOW = "flow_id string, src_ip string, dst_ip string, dst_port int, protocol string, start_time double, session_duration double, packet_count int, total_bytes bigint, sni string, ja3 string"
 
@@ -129,7 +131,7 @@ def test_betweenness_equals_brandes(spark):
             if w != s:
                 total[w] += delta[w]
     n = len(nodes)
-    got = {r.node: r.betweenness for r in graph.betweenness(_edges(spark, pairs), sources=n, depth=n).collect()}
+    got = {r.node: r.betweenness for r in graph.betweenness(_edges(spark, pairs), sources=n).collect()}
     assert got.keys() == nodes and all(abs(got[v] - total[v] * 2 / ((n - 1) * (n - 2))) < 1e-5 for v in nodes)
 
 
@@ -156,3 +158,49 @@ def test_domain_model(spark):
     df = spark.createDataFrame([("xkqzvbnwrtplkjhgfdsq7391.biz",), ("the.org",), ("ab.com",), (None,), ("the.org",)], "domain string")
     got = {r.domain: r for r in features.domain_model(df).collect()}
     assert len(got) == 3 and got["xkqzvbnwrtplkjhgfdsq7391.biz"].is_dga and not got["the.org"].is_dga and got["ab.com"].score == 0
+
+
+def test_related_alerts_equal_all_pairs(spark):
+    """A hot session and source, null values, several techniques; against every pair."""
+    rng = random.Random(5)
+    pick = lambda xs, hot: None if rng.random() < 0.05 else xs[0] if rng.random() < hot else rng.choice(xs)
+    rows = [
+        (f"a{i:03d}", pick(["s1", "s2", "s3"], 0.4), pick(["10.0.0.1", "10.0.0.2", "10.0.0.3"], 0.4), pick(["10.0.0.1", "10.0.0.3", "8.8.8.8", "9.9.9.9"], 0.2), pick(["dga", "beacon", "scan"], 0.2), None if rng.random() < 0.1 else rng.sample(["T1", "T2", "T3", "T4", None], rng.randrange(3)))
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(rows, "alert_id string, session_id string, src_ip string, dst_ip string, category string, techniques array<string>")
+    alike = lambda x, y: x is not None and x == y
+    some = lambda xs: {x for x in xs or () if x is not None}
+    want = []
+    for a in rows:
+        got = []
+        for b in rows:
+            s = 3 * alike(a[1], b[1]) + 2 * alike(a[2], b[2]) + len(some(a[2:4]) & some(b[2:4])) + 2 * alike(a[4], b[4]) + 2 * bool(some(a[5]) & some(b[5]))
+            if a[0] != b[0] and s >= 3:
+                got.append((-s, b[0]))
+        want += [(a[0], b, round(-s / 10, 2), k) for k, (s, b) in enumerate(sorted(got)[:10], 1)]
+    assert sorted(map(tuple, correlation.related_alerts(df).collect())) == sorted(want)
+    asked = {r[0] for r in rows[:7]}
+    assert sorted(map(tuple, correlation.related_alerts(df, df.where(F.col("alert_id").isin(*asked))).collect())) == sorted(w for w in want if w[0] in asked)
+    plain = correlation.related_alerts(df.drop("techniques"))
+    assert plain.count() > 0 and correlation.related_alerts(df.limit(0)).count() == 0
+
+
+def test_sequential_access_equals_a_plain_loop(spark):
+    rng = random.Random(6)
+    rows = [(f"10.0.0.{rng.randrange(4)}", f"10.0.1.{rng.randrange(12)}", rng.choice([22, 445]), float(rng.randrange(4000)), f"f{i:04d}") for i in range(900)]
+    want = []
+    for s in {r[0] for r in rows}:
+        mine, chain = sorted((r for r in rows if r[0] == s), key=lambda r: (r[3], r[4])), []
+        for r in [*mine, None]:
+            last = max((k[3] for k in chain), default=0)
+            if r is None or not chain or r[3] - last > 30:
+                if len(chain) >= 5:
+                    want.append((s, min(k[1] for k in chain), chain[0][2], len(chain), round(last - chain[0][3], 3), min(100, 60 + 5 * len(chain))))
+                chain = [r]
+            elif r[1] not in {k[1] for k in chain}:
+                chain.append(r)
+    df = spark.createDataFrame([*rows, (None, "10.0.1.1", 22, 1.0, "x"), ("10.0.0.1", "10.0.1.1", 22, None, "y")], "src_ip string, dst_ip string, dst_port int, start_time double, flow_id string")
+    got = lateral.detect_sequential(df)
+    assert len(want) > 5 and sorted(map(tuple, got.collect())) == sorted(want)
+    assert lateral.detect_sequential(df.limit(0)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import decontamination, html_extraction, jaccard_join, license_scan, quality_rules, sentencepiece_codec, token_counts, token_output, url_filters, warc
+from netloom.llm import collocations, decontamination, html_extraction, jaccard_join, license_scan, quality_rules, sentencepiece_codec, token_counts, token_output, url_filters, warc
 from netloom.llm.common import table
 
 
@@ -82,8 +82,27 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_records(manifest, with_ids=False).withColumnRenamed("key", "doc_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_quality_rules,
+    op2_html_extraction,
+    op3_warc,
+    op4_url_filters,
+    op5_license_scan,
+    op6_decontamination,
+    op7_jaccard_join,
+    op8_sentencepiece,
+    op9_token_counts,
+    op10_token_output,
+    op11_collocations,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_warc, op4_url_filters, op5_license_scan, op6_decontamination, op7_jaccard_join, op8_sentencepiece, op9_token_counts, op10_token_output)}
+    return {f.__name__: f for f in QUERIES}
 
 
 _STOP = "', '".join(dict.fromkeys(quality_rules.STOP_WORDS.split()))
@@ -144,5 +163,36 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
+COLLOCATIONS_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM w, unnest([1, 2, 3]) s(m), unnest(range(1, len(ws) - m + 2)) t(i)),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= 10),
+k AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, (1000000 * c.a * c.a) // (l.a * r.a) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, phrase, max(b) AS b
+  FROM (SELECT lang, a AS b, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM (SELECT *, string_split(phrase, ' ') AS ws FROM c WHERE m = 3))
+  GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase)::BIGINT AS rank, b.phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE i.b IS NULL OR 100 * i.b < 50 * a
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY_SQL, "op3_warc": WARC_SQL, "op4_url_filters": URL_SQL, "op6_decontamination": DECONTAMINATION_SQL}
+    return {
+        "op1_quality_rules": QUALITY_SQL,
+        "op3_warc": WARC_SQL,
+        "op4_url_filters": URL_SQL,
+        "op6_decontamination": DECONTAMINATION_SQL,
+        "op11_collocations": COLLOCATIONS_SQL,
+    }

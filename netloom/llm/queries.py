@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import collocations, decontamination, html_extraction, jaccard_join, license_scan, quality_rules, sentencepiece_codec, token_counts, token_output, url_filters, warc
+from netloom.llm import collocations, conversation_repair, decontamination, html_extraction, jaccard_join, license_scan, quality_rules, sentencepiece_codec, token_counts, token_output, url_filters, warc
 from netloom.llm.common import table
 
 
@@ -86,6 +86,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair_report(conversation_repair.damaged(talks)).withColumnRenamed("conv_id", "found_id")
+    every = talks.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), empty)
+
+
 QUERIES = (
     op1_quality_rules,
     op2_html_extraction,
@@ -98,6 +107,7 @@ QUERIES = (
     op9_token_counts,
     op10_token_output,
     op11_collocations,
+    op12_conversation_repair,
 )
 
 
@@ -109,8 +119,8 @@ _STOP = "', '".join(dict.fromkeys(quality_rules.STOP_WORDS.split()))
 
 QUALITY_SQL = f"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 g AS (
   SELECT *, list_transform(range(1, greatest(len(ws) - 3, 1)), lambda i: array_to_string(ws[i:i+4], ' ')) AS gs FROM w),
 h AS (
@@ -187,6 +197,52 @@ FROM b JOIN n ON n.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b
 WHERE i.b IS NULL OR 100 * i.b < 50 * a
 QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) <= 2000"""
 
+REPAIR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE z END))) AS crc
+  FROM conversations),
+k AS (SELECT *, xor(crc, 4294967295::BIGINT) % 20 AS kind FROM d),
+a AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) WHERE kind <> 0),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM a),
+f AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM i),
+r AS (SELECT *, blank OR seen AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM f),
+g(q, ins, to_q, price, edits, lines) AS (VALUES
+  (0, 0, 0, 0, '', []::VARCHAR[]), (1, 0, 1, 0, '', []), (2, 0, 2, 0, '', []), (3, 0, 3, 0, '', []),
+  (0, 1, 2, 5, 'I', ['user:']), (0, 2, 3, 10, 'II', ['user:', 'assistant:']), (1, 1, 2, 5, 'I', ['user:']), (1, 2, 3, 10, 'II', ['user:', 'assistant:']),
+  (2, 1, 3, 5, 'I', ['assistant:']), (3, 1, 2, 5, 'I', ['user:'])),
+e(edit, q, initial, to_q, price, who) AS (VALUES
+  ('K', 0, 's', 1, 0, NULL), ('K', 0, 'u', 2, 0, NULL), ('K', 1, 'u', 2, 0, NULL), ('K', 2, 'a', 3, 0, NULL), ('K', 3, 'u', 2, 0, NULL),
+  ('R', 0, NULL, 2, 1, 'user'), ('R', 1, NULL, 2, 1, 'user'), ('R', 2, NULL, 3, 1, 'assistant'), ('R', 3, NULL, 2, 1, 'user'),
+  ('D', 0, NULL, 0, 2, NULL), ('D', 1, NULL, 1, 2, NULL), ('D', 2, NULL, 2, 2, NULL), ('D', 3, NULL, 3, 2, NULL)),
+s AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM i
+  UNION ALL
+  SELECT conv_id, i, q, min(best) AS best FROM (
+    SELECT s.conv_id, r.i, e.to_q AS q, {
+      'cost': s.best.cost + g.price + e.price + CASE WHEN e.edit = 'D' THEN 0 ELSE r.more END, 'audit': s.best.audit || g.edits || e.edit,
+      'lines': list_concat(s.best.lines, g.lines, CASE WHEN e.edit = 'D' THEN [] ELSE [coalesce(e.who, r.role) || ':' || r.text] END)} AS best
+    FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1 JOIN g ON g.q = s.q
+    JOIN e ON e.q = g.to_q AND (e.edit = 'D' OR NOT r.gone) AND (e.edit <> 'K' OR e.initial = r.role[1])
+  ) GROUP BY conv_id, i, q),
+z AS (
+  SELECT s.conv_id, min({'cost': s.best.cost + g.price, 'audit': s.best.audit || g.edits, 'lines': list_concat(s.best.lines, g.lines)}) AS best
+  FROM s JOIN (SELECT conv_id, max(i) AS m FROM i GROUP BY conv_id) t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.m = s.i JOIN g ON g.q = s.q AND g.to_q IN (0, 3) GROUP BY s.conv_id),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND seen) AS duplicate,
+    count(*) FILTER (NOT gone AND cut) AS truncated, count(*) FILTER (i > 1 AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -195,4 +251,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filters": URL_SQL,
         "op6_decontamination": DECONTAMINATION_SQL,
         "op11_collocations": COLLOCATIONS_SQL,
+        "op12_conversation_repair": REPAIR_SQL,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import collocations, conversation_repair, decontamination, html_extraction, jaccard_join, license_scan, quality_rules, sentencepiece_codec, token_counts, token_output, url_filters, warc
+from netloom.llm import collocations, conversation_repair, decontamination, embedding_dedup, html_extraction, jaccard_join, license_scan, quality_rules, sentencepiece_codec, token_counts, token_output, url_filters, warc
 from netloom.llm.common import table
 
 
@@ -95,6 +95,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), empty)
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_quality_rules,
     op2_html_extraction,
@@ -108,6 +112,7 @@ QUERIES = (
     op10_token_output,
     op11_collocations,
     op12_conversation_repair,
+    op13_embedding_dedup,
 )
 
 
@@ -243,6 +248,13 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
+EMBEDDING_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
+SELECT a AS vec_id, (SELECT count(*) FROM p WHERE p.a = r.a) AS n_links, min(b) AS component_id, a = min(b) AS kept FROM r GROUP BY a"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -252,4 +264,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": DECONTAMINATION_SQL,
         "op11_collocations": COLLOCATIONS_SQL,
         "op12_conversation_repair": REPAIR_SQL,
+        "op13_embedding_dedup": EMBEDDING_SQL,
     }

@@ -44,6 +44,8 @@ SHARDS = 3
 MAP_BITS, RUN_WORDS = 28, 3_000_000
 #: Bytes of text for each hash range; ranges are a power of two.
 RANGE_BYTES, MAX_RANGE_BITS = 2 << 20, 16
+#: Parts of a language's phrases that are ranked first, so that its end ranking is bounded.
+PARTS = 64
 #: Bytes of one text that are split into words at a time.
 STEP = 1 << 20
 
@@ -318,6 +320,9 @@ def collocations(docs: DataFrame, top: int = TOP, **how) -> DataFrame:
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("length") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("length") - m + 1), lambda i: F.array_join(F.slice(split, i, m), " ")))))
     longer = phrases.where("length > 2").select("lang", inner.alias("phrase"), F.col("a").alias("b")).groupBy("lang", "phrase").agg(F.max("b").alias("b"))
     kept = best.join(longer, ["lang", "phrase"], "left").where("b is null or 100 * b < 50 * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # the first of each part of a language, then of the language
+    order = (F.desc("best.score"), F.desc("a"), "phrase")
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "best.l", "best.r", "n", "best.score")

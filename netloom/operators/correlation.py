@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from netloom.functions import scalar as S
 from netloom.operators.graph import connected_components
+from netloom.operators.scans import running_sums, segments, stored
 
 # Technique ids, their names and tactics.
 TECHNIQUES = {
@@ -111,23 +112,30 @@ def campaigns(alerts: DataFrame, threats: DataFrame, least_threats: int = 2, lea
 
 def timed_groups(alerts: DataFrame, key: str, ts: str = "created", tie: str = "alert_id", seconds: float = 300.0) -> DataFrame:
     """Column ``group_no``: a new group starts when an alert is more than
-    ``seconds`` after its group's first.  Rows stream by, sorted within key; only
-    the current group's start is held."""
-    x = alerts.select(key, ts, tie).repartition(key).sortWithinPartitions(key, ts, tie)
+    ``seconds`` after its group's first.  A pause of as much always starts one, so a
+    key is cut there into stretches that are different tasks' work; they are
+    numbered on after running sums.  Only a group's start is held.  Alerts without a
+    time are left out."""
+    by = [key, "segment"]
+    x = segments(alerts.select(key, ts, tie), [key], ts, seconds, tie).repartition(*by).sortWithinPartitions(*by, ts, tie)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, start, no = object(), 0.0, 0
+        now, start, no = (object(), 0), 0.0, 0
         for b in batches:
             out = []
-            for k, t in zip(b[key], b[ts], strict=True):
-                if k != now:
-                    now, start, no = k, t, 0
+            for k, g, t in zip(b[key], b["segment"], b[ts], strict=True):
+                if (k, g) != now:
+                    now, start, no = (k, g), t, 0
                 elif t - start > seconds:
                     start, no = t, no + 1
                 out.append(no)
             yield b.assign(group_no=pd.Series(out, index=b.index, dtype="int64"))
 
-    return x.mapInPandas(run, T.StructType([*x.schema.fields, T.StructField("group_no", T.LongType())]))
+    numbered = stored(x.mapInPandas(run, T.StructType([*x.schema.fields, T.StructField("group_no", T.LongType())])))
+    groups = numbered.groupBy(*by).agg((F.max("group_no") + 1).alias("_n"))
+    before = running_sums(groups, [key], ["segment"], _sum=F.col("_n")).select(F.col(key).alias("_key"), F.col("segment").alias("_segment"), (F.col("_sum") - F.col("_n")).alias("_before"))
+    y = numbered.join(before, numbered[key].eqNullSafe(before["_key"]) & (F.col("segment") == F.col("_segment")))
+    return y.select(key, ts, tie, (F.col("group_no") + F.col("_before")).alias("group_no"))
 
 
 def technique_map(alerts: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import scalar as S
 from netloom.operators import reference as R
+from netloom.operators.scans import segments
 from netloom.operators.windows import bucketed_range_join, first_by
 
 
@@ -40,28 +41,30 @@ def detect_admin_lateral(flows: DataFrame, least: int = 3) -> DataFrame:
 def detect_sequential(flows: DataFrame, max_gap: float = 30.0, least: int = 5) -> DataFrame:
     """Chains of new destinations, each within ``max_gap`` of the last accepted
     one; what an accepted row starts depends on the rows before, so rows stream by
-    in order, sorted within their source.  Held at once: the open chain's
-    destinations, never a source's flows.  Of equal times the lesser id is first;
-    rows without a time or source are left out."""
+    in order.  A pause of more than ``max_gap`` always ends a chain, so a source is
+    cut there and its stretches are different tasks' work.  Held at once: the open
+    chain's destinations.  Of equal times the lesser id is first; rows without a
+    time or source are left out."""
 
     def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, seen, began, last, port = None, set(), 0.0, 0.0, None
+        names = ["src_ip", "dst_ip", "dst_port", "targets", "seconds", "score"]
+        now, seen, began, last, port = (None, None), set(), 0.0, 0.0, None
+        done = lambda: [(now[0], min(seen), port, len(seen), round(last - began, 3), min(100, 60 + 5 * len(seen)))] if len(seen) >= least else []
         for b in batches:
             out = []
-            for s, d, p, t in zip(b["src_ip"], b["dst_ip"], b["dst_port"], b["start_time"], strict=True):
-                if s != source or t - last > max_gap:
-                    if len(seen) >= least:
-                        out.append((source, min(seen), port, len(seen), round(last - began, 3), min(100, 60 + 5 * len(seen))))
-                    source, seen, began, last, port = s, {d}, t, t, p
+            for s, g, d, p, t in zip(b["src_ip"], b["segment"], b["dst_ip"], b["dst_port"], b["start_time"], strict=True):
+                if (s, g) != now or t - last > max_gap:
+                    out += done()
+                    now, seen, began, last, port = (s, g), {d}, t, t, p
                 elif d not in seen:
                     seen.add(d)
                     last = t
-            yield pd.DataFrame(out, columns=["src_ip", "dst_ip", "dst_port", "targets", "seconds", "score"])
-        if len(seen) >= least:
-            yield pd.DataFrame([(source, min(seen), port, len(seen), round(last - began, 3), min(100, 60 + 5 * len(seen)))], columns=["src_ip", "dst_ip", "dst_port", "targets", "seconds", "score"])
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(done(), columns=names)
 
-    x = internal_flows(flows).where("src_ip is not null and start_time is not null").select("src_ip", "dst_ip", "dst_port", "start_time", "flow_id")
-    x = x.repartition("src_ip").sortWithinPartitions("src_ip", "start_time", "flow_id")
+    x = internal_flows(flows).where("src_ip is not null").select("src_ip", "dst_ip", "dst_port", "start_time", "flow_id")
+    by = ["src_ip", "segment"]
+    x = segments(x, ["src_ip"], "start_time", max_gap, "flow_id").repartition(*by).sortWithinPartitions(*by, "start_time", "flow_id")
     return x.mapInPandas(chains, "src_ip string, dst_ip string, dst_port int, targets long, seconds double, score long")
 
 

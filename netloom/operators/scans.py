@@ -147,7 +147,7 @@ def greedy_match(a: DataFrame, b: DataFrame, keys: list[str], lo: float, hi: flo
 # --- chains that use up their rows
 
 
-def _jumps(key: str, ts: str, what: str, ahead: int, lo: float, hi: float, least: int, states: int):
+def _jumps(key: str, ts: str, what: str, tie: str, ahead: int, lo: float, hi: float, least: int, states: int):
     """Chains of a block and, for each place among its first rows where a scan may come
     in, whether the scan starts there and where it leaves the block."""
 
@@ -155,7 +155,7 @@ def _jumps(key: str, ts: str, what: str, ahead: int, lo: float, hi: float, least
         held: list[pd.DataFrame] = []
 
         def block(b: pd.DataFrame) -> pd.DataFrame:
-            t, d, place = b[ts].to_numpy(), b[what].tolist(), b["place"].to_numpy()
+            t, d, ids, place = b[ts].to_numpy(), b[what].tolist(), b[tie].tolist(), b["place"].to_numpy()
             n = int((~b["halo"]).sum())
             chains, jump = [], np.ones(n, dtype=int)
             for i in range(n):
@@ -176,7 +176,7 @@ def _jumps(key: str, ts: str, what: str, ahead: int, lo: float, hi: float, least
                     seen[i] |= 1 << s
                     i += jump[i]
                 leaves.append(i - n)
-            out = [(place[i], int(seen[i]), [int(place[c]) for c in chains[i]], None) for i in range(n) if jump[i] >= least]
+            out = [(place[i], int(seen[i]), [ids[c] for c in chains[i]], None) for i in range(n) if jump[i] >= least]
             out.append((None, None, None, leaves))
             made = pd.DataFrame(out, columns=["place", "seen", "chain", "leaves"])
             return made.assign(**{key: b[key].iloc[0], "block": b["block"].iloc[0]})[[key, "block", "place", "seen", "chain", "leaves"]]
@@ -197,7 +197,7 @@ def consuming_chains(rows: DataFrame, key: str, ts: str, what: str, tie: str, ah
     """Chains of rows of a key, each ``lo`` to ``hi`` after the chain's last and new in
     ``what``, sought among the ``ahead`` rows behind their first.  A chain of ``least``
     rows moves the search on by as many rows, any other row by one: ``key, start``
-    (the first row's place from 1) and ``place`` (of each row of the chain).
+    (the first row's place from 1) and ``tie`` of each row of the chain.
 
     A row's chain needs only the rows just behind it, and a scan can come into a block
     at one of its first ``ahead + 1`` rows: a block is a map of so few states.  Rows
@@ -207,11 +207,11 @@ def consuming_chains(rows: DataFrame, key: str, ts: str, what: str, tie: str, ah
     x = ranked(clean, [key], [ts, tie], "place", parts).withColumn("block", F.floor((F.col("place") - 1) / block))
     halo = x.where(((F.col("place") - 1) % block < ahead) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1).withColumn("halo", F.lit(True))
     dealt = x.withColumn("halo", F.lit(False)).unionByName(halo).repartition(key, "block").sortWithinPartitions(key, "block", "place")
-    kind = rows.schema[key].dataType.simpleString()
-    made = stored(dealt.mapInPandas(_jumps(key, ts, what, ahead, lo, hi, least, ahead + 1), f"`{key}` {kind}, block long, place long, seen int, chain array<long>, leaves array<int>"))
+    kind, of = rows.schema[key].dataType.simpleString(), rows.schema[tie].dataType.simpleString()
+    made = stored(dealt.mapInPandas(_jumps(key, ts, what, tie, ahead, lo, hi, least, ahead + 1), f"`{key}` {kind}, block long, place long, seen int, chain array<{of}>, leaves array<int>"))
     maps = made.where("leaves is not null").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("block", "leaves"))).alias("ms"))
     zero = F.array(F.struct(F.lit(-1).cast("long").alias("block"), F.lit(0).alias("at"), F.lit(0).alias("next")))
     step = lambda done, m: F.concat(done, F.array(F.struct(m["block"].alias("block"), F.element_at(done, -1)["next"].alias("at"), F.get(m["leaves"], F.element_at(done, -1)["next"]).alias("next"))))
     starts = maps.select(F.col(key).alias("_of"), F.explode(F.aggregate("ms", zero, step)).alias("_state")).select("_of", F.col("_state.block").alias("_block"), "_state.at")
     found = made.where("chain is not null").join(starts, (F.col(key) == F.col("_of")) & (F.col("block") == F.col("_block")))
-    return found.where(F.expr("(seen & shiftleft(1, at)) <> 0")).select(key, F.col("place").alias("start"), F.explode("chain").alias("place"))
+    return found.where(F.expr("(seen & shiftleft(1, at)) <> 0")).select(key, F.col("place").alias("start"), F.explode("chain").alias(tie))

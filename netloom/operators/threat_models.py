@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 
 from netloom.functions import scalar as S
 from netloom.operators import reference as R
-from netloom.operators.features import endpoint_features, fan_metrics, movement_scores, timing_sequences
+from netloom.operators.features import PROTOCOL_CODES, endpoint_features, fan_metrics, movement_scores, timing_sequences
 from netloom.operators.models import IsolationForest, min_max
 from netloom.operators.windows import best_by, gaps, mode
 
-# Codes of protocols in the flow features.
-PROTOCOL_CODES = {"TCP": 0.2, "UDP": 0.3, "TLS": 0.5, "DNS": 0.6, "ICMP": 0.1, "HTTP": 0.4, "HTTPS": 0.5, "SSH": 0.7, "SMB": 0.8, "RDP": 0.9}
 # Ports of relays and of bridges, technique of each kind of threat.
 RELAY_PORTS = (9001, 9030, 9050, 9051, 9150, 9151)
 BRIDGE_PORTS = (443, 80, 8080, 8443)

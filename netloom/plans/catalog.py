@@ -229,7 +229,6 @@ _add(
     SELECT src_ip, dst_port, service, technique, count(DISTINCT dst_ip) AS targets, min(dst_ip) AS dst_ip, least(100, 40 + count(DISTINCT dst_ip) * 10) AS score,
       CASE WHEN count(DISTINCT dst_ip) > 5 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM x WHERE src_ip IN (SELECT src_ip FROM b) GROUP BY ALL HAVING count(DISTINCT dst_ip) >= 2""",
 )
-_add("sequential_access", _on("flows", lateral.detect_sequential))
 _add(
     "credential_relay",
     _on("flows", lateral.detect_cred_relay),

@@ -256,7 +256,6 @@ _add(
     q AS (SELECT alert_id, unnest(min(((10 - s), related_id), 10)) AS r, generate_subscripts(min(((10 - s), related_id), 10), 1)::INT AS place FROM p WHERE s >= 3 GROUP BY alert_id)
     SELECT alert_id, r[2] AS related_id, round((10 - r[1]) / 10.0e0, 2) AS score, place FROM q""",
 )
-_add("alert_groups", _alerts(lambda a: correlation.timed_groups(a, "src_ip", seconds=30 * 86400.0)))
 _add(
     "event_timeline",
     _alerts(lambda a: correlation.event_timeline(a.withColumn("threat_score", F.floor("threat_score")), width=86400)),

@@ -112,7 +112,8 @@ def test_consuming_chains_equal_a_loop(spark, block):
     df = spark.createDataFrame(rows, "src string, start double, dst string, id int, block string").drop("block")
     got = {}
     for r in scans.consuming_chains(df, "src", "start", "dst", "id", block=block, parts=4).collect():
-        got.setdefault((r.src, r.start), []).append(r.place)
+        got.setdefault((r.src, r.start), []).append(r.id)
     for k in "abcd":
-        mine = {(s, tuple(sorted(p))) for (key, s), p in got.items() if key == k}
+        place = {r[3]: n for n, r in enumerate(sorted((r for r in rows if r[0] == k and r[1] is not None), key=lambda r: (r[1], r[3])), 1)}
+        mine = {(s, tuple(sorted(place[i] for i in p))) for (key, s), p in got.items() if key == k}
         assert mine == plain_chains([r[1:4] for r in rows if r[0] == k and r[1] is not None])

@@ -48,14 +48,19 @@ def detect_beacons(packets: DataFrame, flows: DataFrame | None = None, min_point
     n = p.groupBy("flow_id").agg(F.count(F.lit(1)).alias("packet_count")).where(F.col("packet_count") >= min_points)
     g = gaps(p, ["flow_id"], "timestamp", min_gap, "packet_id").groupBy("flow_id").agg(F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s"), F.count(F.lit(1)).alias("k")).where("k >= 3")
     cv = F.when(F.col("m") > 0, F.col("s") / F.col("m")).otherwise(1.0)
-    x = g.join(n, "flow_id").withColumn("cv", cv).where("cv < 0.40")
+    x = g.join(n, "flow_id").withColumn("cv", cv)
     meta = flows.select("flow_id", "src_ip", "dst_ip", "dst_port", *[c for c in ("sni", "ja3") if c in flows.columns])
     out = x.join(meta, "flow_id", "left")
     extra = []
     if "ja3" in meta.columns:
         out = out.join(F.broadcast(R.malware_ja3(packets.sparkSession)), "ja3", "left")
         extra = ["ja3", "sni", F.col("malware").alias("malware_match"), S.dga_score("sni").alias("dga_score")]
-    return out.select(
+    return beacon_rows(out, extra)
+
+
+def beacon_rows(x: DataFrame, extra=()) -> DataFrame:
+    """Rows of flows whose gaps have mean ``m``, deviation ``s`` and variation ``cv``."""
+    return x.where("cv < 0.40").select(
         "flow_id", "src_ip", "dst_ip", "dst_port",
         F.round("m", 3).alias("interval_mean"), F.round("s", 3).alias("interval_stdev"),
         F.round(F.greatest(F.lit(0.0), 1 - F.col("cv")), 4).alias("regularity"), "packet_count",

@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.operators.scans import ranked
+
 
 def ja3_rarity(flows: DataFrame) -> DataFrame:
     """``1 - count / all`` of each fingerprint among flows that have one."""
@@ -30,9 +31,13 @@ def min_max(df: DataFrame, cols: list[str], state: DataFrame | None = None) -> t
 
 
 def stratified_split(df: DataFrame, label: str, key: str, parts=(0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """``part`` 0, 1, 2 within each label, in an order fixed by seed and key."""
-    place = F.percent_rank().over(W.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
-    return df.withColumn("part", F.when(place < parts[0], 0).when(place < parts[0] + parts[1], 1).otherwise(2))
+    """``part`` 0, 1, 2 within each label, in an order fixed by seed and key.  Ranks
+    are summed over parts of the order, so no label is ordered in one task."""
+    mixed = df.withColumn("_mix", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    n = df.groupBy(F.col(label).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    x = ranked(mixed, [label], ["_mix", key], "_rank").join(n, F.col(label).eqNullSafe(F.col("_of")))
+    place = F.when(F.col("_n") > 1, (F.col("_rank") - 1) / (F.col("_n") - 1)).otherwise(0.0)
+    return x.withColumn("part", F.when(place < parts[0], 0).when(place < parts[0] + parts[1], 1).otherwise(2)).select(*df.columns, "part")
 
 
 def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:

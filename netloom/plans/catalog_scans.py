@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import circuits, correlation, lateral, stepping
-from netloom.plans import fixtures
+from netloom.operators import circuits, correlation, lateral, registry, stepping
+from netloom.operators.scans import shared_folder
+from netloom.plans import catalog, fixtures
 from netloom.plans.catalog import _AL, _alerts, _internal, _on
 from netloom.plans.catalog_threats import _GUARDS
 from netloom.plans.fixtures import duck
+from netloom.streaming.incremental import Incremental
 
 _Q: dict = {}
 _SQL: dict = {}
@@ -96,6 +98,35 @@ _add(
     SELECT src_ip, u.t AS created, u.id AS alert_id, u.no AS group_no FROM (SELECT src_ip, unnest(out) AS u FROM r)""",
 )
 
+# -- batches of packets, and folds of labelled flows
+
+
+def _incremental(spark, sf_dir):
+    """The protocols' packets one after the other, each batch late for the ones before."""
+    packets = fixtures.packets(spark, sf_dir)
+    state = Incremental(spark, shared_folder(spark), width=86_400.0)
+    for number, protocol in enumerate(("TLS", "DNS", "TCP")):
+        state.add(packets.where(F.col("protocol") == protocol), number)
+    return state.beacons()
+
+
+_add("incremental_beacons", _incremental, catalog.oracle_sql()["beacons"])
+_add(
+    "cross_validation_folds",
+    _on("flows", lambda f: registry.folds(f.select("flow_id", "protocol"), "flow_id", "protocol")),
+    duck("flows") + " SELECT flow_id, protocol, ((row_number() OVER (PARTITION BY protocol ORDER BY md5(concat('42:', flow_id)), flow_id) - 1) % 5)::INT AS fold FROM flows",
+)
+
+
+def _cross_validated(flows):
+    label = F.when(F.col("dst_port").isin(4444, 8443), "beacon").when(F.col("dst_port").isin(445, 3389), "lateral").otherwise("benign")
+    x = flows.select("flow_id", F.log1p("total_bytes").alias("bytes"), F.log1p("session_duration").alias("seconds"), (F.col("dst_port") / 65535).alias("port"), label.alias("label"))
+    got = registry.cross_validate(x, ["bytes", "seconds", "port"])
+    return flows.sparkSession.createDataFrame([(*got.values(),)], ", ".join(f"{m} double" for m in got))
+
+
+_add("cross_validation", _on("flows", _cross_validated))
+
 
 def queries() -> dict:
     return dict(_Q)

@@ -44,6 +44,7 @@ import html as htmllib
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -82,7 +83,13 @@ CLOSED_BY_OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr
 LIST_BOUNDS = tuple("ul ol menu dl table select".split())
 # Roles that HTML or common class names mark as no article text.
 SIDE_TAGS = frozenset("nav header footer aside form menu dialog button select".split()) | RAW | {"head"}
-SIDE_WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|adbox|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|notice|cookie|cookies|consent|gdpr|popup|modal|overlay|alert|newsletter|subscribe|signup|login|comment|comments|reply|replies|disqus|respond|related|recommended|share|sharing|social|pagination|pager|hidden|toolbar|skip)(?:$|[\s_-])")
+SIDE_WORDS = frozenset("ad ads advert advertisement adverts adbox banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget footer foot header masthead topbar notice cookie cookies consent gdpr popup modal overlay alert newsletter subscribe signup login comment comments reply replies disqus respond related recommended share sharing social pagination pager hidden toolbar skip".split())
+#: Words that may stand beside them in a class of a side part, as in ``site-footer``.
+BESIDE_WORDS = frozenset("site page main top bottom left right inner outer global primary secondary mobile sticky wrapper wrap container box slot area section list links link items item bar block unit buttons button posts post articles form group panel row holder inline text body content info message google 1 2 3".split())
+#: Words that name a side part even on a paragraph, and on an article within the main part; elements of text.
+ADVERTS = frozenset("ad ads advert advertisement adverts adbox sponsor sponsored promo hidden".split())
+COMMENTS = frozenset("comment comments reply replies disqus respond related recommended".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table tbody tr td th dl dt dd figure".split())
 MAIN_TAGS = ("article", "main")
 # Elements that hold blocks; any other is part of a text.
 CONTAINERS = frozenset("html body div section article main center".split())
@@ -108,10 +115,34 @@ def name_of(label: str) -> str:
     return re.split(r"[.#\[]", label, maxsplit=1)[0]
 
 
-def is_side(label: str) -> bool:
-    """Whether an element's own label marks it as no article text."""
+def side_words(label: str) -> set[str]:
+    """Words of an element's classes, role or id that mark a side part.  A class counts
+    as a whole: ``side-effects`` and ``with-sidebar`` say nothing."""
+    out = set()
+    for mark in re.split(r"[.#\[\]\s]+", label[len(name_of(label)) :].lower()):
+        parts = set(re.split(r"[_-]+", mark))
+        if parts & SIDE_WORDS and parts <= SIDE_WORDS | BESIDE_WORDS:
+            out |= parts & SIDE_WORDS
+    return out
+
+
+#: How an element stands: in a side part by its tag, by a class, inside the page's main part.
+PLAIN = (False, False, False)
+
+
+def stands(around: tuple[bool, bool, bool], label: str) -> tuple[bool, bool, bool]:
+    """A class makes no side part of what holds the page or its main part: ``html``,
+    ``body``, the outermost ``main`` or ``article``; and a ``main`` ends what a class
+    around it says.  An article inside a side part stays there."""
+    tag, marked, inside = around
     name = name_of(label)
-    return name in SIDE_TAGS or (len(label) > len(name) and bool(SIDE_WORDS.search(re.sub(r"[.#\[\]]", " ", label[len(name) :]))))
+    if name == "main" and not inside:
+        marked = False
+    elif name not in ("html", "body") and (inside or name not in MAIN_TAGS):
+        words = side_words(label) if len(label) > len(name) else set()
+        telling = ADVERTS if name in TEXT_TAGS else ADVERTS | COMMENTS if name in MAIN_TAGS else words
+        marked = marked or bool(words & telling)
+    return tag or name in SIDE_TAGS, marked, inside or name in MAIN_TAGS
 
 
 def walk(html: str, root, enter) -> Iterator[tuple[str, object, str]]:
@@ -223,9 +254,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class Reader:
     """Tokens of pages.  A role is a tuple (hash, side, in a link, parent's hash,
-    label); those met are held, ``MAX_HELD`` at most."""
+    label, standing); those met are held, ``MAX_HELD`` at most."""
 
-    ROOT = (0, False, False, 0, "")
+    ROOT = (0, False, False, 0, "", PLAIN)
 
     def __init__(self):
         self.roles: dict[tuple[int, str], tuple] = {}
@@ -236,7 +267,8 @@ class Reader:
             if len(self.roles) > MAX_HELD:
                 self.roles.clear()
             h = xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), seed=above[0])
-            got = (h, above[1] or is_side(label), above[2] or name_of(label) == "a", above[0], label)
+            at = stands(above[5], label)
+            got = (h, at[0] or at[1], above[2] or name_of(label) == "a", above[0], label, at)
             self.roles[above[0], label] = got
         return got
 
@@ -459,7 +491,7 @@ def nest(rows: pd.DataFrame) -> dict:
     valid = {k: c for k, c in template.items() if len(c["tokens"]) >= MIN_TOKENS}
     ok = {r.token for c in valid.values() for r in c["tokens"]}
     fixed = {r.token for c in valid.values() for r in c["tokens"] if r.word}
-    side = {t for t in tags if any(is_side(tags[x].label) for x in above(t))}
+    side = {t for t in tags if any(reduce(lambda at, x: stands(at, tags[x].label), reversed(above(t)), PLAIN)[:2])}
     words = {t: 0 if t in side else max(0, r.words - r.links) for t, r in tags.items()}
     for c in valid.values():
         for r in c["tokens"]:

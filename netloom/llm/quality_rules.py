@@ -32,7 +32,8 @@ WINDOW = 5
 @dataclass(frozen=True)
 class Rule:
     """``name`` fails where ``numerator / denominator`` leaves [low, high] and the
-    text has at least ``min_words`` words.  Compared by cross-multiplication."""
+    text has at least ``min_words`` words.  Compared by cross-multiplication.  With
+    ``langs`` only texts that their row says are in one of them can fail."""
 
     name: str
     numerator: str
@@ -40,8 +41,11 @@ class Rule:
     low: float | None = None
     high: float | None = None
     min_words: int = 0
+    langs: tuple[str, ...] = ()
 
 
+#: Languages that the stop words cover; other and unknown ones are not judged by them.
+STOP_WORD_LANGS = ("en", "de", "fr", "es")
 BASE_RULES = (
     Rule("min_words", "n_words", low=10),
     Rule("repeated_windows", "n_repeat_words", "n_words", high=0.20),
@@ -50,7 +54,7 @@ METHOD_RULES = (
     Rule("mean_word_length", "word_chars", "n_words", low=2.0, high=12.0),
     Rule("symbols", "n_symbols", "word_chars", high=0.05),
     Rule("exclamations", "n_exclamations", "n_words", high=0.30),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.02, min_words=40),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.02, min_words=40, langs=STOP_WORD_LANGS),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.50, min_words=10),
 )
 
@@ -122,6 +126,8 @@ def compile_rules(rules, at) -> dict[str, Column]:
             hundred = round(r.high * 100)
             exact = abs(hundred - r.high * 100) < 1e-9
             broken = broken | ((value * 100 > F.lit(float(hundred)) * scale) if exact else (value > r.high * scale))
+        if r.langs:
+            broken = broken & F.coalesce(F.lower(at("lang")).isin(*r.langs), F.lit(False))
         out[r.name] = broken & (at("n_words") >= r.min_words)
     return out
 
@@ -129,11 +135,11 @@ def compile_rules(rules, at) -> dict[str, Column]:
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclamations", "n_stop_words", "n_lines")
 
 
-def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE_RULES, method=METHOD_RULES) -> DataFrame:
+def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE_RULES, method=METHOD_RULES, lang_col: str = "lang") -> DataFrame:
     """One row per document: ``id_col``, the measures, ``base_failed``, ``kept``
     and ``reasons`` (names of the broken rules)."""
-    m = docs.select(F.col(id_col), measures(F.col(text_col)).alias("m"))
-    at = lambda c: {"n_lines": F.col("m.lines.n"), "n_dup_lines": F.col("m.lines.d")}.get(c, F.col(f"m.{c}"))
+    m = docs.select(F.col(id_col), measures(F.col(text_col)).alias("m"), _lang(docs, lang_col).alias("_lang"))
+    at = lambda c: {"n_lines": F.col("m.lines.n"), "n_dup_lines": F.col("m.lines.d"), "lang": F.col("_lang")}.get(c, F.col(f"m.{c}"))
     b, r = compile_rules(base, at), compile_rules(method, at)
     any_of = lambda xs: F.array_contains(F.array(*xs), True) if xs else F.lit(False)
     failed = any_of([*b.values()])
@@ -146,10 +152,15 @@ def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", base=BASE_RULES, method=METHOD_RULES) -> DataFrame:
+def _lang(docs: DataFrame, lang_col: str) -> Column:
+    """The rows' language; null where the table has none."""
+    return F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", base=BASE_RULES, method=METHOD_RULES, lang_col: str = "lang") -> DataFrame:
     """The documents that break no rule, with their own columns."""
     own = "_netloom_quality"
     m = docs.withColumn(own, measures(F.col(text_col)))
-    at = lambda c: {"n_lines": F.col(f"{own}.lines.n"), "n_dup_lines": F.col(f"{own}.lines.d")}.get(c, F.col(f"{own}.{c}"))
+    at = lambda c: {"n_lines": F.col(f"{own}.lines.n"), "n_dup_lines": F.col(f"{own}.lines.d"), "lang": _lang(docs, lang_col)}.get(c, F.col(f"{own}.{c}"))
     broken = [*compile_rules((*base, *method), at).values()]
     return m.where(~F.array_contains(F.array(*broken), True)).select(*[F.col(f"`{c}`") for c in docs.columns])

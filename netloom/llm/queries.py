@@ -124,7 +124,7 @@ _STOP = "', '".join(dict.fromkeys(quality_rules.STOP_WORDS.split()))
 
 QUALITY_SQL = f"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 g AS (
   SELECT *, list_transform(range(1, greatest(len(ws) - 3, 1)), lambda i: array_to_string(ws[i:i+4], ' ')) AS gs FROM w),
@@ -133,7 +133,7 @@ h AS (
 s AS (
   SELECT *, list_filter(range(1, len(gs) + 1), lambda i: list_contains(rs, gs[i])) AS starts FROM h),
 m AS (
-  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
     (CASE WHEN len(starts) = 0 THEN 0 ELSE 5 + coalesce(list_sum(list_transform(range(2, len(starts) + 1), lambda k: least(5, starts[k] - starts[k-1]))), 0) END)::BIGINT AS n_repeat_words,
@@ -142,7 +142,7 @@ m AS (
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 100 * n_symbols > 5 * word_chars
-    OR 100 * n_excl > 30 * n_words OR (n_words >= 40 AND n_stop < 0.02 * n_words)
+    OR 100 * n_excl > 30 * n_words OR (coalesce(lower(lang) IN ('en', 'de', 'fr', 'es'), false) AND n_words >= 40 AND n_stop < 0.02 * n_words)
     OR (n_words >= 10 AND 100 * n_dup_lines > 50 * n_lines)) AS kept
 FROM b"""
 

@@ -138,3 +138,36 @@ def test_hostile_pages_take_linear_time(unit):
 
 def test_long_name_is_read():
     assert H.Extractor()(H.Reader(), "<p>a" + "<" + "x" * 1_000_000) .startswith("a")
+
+
+ARTICLE = "<h1>Title of it</h1><p>Some first words here.</p><p class='alert'>Mind the step.</p><section class='related-work'><p>Others did this before.</p></section>"
+WORDS = "Title of it Some first words here. Mind the step. Others did this before."
+AROUND = "<nav><a href=x>Home</a></nav><div class='site-footer'>Imprint</div><div class='ad'>Buy now</div><section class='comments'><article class='comment'><p>First!</p></article></section>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<body class='single has-sidebar'><article>{}</article>",
+        "<body class='right-sidebar single'><article>{}</article>",
+        "<body class='sidebar'><main>{}</main>",
+        "<body><div class='content-with-sidebar'><main>{}</main></div>",
+        "<body><div class='sidebar container'><main>{}</main></div>",
+        "<body><article class='post comment-open'>{}</article>",
+        "<body><article id='side-effects'>{}</article>",
+        "<body><main class='notice'><article class='alert'>{}</article></main>",
+    ],
+)
+def test_a_class_around_the_article_empties_no_page(spark, body):
+    page = lambda i: body.format(ARTICLE.replace("first words", f"first words {i}")) + AROUND
+    alone = H.Extractor()(H.Reader(), page(0))
+    assert alone == WORDS.replace("first words", "first words 0")
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_text(pages).collect()}
+    assert got == {i: WORDS.replace("first words", f"first words {i}") for i in range(12)}
+
+
+def test_side_words_count_as_whole_classes():
+    side = lambda label: bool(H.side_words(label))
+    assert all(map(side, ("div.ad", "div.site-footer", "ul.main-nav", "div.cookie-notice", "div.sidebar widget", "div#comments", "div[navigation]", "div.related-posts", "div.ad_slot")))
+    assert not any(map(side, ("div.content-with-sidebar", "body.has-sidebar", "article.comment-open", "p#side-effects", "section.related-work", "div.post", "div.advice", "main")))

@@ -61,6 +61,15 @@ def test_quality_rules_reject_and_keep(spark):
     assert [r.doc_id for r in quality_rules.keep_good(df).collect()] == [0]
 
 
+def test_stop_words_judge_their_own_languages_only(spark):
+    text = " ".join(f"слово{i} и ещё" for i in range(30))
+    rows = [(i, text, lang) for i, lang in enumerate(("ru", None, "en", "EN", "pl"))]
+    got = quality_rules.quality_measures(spark.createDataFrame(rows, "doc_id long, text string, lang string")).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [True, True, False, False, True] and got[2].reasons == ["stop_words"]
+    assert quality_rules.quality_measures(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().kept
+    assert [r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).orderBy("doc_id").collect()] == [0, 1, 4]
+
+
 def test_warc_round_trip(spark):
     big = "é" * 200
     data = [(1, "http://a/?q=1", big, 0), (2, None, big, 0), (3, "u\r\nv", None, 0), (None, "n", big, 0), (5, "b", "short", 0), (6, "b", "short", 0), (1, "http://a/?q=1", big, 0)]

@@ -41,7 +41,7 @@ from netloom.llm.common import written
 MIN_COUNT, LONGEST, TOP = 10, 3, 2000
 SHARDS = 3
 #: Bits of the map of locally frequent phrases (32 MB), and words held by a task.
-MAP_BITS, RUN_WORDS = 28, 3_000_000
+MAP_BITS, RUN_WORDS = 28, 1_500_000
 #: Bytes of text for each hash range; ranges are a power of two.
 RANGE_BYTES, MAX_RANGE_BITS = 2 << 20, 16
 #: Parts of a language's phrases that are ranked first, so that its end ranking is bounded.

@@ -83,7 +83,9 @@ def ip_to_long(ip: C) -> Column:
     p = F.split(_c(ip), r"\.")
     part = lambda i: F.try_element_at(p, F.lit(i)).try_cast("bigint")
     value = part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4)
-    ok = (F.size(p) == 4) & F.greatest(*[part(i) for i in (1, 2, 3, 4)]).between(0, 255)
+    ok = F.size(p) == 4
+    for i in (1, 2, 3, 4):
+        ok = ok & part(i).between(0, 255)
     return F.when(ok, value)
 
 

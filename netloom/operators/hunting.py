@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions import scalar as S
+from netloom.operators.scans import running_sums
 from netloom.operators.windows import group_entropy, median_mad
 
 FEATURES = ("total_bytes", "packet_count", "session_duration", "unique_destinations", "port_entropy", "tls_ratio")
@@ -26,6 +27,28 @@ def build_baseline(flows: DataFrame, least: int = 5) -> DataFrame:
     return x.where(F.col("flows") >= least).join(mad, "src_ip").join(ports, "src_ip")
 
 
+def destination_growth(flows: DataFrame, positions: int = 10, parts: int | None = None) -> DataFrame:
+    """How many distinct destinations each source had met at about ``positions`` evenly
+    spaced flows: ``src_ip, position`` (flows before it)``, destinations``.  A pair's
+    first flow counts one; the counts are running sums over parts of the order, so a
+    source with half of all flows is many tasks."""
+    x = flows.where("src_ip is not null and start_time is not null").select("src_ip", "dst_ip", "start_time", "flow_id")
+    order = F.struct("start_time", "flow_id")
+    first = x.groupBy("src_ip", "dst_ip").agg(F.min(order).alias("_f")).select("src_ip", "_f.start_time", "_f.flow_id", F.lit(1).alias("_new"))
+    marked = x.join(first, ["src_ip", "start_time", "flow_id"], "left")
+    run = running_sums(marked, ["src_ip"], ["start_time", "flow_id"], parts, _no=F.lit(1).cast("long"), destinations=F.coalesce("_new", F.lit(0)).cast("long"))
+    n = x.groupBy("src_ip").agg(F.count(F.lit(1)).alias("_n"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / positions))
+    return run.join(n, "src_ip").withColumn("position", F.col("_no") - 1).where(F.col("position") % step == 0).select("src_ip", "position", "destinations")
+
+
+def destination_spread(flows: DataFrame, least: int = 3) -> DataFrame:
+    """Median absolute deviation of each source's counts in ``destination_growth``."""
+    g = destination_growth(flows)
+    enough = g.groupBy("src_ip").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("src_ip")
+    return median_mad(g.join(enough, "src_ip"), ["src_ip"], "destinations").select("src_ip", F.col("mad").alias("mad_destinations"))
+
+
 def usual_values(history: DataFrame, value: str, n: int) -> DataFrame:
     """The ``n`` commonest values of each source; of equal counts the least value."""
     counts = history.where(F.col(value).isNotNull()).groupBy("src_ip", value).agg(F.count(F.lit(1)).alias("c"))

@@ -36,8 +36,21 @@ COMMON_PORTS = (80, 443, 53, 22)
 DEPRECATED_TLS = ("SSL 2.0", "SSL 3.0", "TLS 1.0", "TLS 1.1")
 # Names in queries that tunnelling tools leave, in order.
 TUNNEL_SIGNATURES = {"t.v0": "iodine", "dnscat": "dnscat2", "dns2tcp": "dns2tcp", "pwn": "DNSExfiltrator"}
-# Public relay nodes.
-RELAY_NODES = {"86.59.21.38": "authority", "171.25.193.9": "authority", "185.220.101.47": "exit", "199.254.238.53": "guard"}
+# Directory authorities, one exit and one guard; whole lists come from feeds.
+RELAY_NODES = {
+    "128.31.0.34": "authority", "86.59.21.38": "authority", "194.109.206.212": "authority", "199.58.81.140": "authority", "131.188.40.189": "authority",
+    "193.23.244.244": "authority", "171.25.193.9": "authority", "154.35.175.225": "authority", "45.66.33.45": "authority", "185.220.101.47": "exit", "5.45.98.176": "guard",
+}
+# Fingerprints of relay clients.
+RELAY_CLIENT_JA3 = {
+    "e7d705a3286e19ea42f587b344ee6866": "Tor Browser 12.x",
+    "c12f54a3b91eb38a1b4e3f1c3d4e5f6a": "Tor Browser 13.x",
+    "a8b7c6d5e4f3a2b1c0d9e8f7a6b5c4d3": "Tor Browser (obfs4)",
+    "b523d03bce13c0e06cc6a8db6cf3b1aa": "Tor Browser 14.x (ESR128)",
+    "d4e5f6a7b8c9d0e1f2a3b4c5d6e7f8a9": "Tor Browser (snowflake)",
+}
+# Cipher suites that relay clients offer.
+RELAY_CLIENT_CIPHERS = (0x1301, 0x1302, 0x1303, 0xC02C, 0xC02B, 0xC030, 0xC02F, 0xCCA9, 0xCCA8)
 
 
 def _frame(spark: SparkSession, rows, schema: str) -> DataFrame:
@@ -48,6 +61,10 @@ def malware_ja3(spark: SparkSession) -> DataFrame:
     return _frame(spark, [*MALWARE_JA3.items()], "ja3 string, malware string")
 
 
+def relay_client_ja3(spark: SparkSession) -> DataFrame:
+    return _frame(spark, [*RELAY_CLIENT_JA3.items()], "ja3 string, client string")
+
+
 def admin_ports(spark: SparkSession) -> DataFrame:
     return _frame(spark, [(p, n, t) for p, (n, t) in ADMIN_PORTS.items()], "dst_port int, service string, technique string")
 

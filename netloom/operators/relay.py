@@ -39,3 +39,31 @@ def relay_c2(flows: DataFrame, nodes: DataFrame | None = None, least: int = 5, l
     g = gaps(m, ["src_ip", "relay_ip"], "start_time", 0.0, "flow_id").where(F.col("gap") < max_gap)
     g = g.groupBy("src_ip", "relay_ip").agg(F.count(F.lit(1)).alias("k"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s")).where((F.col("k") >= least_gaps) & (F.col("m") > 10))
     return n.join(g, ["src_ip", "relay_ip"]).withColumn("cv", F.round(F.col("s") / F.col("m"), 4)).where(F.col("cv") < max_cv).select("src_ip", "relay_ip", "flows", "cv")
+
+
+def relay_client_fingerprints(flows: DataFrame, nodes: DataFrame | None = None, clients: DataFrame | None = None, ciphers=R.RELAY_CLIENT_CIPHERS, ports=(9001, 9030, 9040, 9050, 9051, 9150, 443, 80), least: int = 4) -> DataFrame:
+    """Signs of relay clients: a known fingerprint (once a source and fingerprint), only
+    ciphers that such clients offer, ``least`` at least (once a source), TLS without a
+    name to a relay (once a pair), and any flow to a directory authority.  The earliest
+    flow stands for its group; ``flows`` may lack ``cipher_suites``."""
+    spark = flows.sparkSession
+    nodes = R.relay_nodes(spark) if nodes is None else nodes
+    clients = R.relay_client_ja3(spark) if clients is None else clients
+    of = nodes.groupBy(F.col("ip").alias("dst_ip")).agg(F.max(F.col("node_type") == "authority").alias("authority"))
+    ends = ("flow_id", "src_ip", "dst_ip", "dst_port", "start_time")
+    first = F.min_by(F.struct(*ends), F.struct("start_time", "flow_id")).alias("f")
+
+    def sign(x: DataFrame, keys: list[str], kind: str, detail, confidence: float, severity: str, score: int) -> DataFrame:
+        y = x.withColumn("detail", detail).groupBy(*keys).agg(first, F.min_by("detail", F.struct("start_time", "flow_id")).alias("detail"))
+        return y.select(F.lit(kind).alias("kind"), *[F.col(f"f.{c}").alias(c) for c in ends], "detail", F.lit(confidence).alias("confidence"), F.lit(severity).alias("severity"), F.lit(score).alias("score"))
+
+    known = sign(flows.join(clients, "ja3"), ["src_ip", "ja3"], "ja3_match", F.col("client"), 0.95, "HIGH", 88)
+    bare = flows.where("protocol = 'TLS' and coalesce(sni, '') = ''").where(F.col("dst_port").isin(*ports)).join(of.select("dst_ip"), "dst_ip")
+    unnamed = sign(bare, ["src_ip", "dst_ip"], "nosni_relay_port", F.col("dst_port").cast("string"), 0.8, "HIGH", 72)
+    directory = sign(flows.join(of.where("authority").select("dst_ip"), "dst_ip"), ["flow_id"], "directory", F.col("protocol"), 0.9, "CRITICAL", 80)
+    out = known.unionByName(unnamed).unionByName(directory)
+    if "cipher_suites" in flows.columns:
+        offered = F.array_distinct("cipher_suites")
+        only = flows.where((F.size(offered) >= least) & (F.size(F.array_except("cipher_suites", F.array(*[F.lit(c) for c in ciphers]))) == 0))
+        out = out.unionByName(sign(only, ["src_ip"], "cipher_match", F.size(offered).cast("string"), 0.7, "MEDIUM", 62))
+    return out

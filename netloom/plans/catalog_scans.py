@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import circuits, correlation, lateral, registry, stepping
+from netloom.functions import sql as functions
+from netloom.operators import circuits, correlation, hunting, infrastructure, lateral, registry, relay, stepping, stix_store, tls
+from netloom.operators import reference as R
 from netloom.operators.scans import shared_folder
 from netloom.plans import catalog, fixtures
+from netloom.sources import storage
 from netloom.plans.catalog import _AL, _alerts, _internal, _on
 from netloom.plans.catalog_threats import _GUARDS
 from netloom.plans.fixtures import duck
@@ -127,6 +130,119 @@ def _cross_validated(flows):
 
 _add("cross_validation", _on("flows", _cross_validated))
 
+# -- attackers' infrastructure: alerts of an address and a category are a threat
+
+
+def _threats(spark, sf_dir):
+    a = fixtures.alerts(spark, sf_dir)
+    kind = F.when(F.col("category") == "beacon", "malware_beaconing").when(F.col("category") == "lateral_movement", "lateral_movement").when(F.col("category") == "exfiltration", "abnormal_traffic_flow").otherwise(F.col("category"))
+    text = F.concat(F.lit("seen "), "src_ip", F.lit(" > "), "dst_ip", F.lit(" asking Host"), F.col("assignee"), F.lit(".Example"))
+    return a.groupBy("src_ip", F.expr("floor(created / 604800)").alias("week"), kind.alias("threat_type")).agg(
+        F.min("alert_id").alias("threat_id"), F.max(F.col("price") / 1e6).alias("score"), F.min("session_id").alias("session_id"), F.min("created").alias("created"), F.collect_list(text).alias("evidence")
+    )
+
+
+_THREATS = duck("alerts") + r""", th AS (SELECT src_ip, CASE category WHEN 'beacon' THEN 'malware_beaconing' WHEN 'exfiltration' THEN 'abnormal_traffic_flow' ELSE category END AS threat_type, min(alert_id) AS threat_id, max(price / 1e6) AS score,
+    min(session_id) AS session_id, min(created) AS created, list(concat('seen ', src_ip, ' > ', dst_ip, ' asking Host', assignee, '.Example')) AS evidence FROM alerts GROUP BY src_ip, floor(created / 604800), threat_type),
+    ev AS (SELECT threat_id, unnest(evidence) AS t FROM th),
+    tm AS (SELECT DISTINCT threat_id, unnest(regexp_extract_all(t, '\b(\d{1,3}(?:\.\d{1,3}){3})\b', 1)) AS ip FROM ev),
+    ti AS (SELECT * FROM tm WHERE NOT regexp_matches(ip, '^(10[.]|127[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.])')),
+    nd AS (SELECT ip, arg_min(threat_type, (created, threat_id)) AS f, round(max(score), 3) AS confidence, string_agg(DISTINCT threat_type, ',' ORDER BY threat_type) AS threat_types, count(*) AS threats, count(DISTINCT session_id) AS sessions,
+      min(created) AS first_seen, max(created) AS last_seen FROM ti JOIN th USING (threat_id) GROUP BY ip)"""
+_over_threats = lambda f: lambda spark, sf_dir: f(_threats(spark, sf_dir))
+_add(
+    "infrastructure_nodes",
+    _over_threats(infrastructure.infrastructure_nodes),
+    _THREATS + " SELECT ip, CASE f WHEN 'malware_beaconing' THEN 'c2' WHEN 'lateral_movement' THEN 'relay' WHEN 'abnormal_traffic_flow' THEN 'exfil' WHEN 'dga' THEN 'c2' ELSE 'unknown' END AS node_type, * EXCLUDE (ip, f) FROM nd",
+)
+_LINKS = ", ln AS (SELECT DISTINCT l.src, ip AS dst FROM ti JOIN (SELECT threat_id, min(ip) AS src FROM ti GROUP BY threat_id) l USING (threat_id) WHERE ip <> l.src)"
+_add("infrastructure_links", _over_threats(infrastructure.infrastructure_links), _THREATS + _LINKS + " SELECT src, dst FROM ln")
+_add(
+    "infrastructure_campaigns",
+    _over_threats(infrastructure.infrastructure_campaigns),
+    _THREATS.replace("WITH", "WITH RECURSIVE", 1) + _LINKS + """, e AS (SELECT src AS a, dst AS b FROM ln UNION SELECT dst, src FROM ln), rc(n, c) AS (SELECT a, a FROM e UNION SELECT e.b, rc.c FROM rc JOIN e ON e.a = rc.n WHERE rc.c <= e.b),
+    co AS (SELECT n AS ip, min(c) AS campaign FROM rc GROUP BY n)
+    SELECT campaign, count(*) AS nodes, max(confidence) AS confidence, min(first_seen) AS first_seen, max(last_seen) AS last_seen, (SELECT string_agg(DISTINCT k, ',' ORDER BY k) FROM (SELECT unnest(string_split(threat_types, ',')) AS k FROM nd n2 JOIN co c2 USING (ip) WHERE c2.campaign = co.campaign)) AS threat_types
+    FROM nd JOIN co USING (ip) GROUP BY campaign HAVING count(*) >= 2""",
+)
+_add(
+    "infrastructure_connections",
+    _over_threats(lambda t: infrastructure.connections(t, infrastructure.infrastructure_nodes(t).orderBy(F.desc("confidence"), "ip").limit(200))),
+    _THREATS + """, tp AS (SELECT ip FROM nd ORDER BY confidence DESC, ip LIMIT 200), pr AS (SELECT DISTINCT tp.ip AS ip, b.ip AS other FROM tp JOIN ti a USING (ip) JOIN ti b ON b.threat_id = a.threat_id AND b.ip <> tp.ip)
+    SELECT ip, count(*) AS connections, array_to_string(list(other ORDER BY other)[:20], ',') AS some FROM pr GROUP BY ip""",
+)
+
+# -- growth of destinations, relay clients, ciphers, SQL functions
+
+_GROWTH = ", fo AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY start_time, flow_id) - 1 AS position, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY start_time, flow_id) = 1 AS fresh, count(*) OVER (PARTITION BY src_ip) AS n FROM flows), gr AS (SELECT src_ip, position, n, (sum(fresh::INT) OVER (PARTITION BY src_ip ORDER BY position))::BIGINT AS destinations FROM fo), gw AS (SELECT src_ip, position, destinations FROM gr WHERE position % greatest(1, n // 10) = 0)"
+_add("destination_growth", _on("flows", hunting.destination_growth), duck("flows") + _GROWTH + " SELECT * FROM gw")
+_add(
+    "destination_spread",
+    _on("flows", hunting.destination_spread),
+    duck("flows") + _GROWTH + ", md AS (SELECT src_ip, median(destinations) AS m FROM gw GROUP BY src_ip HAVING count(*) >= 3) SELECT src_ip, median(abs(destinations - m)) AS mad_destinations FROM gw JOIN md USING (src_ip) GROUP BY src_ip",
+)
+
+
+def _with_ciphers(f):
+    pick = F.when(F.col("src_port") % 7 == 0, F.array(*map(F.lit, (0x1301, 0x1302, 0xC02C, 0xC030)))).when(F.col("src_port") % 7 == 1, F.array(*map(F.lit, (0x1301, 0x002F, 0x0035, 0x000A)))).otherwise(F.array(F.lit(0x1302), F.lit(0xC02B)))
+    return f.withColumn("cipher_suites", F.when(F.col("tls_version").isNotNull(), pick)).withColumn("ja3", F.when(F.col("src_port") % 11 == 0, "c12f54a3b91eb38a1b4e3f1c3d4e5f6a").otherwise(F.col("ja3")))
+
+
+_CIPHERS = duck("flows") + """, cf AS (SELECT * REPLACE (CASE WHEN src_port % 11 = 0 THEN 'c12f54a3b91eb38a1b4e3f1c3d4e5f6a' ELSE ja3 END AS ja3),
+    CASE WHEN tls_version IS NOT NULL THEN CASE src_port % 7 WHEN 0 THEN [4865, 4866, 49196, 49200] WHEN 1 THEN [4865, 47, 53, 10] ELSE [4866, 49195] END END AS cipher_suites FROM flows)"""
+_sign = lambda kind, keys, detail, rest, where: f"SELECT '{kind}' AS kind, arg_min(flow_id, (start_time, flow_id)) AS flow_id, arg_min(src_ip, (start_time, flow_id)) AS src_ip, arg_min(dst_ip, (start_time, flow_id)) AS dst_ip, arg_min(dst_port, (start_time, flow_id)) AS dst_port, min(start_time) AS start_time, arg_min({detail}, (start_time, flow_id)) AS detail, {rest} FROM cf WHERE {where} GROUP BY {keys}"
+_AUTHORITIES = "(" + ", ".join(f"'{k}'" for k, v in R.RELAY_NODES.items() if v == "authority") + ")"
+_NODES = "(" + ", ".join(f"'{k}'" for k in R.RELAY_NODES) + ")"
+_add(
+    "relay_client_fingerprints",
+    _on("flows", lambda f: relay.relay_client_fingerprints(_with_ciphers(f))),
+    _CIPHERS + " " + " UNION ALL ".join((
+        _sign("ja3_match", "cf.src_ip, cf.ja3", "'Tor Browser 13.x'", "0.95 AS confidence, 'HIGH' AS severity, 88 AS score", "ja3 = 'c12f54a3b91eb38a1b4e3f1c3d4e5f6a'"),
+        _sign("nosni_relay_port", "cf.src_ip, cf.dst_ip", "dst_port::VARCHAR", "0.8, 'HIGH', 72", f"protocol = 'TLS' AND coalesce(sni, '') = '' AND dst_port IN (9001, 9030, 9040, 9050, 9051, 9150, 443, 80) AND dst_ip IN {_NODES}"),
+        _sign("directory", "cf.flow_id", "protocol", "0.9, 'CRITICAL', 80", f"dst_ip IN {_AUTHORITIES}"),
+        _sign("cipher_match", "cf.src_ip", "len(cipher_suites)::VARCHAR", "0.7, 'MEDIUM', 62", "src_port % 7 = 0 AND cipher_suites IS NOT NULL"),
+    )),
+)
+_add(
+    "weak_ciphers",
+    _on("flows", lambda f: tls.detect_weak_ciphers(_with_ciphers(f)).withColumn("weak", F.array_join(F.transform("weak", lambda c: c.cast("string")), ","))),
+    _CIPHERS + " SELECT flow_id, src_ip, dst_ip, '47,53,10' AS weak FROM cf WHERE src_port % 7 = 1 AND cipher_suites IS NOT NULL",
+)
+
+
+def _by_sql(flows):
+    spark = flows.sparkSession
+    functions.register(spark, "net_")
+    columns = ", ".join(f"net_{f}(sni) AS {c}" for f, c in (("label_entropy", "label_entropy"), ("consonant_ratio", "consonants"), ("dga_score", "dga"), ("base_domain", "base"), ("subdomain_entropy", "sub_entropy"), ("mean_label_length", "mean_label"), ("longest_label", "longest"), ("text_entropy", "text_entropy")))
+    return spark.sql(f"SELECT sni, {columns} FROM (SELECT DISTINCT sni FROM {{flows}} WHERE sni IS NOT NULL)", flows=flows)
+
+
+_add("sql_functions", _on("flows", _by_sql), catalog.oracle_sql()["domain_functions"])
+
+# -- flows stored by day and session, and STIX objects by page
+
+
+def _stored_session(spark, sf_dir):
+    path = shared_folder(spark)
+    storage.write_by_session(fixtures.flows(spark, sf_dir), path, "start_time", buckets=4, mode="overwrite", period="year")
+    return storage.read_session(spark, path, "s3", 800_000_000.0, 850_000_000.0, buckets=4, period="year")
+
+
+_add("session_read", _stored_session, duck("flows") + " SELECT * FROM flows WHERE session_id = 's3' AND start_time >= 800000000 AND start_time < 850000000")
+_objects = lambda a: a.select(F.col("tenant_id").alias("collection"), F.concat_ws("--", "category", "src_ip").alias("stix_id"), F.col("category").alias("type"), F.col("created").alias("added"), F.col("alert_id").alias("line"))
+_OBJECTS = duck("alerts") + ", ob AS (SELECT tenant_id AS collection, concat_ws('--', category, src_ip) AS stix_id, category AS type, created AS added, alert_id AS line FROM alerts WHERE tenant_id = 't1')"
+_add(
+    "stix_manifest",
+    _on("alerts", lambda a: stix_store.stix_manifest(_objects(a), "t1")),
+    _OBJECTS + " SELECT stix_id, type, min(added) AS date_added, max(added) AS version, count(*) AS versions, 'application/stix+json;version=2.1' AS media_type FROM ob GROUP BY ALL",
+)
+_add("stix_versions", _on("alerts", lambda a: stix_store.newest_versions(_objects(a), "t1")), _OBJECTS + " SELECT stix_id, type, max(added) AS added, arg_max(line, (added, line)) AS line FROM ob GROUP BY ALL")
+_add(
+    "stix_page",
+    _on("alerts", lambda a: stix_store.stix_page(_objects(a), "t1", (880_000_000.0, ""), "dga", 50)[0]),
+    _OBJECTS + " SELECT * FROM ob WHERE type = 'dga' AND (added, stix_id) > (880000000.0, '') ORDER BY added, stix_id LIMIT 50",
+)
+
 
 def queries() -> dict:
     return dict(_Q)

@@ -43,14 +43,30 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, every:
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """Local clustering coefficient over out-neighbours: closed / k(k-1)."""
-    e = edges.select("src", "dst").distinct()
-    k = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    a, b = e.select("src", F.col("dst").alias("u")), e.select("src", F.col("dst").alias("v"))
-    closed = a.join(b, "src").where("u <> v").join(e.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_semi")
-    c = closed.groupBy("src").agg(F.count(F.lit(1)).alias("c"))
-    x = k.join(c, "src", "left")
-    return x.select(F.col("src").alias("node"), "k", F.when(F.col("k") > 1, F.round(F.coalesce("c", F.lit(0)) / (F.col("k") * (F.col("k") - 1)), 4)).otherwise(0.0).alias("clustering"))
+    """Local clustering coefficient over out-neighbours: closed / k(k-1).
+
+    Triangles are found once, each from its node of least degree: pairs of neighbours
+    are made only among a node's neighbours of greater degree, so a hub makes none.
+    """
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    pair = e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(F.col("src") < F.col("dst")).alias("ab"), F.max(F.col("src") > F.col("dst")).alias("ba"))
+    deg = pair.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    of = lambda c: deg.select(F.col("node").alias(c), F.struct("d", F.col("node").alias("n")).alias(f"_{c}"))
+    x = pair.join(of("a"), "a").join(of("b"), "b")
+    low = F.col("_a") < F.col("_b")
+    # up: from the lower node to the higher one; down: back
+    x = x.select(F.when(low, F.col("_a")).otherwise(F.col("_b")).alias("lo"), F.when(low, F.col("_b")).otherwise(F.col("_a")).alias("hi"), F.when(low, F.col("ab")).otherwise(F.col("ba")).alias("up"), F.when(low, F.col("ba")).otherwise(F.col("ab")).alias("down"))
+    p = x.select("lo", F.col("hi").alias("p"), F.col("up").alias("lp"), F.col("down").alias("pl"))
+    q = x.select("lo", F.col("hi").alias("q"), F.col("up").alias("lq"), F.col("down").alias("ql"))
+    closing = x.select(F.col("lo").alias("p"), F.col("hi").alias("q"), F.col("up").alias("pq"), F.col("down").alias("qp"))
+    t = p.join(q, "lo").where("p < q").join(closing, ["p", "q"])
+    n = lambda c: F.col(c).cast("int")
+    corner = lambda node, out1, out2, a, b: F.struct(F.col(f"{node}.n").alias("node"), F.when(F.col(out1) & F.col(out2), n(a) + n(b)).otherwise(0).alias("c"))
+    corners = F.explode(F.array(corner("lo", "lp", "lq", "pq", "qp"), corner("p", "pl", "pq", "lq", "ql"), corner("q", "ql", "qp", "lp", "pl"))).alias("x")
+    closed = t.select(corners).groupBy(F.col("x.node").alias("src")).agg(F.sum("x.c").alias("c"))
+    k = edges.select("src", "dst").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    y = k.join(closed, "src", "left")
+    return y.select(F.col("src").alias("node"), "k", F.when(F.col("k") > 1, F.round(F.coalesce("c", F.lit(0)) / (F.col("k") * (F.col("k") - 1)), 4)).otherwise(0.0).alias("clustering"))
 
 
 def structural_anomalies(edges: DataFrame, z: float = 3.0, heavy: int = 50_000_000, sent: int = 10_000_000, ratio: float = 20.0) -> DataFrame:

@@ -336,6 +336,42 @@ _add(
 )
 
 
+# -- SQL of queries that put others together
+
+_SQL["navigator_layer"] = f"""SELECT technique, concat('{{"techniqueID":"', technique, '","score":', CASE WHEN severity_rank >= 3 THEN 100 WHEN severity_rank = 2 THEN 50 ELSE 25 END, ',"comment":"', engines, '"}}') AS line FROM ({_SQL["technique_map"]})"""
+_RELAYS = "(" + ", ".join(f"'{k}'" for k in R.RELAY_NODES) + ")"
+_SQL["relay_chains"] = duck("flows") + f""", x AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY start_time, flow_id) AS i FROM flows WHERE {_internal('src_ip')} AND (dst_ip IN {_RELAYS} OR dst_port IN {circuits.RELAY_PORTS})),
+    l AS (SELECT src_ip, flow_id, list({{'t': start_time, 'd': dst_ip, 'p': packet_count::BIGINT, 'b': total_bytes}}) OVER (PARTITION BY src_ip ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS ahead FROM x),
+    c AS (SELECT src_ip, flow_id, list_reduce(list_prepend([ahead[1]], list_transform(ahead[2:], lambda e: [e])),
+      lambda a, e: CASE WHEN e[1].t - a[-1].t > 0.01 AND e[1].t - a[-1].t < 8 AND len(list_filter(a, lambda h: h.d = e[1].d)) = 0 THEN list_concat(a, e) ELSE a END) AS c FROM l),
+    h AS (SELECT *, array_to_string(list_transform(c, lambda h: h.d), ',') AS hops FROM c WHERE len(c) >= 3)
+    SELECT substr(md5(concat_ws(':', src_ip, hops, flow_id)), 1, 12) AS chain_id, src_ip, hops, len(c)::INT AS n_hops, c[1].d AS guard_ip, c[-1].d AS exit_ip, c[1].t AS start_time, round((c[-1].t - c[1].t) * 1000, 1) AS build_ms,
+      list_sum(list_transform(c, lambda h: h.p))::BIGINT AS packets, list_sum(list_transform(c, lambda h: h.b))::BIGINT AS bytes FROM h"""
+_SQL["circuit_stats"] = f"""SELECT count(*) AS circuits, round(avg(n_hops), 4) AS mean_hops, round(avg(build_ms), 4) AS mean_build_ms, count(*) FILTER (n_hops >= 5) AS extended FROM ({_SQL["relay_chains"]})"""
+_SQL["iocs"] = _DA + f""", al AS (SELECT src_ip AS ip FROM da WHERE src_ip IS NOT NULL UNION ALL SELECT dst_ip FROM da WHERE dst_ip IS NOT NULL AND dst_ip IS DISTINCT FROM src_ip),
+    fl AS ({duck("flows")} SELECT * FROM flows), f AS (SELECT * FROM fl WHERE src_ip IN (SELECT ip FROM al) AND dst_ip IN (SELECT ip FROM al))
+    SELECT 'ip' AS kind, ip AS value, count(*) AS n FROM al WHERE NOT {_internal('ip')} GROUP BY ip UNION ALL SELECT 'domain', sni, count(*) FROM f WHERE sni IS NOT NULL GROUP BY sni UNION ALL SELECT 'ja3', ja3, count(*) FROM f WHERE ja3 IS NOT NULL GROUP BY ja3"""
+_SQL["relay_events"] = f"""WITH m AS ({_S["relay_flows"]}), fl AS ({duck("flows")} SELECT flow_id, start_time FROM flows),
+    g AS (SELECT src_ip, relay_ip, start_time - lag(start_time) OVER (PARTITION BY src_ip, relay_ip ORDER BY start_time, flow_id) AS gap FROM m JOIN fl USING (flow_id)),
+    s AS (SELECT src_ip, relay_ip, round(stddev_samp(gap) / avg(gap), 4) AS cv FROM g WHERE gap > 0 AND gap < 7200 GROUP BY ALL HAVING count(*) >= 4 AND avg(gap) > 10),
+    n AS (SELECT src_ip, relay_ip FROM m GROUP BY ALL HAVING count(*) >= 5),
+    e AS (SELECT src_ip, dst_ip, 'relay_flow' AS kind, node_type AS subkind, 70.0::DOUBLE AS score FROM m
+      UNION ALL SELECT src_ip, dst_ip, 'cell_sizes', 'cells', round(50 + 40 * cell_ratio, 4) FROM ({_S["relay_cells"]})
+      UNION ALL SELECT src_ip, relay_ip, 'relay_c2', 'steady', round(90 - 50 * cv, 4) FROM s JOIN n USING (src_ip, relay_ip) WHERE cv < 0.35
+      UNION ALL SELECT src_ip, relay_ip, 'relay_traffic', kind, 60.0 FROM ({_SQL["relay_traffic_classes"]}) WHERE kind <> 'general')
+    SELECT src_ip, dst_ip, kind, subkind, max(score) AS score, count(*) AS findings FROM e GROUP BY ALL"""
+_SQL["relay_users"] = f"""SELECT src_ip AS ip, count(*) AS events, count(DISTINCT dst_ip) AS relays, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, max(score) AS score FROM ({_SQL["relay_events"]}) WHERE {_internal('src_ip')} GROUP BY src_ip"""
+_SQL["relay_dashboard"] = f"""SELECT kind, subkind, count(*) AS events, count(DISTINCT src_ip) AS sources, count(DISTINCT dst_ip) AS destinations, max(score) AS score FROM ({_SQL["relay_events"]}) GROUP BY ALL"""
+_SQL["timing_features"] = _PK + """, g AS (SELECT flow_id, timestamp, packet_id, gap FROM (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY flow_id ORDER BY timestamp, packet_id) AS gap FROM pf) WHERE gap > 0),
+    h AS (SELECT *, lead(gap) OVER (PARTITION BY flow_id ORDER BY timestamp, packet_id) AS nx, avg(gap) OVER (PARTITION BY flow_id) AS m FROM g)
+    SELECT flow_id, count(*) AS gaps, round(avg(gap), 4) AS mean_gap, round(coalesce(stddev_samp(gap), 0.0), 4) AS gap_deviation, round(coalesce(stddev_samp(gap) / avg(gap), 0.0), 4) AS gap_cv, round(coalesce(avg(abs(nx - gap)), 0.0), 4) AS jitter,
+      round(CASE WHEN var_samp(gap) > 0 THEN coalesce(avg((gap - m) * (nx - m)) / var_samp(gap), 0.0) ELSE 0.0 END, 4) AS autocorrelation FROM h GROUP BY flow_id"""
+_SQL["campaigns"] = _UN.replace("WITH", "WITH RECURSIVE", 1) + """, ce AS (SELECT DISTINCT src_ip AS a, dst_ip AS b FROM da WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL), cb AS (SELECT a, b FROM ce UNION SELECT b, a FROM ce),
+    cr(n, c) AS (SELECT a, a FROM cb UNION SELECT cb.b, cr.c FROM cr JOIN cb ON cb.a = cr.n WHERE cr.c <= cb.b), co AS (SELECT n, min(c) AS component FROM cr GROUP BY n),
+    tt AS (SELECT component, ip, score, unnest(string_split(techniques, ',')) AS t FROM un JOIN co ON n = ip)
+    SELECT substr(md5(concat('campaign:', component)), 1, 12) AS campaign_id, component, count(DISTINCT ip) AS threats, string_agg(DISTINCT t, ',' ORDER BY t) AS techniques, max(score) AS score FROM tt GROUP BY component HAVING count(DISTINCT ip) >= 2 AND count(DISTINCT t) >= 3"""
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions import scalar as S
@@ -26,24 +27,32 @@ def _named(x: DataFrame, known: DataFrame, name: str) -> DataFrame:
     return x.join(known, name, "left").withColumn("app", F.coalesce("app", F.lit("Unknown"))).withColumn("type", kind).withColumn("risk", risk)
 
 
-def _few(col: str, n: int) -> Column:
-    return F.array_join(F.slice(F.sort_array(F.collect_set(col)), 1, n), ",")
+def _with_few(x: DataFrame, rows: DataFrame, key: str, col: str, n: int, name: str) -> DataFrame:
+    """``x`` with the first ``n`` values of each key by text; Spark keeps no more than
+    ``n`` a key and task before they are shuffled."""
+    place = F.row_number().over(W.partitionBy(key).orderBy(col))
+    first = rows.where(F.col(col).isNotNull()).select(key, col).distinct().withColumn("_r", place).where(F.col("_r") <= n)
+    of = first.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(col)), ",").alias(name))
+    return x.join(of, key, "left").withColumn(name, F.coalesce(name, F.lit("")))
 
 
 def ja3_fingerprints(flows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Each client fingerprint with its application, span and risk."""
-    x = flows.where("ja3 is not null and ja3 <> ''").groupBy("ja3").agg(
+    rows = flows.where("ja3 is not null and ja3 <> ''")
+    x = rows.groupBy("ja3").agg(
         F.count(F.lit(1)).alias("flows"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen"),
-        F.count_distinct("src_ip").alias("sources"), F.count_distinct("dst_ip").alias("destinations"), F.count_distinct("sni").alias("names"), _few("sni", 10).alias("some_names"),
+        F.count_distinct("src_ip").alias("sources"), F.count_distinct("dst_ip").alias("destinations"), F.count_distinct("sni").alias("names"),
     )
+    x = _with_few(x, rows, "ja3", "sni", 10, "some_names")
     return _named(x, _known(flows, known, "ja3"), "ja3")
 
 
 def ja3s_fingerprints(flows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Server fingerprints; a missing one is the md5 of version and server cipher."""
     made = F.when(F.col("server_cipher").isNotNull() & (F.coalesce("tls_version_id", F.lit(0)) > 0), F.md5(F.concat_ws(",", F.col("tls_version_id").cast("string"), F.col("server_cipher").cast("string"), F.lit(""))))
-    x = flows.withColumn("ja3s", F.coalesce(F.nullif("ja3s", F.lit("")), made)).where("ja3s is not null").groupBy("ja3s")
-    x = x.agg(F.count(F.lit(1)).alias("flows"), F.count_distinct("dst_ip").alias("servers"), _few("sni", 10).alias("some_names"))
+    rows = flows.withColumn("ja3s", F.coalesce(F.nullif("ja3s", F.lit("")), made)).where("ja3s is not null")
+    x = rows.groupBy("ja3s").agg(F.count(F.lit(1)).alias("flows"), F.count_distinct("dst_ip").alias("servers"))
+    x = _with_few(x, rows, "ja3s", "sni", 10, "some_names")
     known = known if known is not None else flows.sparkSession.createDataFrame([(k, v, "tool") for k, v in R.PROXY_JA3S.items()], "ja3s string, app string, type string")
     return _named(x, known, "ja3s")
 

@@ -197,7 +197,7 @@ _add(
     "relay_client_fingerprints",
     _on("flows", lambda f: relay.relay_client_fingerprints(_with_ciphers(f))),
     _CIPHERS + " " + " UNION ALL ".join((
-        _sign("ja3_match", "cf.src_ip, cf.ja3", "'Tor Browser 13.x'", "0.95 AS confidence, 'HIGH' AS severity, 88 AS score", "ja3 = 'c12f54a3b91eb38a1b4e3f1c3d4e5f6a'"),
+        _sign("ja3_match", "cf.src_ip, cf.ja3", "'Tor Browser 13.x'", "0.95::DOUBLE AS confidence, 'HIGH' AS severity, 88 AS score", "ja3 = 'c12f54a3b91eb38a1b4e3f1c3d4e5f6a'"),
         _sign("nosni_relay_port", "cf.src_ip, cf.dst_ip", "dst_port::VARCHAR", "0.8, 'HIGH', 72", f"protocol = 'TLS' AND coalesce(sni, '') = '' AND dst_port IN (9001, 9030, 9040, 9050, 9051, 9150, 443, 80) AND dst_ip IN {_NODES}"),
         _sign("directory", "cf.flow_id", "protocol", "0.9, 'CRITICAL', 80", f"dst_ip IN {_AUTHORITIES}"),
         _sign("cipher_match", "cf.src_ip", "len(cipher_suites)::VARCHAR", "0.7, 'MEDIUM', 62", "src_port % 7 = 0 AND cipher_suites IS NOT NULL"),

@@ -42,8 +42,9 @@ MIN_COUNT, LONGEST, TOP = 10, 3, 2000
 SHARDS = 3
 #: Bits of the map of locally frequent phrases (32 MB), and words held by a task.
 MAP_BITS, RUN_WORDS = 28, 1_500_000
-#: Bytes of text for each hash range; ranges are a power of two.
-RANGE_BYTES, MAX_RANGE_BITS = 2 << 20, 16
+#: Hash ranges are a power of two that grows with the root of the text, since every run
+#: gives a row to each; but a range never has more than ``RANGE_BYTES`` of text.
+STEP_BYTES, RANGE_BYTES, MAX_RANGE_BITS = 8 << 20, 256 << 20, 20
 #: Parts of a language's phrases that are ranked first, so that its end ranking is bounded.
 PARTS = 64
 #: Bytes of one text that are split into words at a time.
@@ -163,7 +164,7 @@ def _packed(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Positions of ``hashes`` by their first ``bits`` bits."""
     if not len(hashes):
         return
-    group = (hashes >> np.uint64(64 - bits)).astype(np.uint16)
+    group = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
     order = np.argsort(group, kind="stable")
     cuts = np.flatnonzero(group[order][1:] != group[order][:-1]) + 1
     for part in np.split(order, cuts):
@@ -282,7 +283,7 @@ def counted_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(MAX_RANGE_BITS, map_bits - 3, max(4, (size // RANGE_BYTES).bit_length()))
+    bits = min(MAX_RANGE_BITS, map_bits - 3, max(4, int(8 * (size / STEP_BYTES) ** 0.5).bit_length(), (size // RANGE_BYTES).bit_length()))
     support = local_support(min_count, shards)
     by = ("length", "piece", "lang")
     mined = texts.mapInArrow(_mine(longest, run_words, bits, shards, support), _MINED).repartition(*by).sortWithinPartitions(*by, "shard")

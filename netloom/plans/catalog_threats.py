@@ -372,6 +372,23 @@ _SQL["campaigns"] = _UN.replace("WITH", "WITH RECURSIVE", 1) + """, ce AS (SELEC
     SELECT substr(md5(concat('campaign:', component)), 1, 12) AS campaign_id, component, count(DISTINCT ip) AS threats, string_agg(DISTINCT t, ',' ORDER BY t) AS techniques, max(score) AS score FROM tt GROUP BY component HAVING count(DISTINCT ip) >= 2 AND count(DISTINCT t) >= 3"""
 
 
+_UID = r"concat('{k}--', regexp_replace(md5({v}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5'))"
+_IND, _PAT, _TIE = (_UID.format(k=k, v=v) for k, v in (("indicator", "concat('ip:', ip)"), ("attack-pattern", "technique"), ("relationship", "concat(ip, ':', technique)")))
+
+
+def _object(kind: str, name: str, body: str) -> str:
+    return f"""SELECT {name} AS stix_id, '{kind}' AS type, concat('{{"type":"{kind}","spec_version":"2.1","id":"', {name}, '","created":"2024-01-01T00:00:00Z",', {body}, '}}') AS line"""
+
+
+_PATTERN = """concat('"pattern":"[ipv4-addr:value = ', chr(39), ip, chr(39), ']","confidence":', trunc(max(score))::INT)"""
+_TIED = f"""concat('"relationship_type":"indicates","source_ref":"', {_IND}, '","target_ref":"', {_PAT}, '"')"""
+_NAMES_IT = """concat('"external_id":"', technique, '"')"""
+_SQL["stix_objects"] = _UN + f""", st AS (SELECT DISTINCT ip, unnest(string_split(techniques, ',')) AS technique FROM un)
+    {_object("indicator", _IND, _PATTERN)} FROM un GROUP BY ip
+    UNION ALL {_object("attack-pattern", _PAT, _NAMES_IT)} FROM (SELECT DISTINCT technique FROM st)
+    UNION ALL {_object("relationship", _TIE, _TIED)} FROM st"""
+
+
 def queries() -> dict:
     return dict(_Q)
 

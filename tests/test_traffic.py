@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from netloom.functions import scalar as S
@@ -48,6 +49,16 @@ def test_empty_tables(spark):
         assert f(p).count() == 0
 
 
+def test_uniform_sessions_round_and_cut_as_sql(spark):
+    from netloom.operators import tls
+
+    rows = [("a", "b", t, "j") for t in [8.5] * 7 + [9.0] * 13] + [("c", "d", t, "j") for t in [4.0] * 4 + [16.0] * 4 + [10.0]] + [("e", "f", 8.75, "j")] * 9
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, session_duration double, ja3 string").withColumn("protocol", F.lit("TLS"))
+    got = {r.src_ip: r.mean_duration for r in tls.detect_uniform_sessions(df, 5, 0.6).collect()}
+    # a mean of 8.825 is 8.82 in SQL, and a ratio of 6 / 10 is not below 0.6
+    assert got == {"a": duckdb.connect().execute("SELECT round(8.825::DOUBLE, 2)").fetchall()[0][0], "e": 8.75}
+
+
 def test_exfil_thresholds(spark):
     f = lambda s, d, b: (s, d, b)
     df = spark.createDataFrame([f("a", "b", 1000), f("b", "a", 100), f("c", "d", 999), f("d", "c", 100), f("e", "g", 5000)], "src_ip string, dst_ip string, total_bytes long")

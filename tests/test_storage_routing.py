@@ -47,6 +47,16 @@ def test_pages_add_up(spark):
     assert not stix_store.stix_query(objects, "none")[1]
 
 
+def test_pages_add_up_with_equal_times_and_ids(spark):
+    rows = [("c", f"id{i % 3}", "a", float(i % 2), f"v{i:02d}") for i in range(40)]
+    objects = spark.createDataFrame(rows, stix_store.OBJECTS).cache()
+    seen, after = [], (0.0, "")
+    while after is not None:
+        page, after = stix_store.stix_page(objects, "c", after, size=7)
+        seen += [r.line for r in page.collect()]
+    assert seen == [r[4] for r in sorted(rows, key=lambda r: (r[3], r[1], r[4]))]
+
+
 def test_a_batch_stopped_between_sinks_leaves_each_alert_once(spark, tmp_path):
     alert = lambda i: {"alert_id": f"a{i}", "tenant_id": "t", "severity": "HIGH", "category": "dga", "title": "x", "src_ip": "1.2.3.4", "dst_ip": "5.6.7.8", "threat_score": 9.0, "status": "new", "technique": "T1071", "ts": "2024-01-01 00:00:00"}
     source = tmp_path / "in"

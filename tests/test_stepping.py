@@ -51,6 +51,20 @@ def test_pairs_equal_a_plain_loop(spark):
     assert {(r.in_key, r.out_key) for r in got if r.confidence == "CRITICAL"} >= {("hot", "hot echo"), ("in2", "echo")}
 
 
+def test_slabs_hand_on_what_is_used(spark):
+    rng = random.Random(3)
+    # dense flows, so that most packets wait and every slab ends with packets of the next used
+    a = {f"in{k}": [1000 + rng.choice([0.25 * i, rng.uniform(0, 90)]) for i in range(90)] for k in range(4)}
+    b = {f"out{k}": [1002 + rng.choice([0.25 * i, rng.uniform(0, 90)]) for i in range(60)] for k in range(3)}
+    rows = lambda d: [(k, t, i) for i, (k, t) in enumerate((k, t) for k, ts in d.items() for t in ts)]
+    schema = "flow_id string, timestamp double, packet_id long"
+    for n in (20, 150, 1 << 16):
+        got = stepping.correlate_timing(spark.createDataFrame(rows(a), schema), spark.createDataFrame(rows(b), schema), rows=n).collect()
+        want = plain(a, b, 0.05, 5.0)
+        assert {(r.in_key, r.out_key) for r in got} == set(want) and len(want) > 5
+        assert all(r.samples == n and abs(r.delay_mean - mean) < 0.001 and abs(r.score - score) < 0.001 for r in got for n, mean, score in [want[r.in_key, r.out_key]])
+
+
 def test_nothing_to_correlate(spark):
     none = spark.createDataFrame([], "flow_id string, timestamp double, packet_id long")
     assert stepping.correlate_timing(none, none).isEmpty()

@@ -186,6 +186,17 @@ def test_related_alerts_equal_all_pairs(spark):
     assert plain.count() > 0 and correlation.related_alerts(df.limit(0)).count() == 0
 
 
+def test_related_alerts_of_a_hot_source_need_few_sets(spark, monkeypatch):
+    """Alerts with enough others of a high score are not listed under sets of a low sum."""
+    rows = [(f"a{i:03d}", "s", "10.0.0.1", "8.8.8.8", "dga", ["T1"]) for i in range(40)] + [("z1", "s", "1.1.1.1", "2.2.2.2", "scan", ["T2"])]
+    df = spark.createDataFrame(rows, "alert_id string, session_id string, src_ip string, dst_ip string, category string, techniques array<string>")
+    asked, inner = [], correlation._related
+    monkeypatch.setattr(correlation, "_related", lambda alerts, to, least, n, only: asked.append((least, to.count())) or inner(alerts, to, least, n, only))
+    got = correlation.related_alerts(df).collect()
+    assert asked == [(10, 41), (8, 1), (6, 1), (3, 1)] and len(got) == 410
+    assert [(r.related_id, r.score) for r in sorted(got, key=lambda r: r.place) if r.alert_id == "z1"] == [(f"a{i:03d}", 0.3) for i in range(10)]
+
+
 def test_sequential_access_equals_a_plain_loop(spark):
     rng = random.Random(6)
     rows = [(f"10.0.0.{rng.randrange(4)}", f"10.0.1.{rng.randrange(12)}", rng.choice([22, 445]), float(rng.randrange(4000)), f"f{i:04d}") for i in range(900)]

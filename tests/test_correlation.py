@@ -5,7 +5,9 @@ from collections import defaultdict, deque
 
 from pyspark.sql import functions as F
 
-from netloom.operators import circuits, correlation, features, fingerprints, graph, lateral
+from netloom.operators import circuits, correlation, features, fingerprints, graph, lateral, relay
+from netloom.plans import catalog_threats, fixtures
+from tests.conftest import SF
 
 FLOW = "flow_id string, src_ip string, dst_ip string, dst_port int, protocol string, start_time double, session_duration double, packet_count int, total_bytes bigint, sni string, ja3 string"
 
@@ -215,3 +217,16 @@ def test_sequential_access_equals_a_plain_loop(spark):
     got = lateral.detect_sequential(df)
     assert len(want) > 5 and sorted(map(tuple, got.collect())) == sorted(want)
     assert lateral.detect_sequential(df.limit(0)).count() == 0
+
+
+def test_relays_are_looked_up_a_row(spark):
+    rows = [("f", "10.0.0.1", "86.59.21.38"), ("f", "10.0.0.1", "1.1.1.1"), ("g", "86.59.21.38", "10.0.0.1"), ("h", None, None)]
+    got = relay.match_relay_nodes(spark.createDataFrame(rows, "flow_id string, src_ip string, dst_ip string"))
+    assert sorted((r.flow_id, r.dst_ip, r.relay_ip) for r in got.collect()) == [("f", "86.59.21.38", "86.59.21.38"), ("g", "10.0.0.1", "86.59.21.38")]
+
+
+def test_detectors_derive_their_inputs_once(spark, monkeypatch):
+    made = []
+    for name in ("flows", "packets"):
+        monkeypatch.setattr(fixtures, name, lambda s, d, name=name, inner=getattr(fixtures, name): made.append(name) or inner(s, d))
+    assert not catalog_threats._detected(spark, SF).isEmpty() and sorted(made) == ["flows", "packets"]

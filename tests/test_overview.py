@@ -38,3 +38,9 @@ def test_features_by_name(spark):
     df = spark.createDataFrame([("a", 1, None)], "k string, x int, y double")
     assert [tuple(r) for r in overview.feature_rows(df, "k").collect()] == [("a", "x", 1.0), ("a", "y", None)]
     assert overview.feature_map(df, "k").first().features == {"x": 1.0, "y": None}
+
+
+def test_an_entropy_compares_no_character_with_every_other_one(spark):
+    df = spark.createDataFrame([(b"\x00\xff\x00a",), (b"",), (None,)], "b binary").select(overview.byte_entropy(F.col("b")).alias("e"))
+    assert [r.e for r in df.collect()] == [1.5, 0.0, 0.0]
+    assert "filter(" not in df._jdf.queryExecution().optimizedPlan().toString()

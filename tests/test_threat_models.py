@@ -72,3 +72,15 @@ def test_odd_flows(spark):
     got = {r.flow_id: r for r in M.flow_features(spark.createDataFrame(rows, cols), spark.createDataFrame([("z", 1, 1.0, 0, ""), (None, 2, 1.0, 5, "a.b")], packets)).collect()}
     assert set(got) == {"n", "z"} and all(got[k][f] is not None for k in got for f in M.FEATURES)
     assert M.flow_features(spark.createDataFrame([], cols), spark.createDataFrame([], packets)).count() == 0
+
+
+def test_features_deal_flows_by_id_alone_and_volumes_read_them_once(spark):
+    flows = spark.createDataFrame([(f"f{i}", f"10.0.0.{i % 3}", "8.8.8.8", 443, "TLS", 3, 10 * i, 1.0, "TLS 1.0", "a.b", "j") for i in range(12)], "flow_id string, src_ip string, dst_ip string, dst_port int, protocol string, packet_count long, total_bytes long, session_duration double, tls_version string, sni string, ja3 string")
+    packets = spark.createDataFrame([(1, "f1", 1.0, 5, None)], "packet_id long, flow_id string, timestamp double, size int, dns_query string")
+    x = M.flow_features(flows, packets)
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 5  # flows and the packets' four reads; fans and fingerprints are tables of their own
+    assert {(r.sni_entropy, r.ja3_rarity, r.interval_mean) for r in x.collect()} == {(1.585, 0.0, 0.0)}
+    scored = x.withColumns({"clf": F.lit(1.0), "iso": F.lit(0.5)})
+    once = M.abnormal_threats(scored)
+    assert "LogicalRDD" not in once._jdf.queryExecution().optimizedPlan().toString() and once.count() == 12

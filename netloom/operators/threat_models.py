@@ -62,20 +62,25 @@ def packet_measures(packets: DataFrame) -> DataFrame:
     return p.join(t, "flow_id", "left")
 
 
-def flow_features(flows: DataFrame, packets: DataFrame) -> DataFrame:
+def flow_features(flows: DataFrame, packets: DataFrame, also: tuple[DataFrame, ...] = ()) -> DataFrame:
     """``flow_id, src_ip, dst_ip, dst_port, protocol`` and the 26 features of each
     flow, to six places.  ``port_entropy`` and ``unique_dst_ratio`` belong to
     endpoints and are zero here.  Packets carry ``flow_id``.  Counts a fingerprint and
-    an address are written first: where they are small, flows are dealt by id alone."""
+    an address are written first: where they are small, flows are dealt by id alone,
+    and then without what those joins and the measures of texts have used.  Columns of
+    the tables in ``also``, one row a ``flow_id``, come along in the same deal."""
     c = F.col
     tls = flows.where("protocol = 'TLS'")
     seen = stored(tls.where("ja3 <> ''").groupBy("ja3").agg(F.count(F.lit(1)).alias("_seen")))
     # read by two features, so worked out once
     named = F.col("sni") != ""
-    x = flows.withColumns({"_entropy": F.when(named, S.text_entropy("sni")), "_consonants": F.when(named, S.consonant_ratio("sni", None))})
-    x = x.join(packet_measures(packets), "flow_id", "left").join(seen, "ja3", "left")
+    x = flows.withColumns({
+        "_entropy": F.when(named, S.text_entropy("sni")), "_consonants": F.when(named, S.consonant_ratio("sni", None)), "_length": F.when(named, F.length("sni")), "_label": F.when(named, F.length(S.first_label("sni"))),
+        "_old": c("tls_version").isin(*R.DEPRECATED_TLS),
+    }).join(seen, "ja3", "left").withColumn("_rarity", F.when(c("ja3") != "", F.coalesce(c("_seen"), F.lit(1))))
     fans = stored(fan_metrics(flows.where("src_ip is not null and dst_ip is not null")).withColumnRenamed("ip", "src_ip"))
     x = x.join(fans, "src_ip", "left").crossJoin(F.broadcast(tls.agg(F.count(F.lit(1)).alias("_tls"))))
+    x = reduce(lambda a, b: a.join(b, "flow_id", "left"), [packet_measures(packets), *also], x)
     zero = lambda v: F.coalesce(v, F.lit(0.0))
     some = lambda v: F.coalesce(c(v), F.lit(0))
     seconds = F.when(some("session_duration") == 0, 0.1).otherwise(c("session_duration"))
@@ -84,14 +89,14 @@ def flow_features(flows: DataFrame, packets: DataFrame) -> DataFrame:
         **{k: zero(c(k)) for k in FEATURES[:6]},
         "total_bytes": F.log1p(some("total_bytes")), "total_packets": F.log1p(some("packet_count")), "bytes_per_packet": some("total_bytes") / F.greatest(some("packet_count"), F.lit(1)), "bytes_per_second": some("total_bytes") / seconds,
         "pkt_size_stdev": zero(c("pkt_size_stdev")), "flow_duration": F.log1p(seconds), "protocol_code": code, "dst_port_norm": some("dst_port") / 65535, "port_entropy": F.lit(0.0), "unique_dst_ratio": F.lit(0.0),
-        "ja3_rarity": F.when(c("ja3") != "", 1 - F.coalesce(c("_seen"), F.lit(1)) / F.greatest(c("_tls"), F.lit(1))).otherwise(0.0), "sni_entropy": F.coalesce(c("_entropy"), F.lit(0.0)),
-        "sni_length_norm": F.when(named, _one(F.length("sni") / 50)).otherwise(0.0), "tls_version_score": F.when(c("tls_version").isin(*R.DEPRECATED_TLS), 1.0).otherwise(0.0),
-        "dns_query_entropy": zero(F.coalesce(c("q_entropy"), c("_entropy"))), "dns_label_length": zero(_one(F.when(c("q_entropy").isNotNull(), c("q_length")).otherwise(F.when(named, F.length(S.first_label("sni")))) / 30)),
+        "ja3_rarity": zero(1 - c("_rarity") / F.greatest(c("_tls"), F.lit(1))), "sni_entropy": F.coalesce(c("_entropy"), F.lit(0.0)),
+        "sni_length_norm": zero(F.when(c("_length").isNotNull(), _one(c("_length") / 50))), "tls_version_score": F.when(c("_old"), 1.0).otherwise(0.0),
+        "dns_query_entropy": zero(F.coalesce(c("q_entropy"), c("_entropy"))), "dns_label_length": zero(_one(F.when(c("q_entropy").isNotNull(), c("q_length")).otherwise(c("_label")) / 30)),
         "dns_consonant_ratio": zero(F.coalesce(c("q_consonants"), c("_consonants"))), "fan_out": F.log1p(some("fan_out")), "fan_in": F.log1p(some("fan_in")), "betweenness_proxy": zero(c("betweenness")),
     }
     # rounded by a lambda a group: as one stage's expressions they'd be a method too long
     # for the JVM to compile, and a group that nobody reads isn't worked out
-    keys, cols["ja3_rarity"] = ("flow_id", "src_ip", "dst_ip", "dst_port", "protocol"), F.round(cols["ja3_rarity"], 4)
+    keys, cols["ja3_rarity"] = ("flow_id", "src_ip", "dst_ip", "dst_port", "protocol", *[k for t in also for k in t.columns if k != "flow_id"]), F.round(cols["ja3_rarity"], 4)
     groups = [FEATURES[i:j] for i, j in zip((0, 6, 12, 16, 20, 23), (6, 12, 16, 20, 23, 26), strict=True)]
     rounded = lambda g: F.transform(F.array(*[cols[k] for k in g]), lambda v: F.when(v == 0, 0.0).otherwise(F.round(v, 6)))
     x = x.select(*keys, *[rounded(g).alias(f"_{i}") for i, g in enumerate(groups)])

@@ -84,3 +84,11 @@ def test_features_deal_flows_by_id_alone_and_volumes_read_them_once(spark):
     scored = x.withColumns({"clf": F.lit(1.0), "iso": F.lit(0.5)})
     once = M.abnormal_threats(scored)
     assert "LogicalRDD" not in once._jdf.queryExecution().optimizedPlan().toString() and once.count() == 12
+
+
+def test_flows_are_dealt_by_id_without_their_texts(spark):
+    flows, packets = catalog_models._inputs(spark, SF)
+    lines = M.flow_features(flows, packets)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    deal = next(i for i, line in enumerate(lines) if "Join LeftOuter, (flow_id" in line)
+    kept = next(line for line in lines[deal:] if "Project [" in line).split("Project [")[1].split(", CASE")[0]
+    assert "total_bytes" in kept and not any(f" {c}#" in f" {kept}" for c in ("sni", "ja3", "tls_version"))

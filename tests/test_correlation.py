@@ -230,3 +230,15 @@ def test_detectors_derive_their_inputs_once(spark, monkeypatch):
     for name in ("flows", "packets"):
         monkeypatch.setattr(fixtures, name, lambda s, d, name=name, inner=getattr(fixtures, name): made.append(name) or inner(s, d))
     assert not catalog_threats._detected(spark, SF).isEmpty() and sorted(made) == ["flows", "packets"]
+
+
+def test_similar_flows_round_like_the_sql_and_sort_narrow_rows(spark):
+    rows = [(f"f{i:02}", "a", 443, 60.0 * i, 1.0 + i % 3, 1 + i % 5, 1000 * i) for i in range(60)]
+    flows = spark.createDataFrame(rows, "flow_id string, src_ip string, dst_port int, start_time double, session_duration double, packet_count int, total_bytes long")
+    x = correlation.similar_flows(flows, threshold=0.0)
+    v = [(r[5], r[6] / 1e6, r[4], 443 / 65535) for r in rows]
+    unit = lambda p: sum(q * q for q in p) ** 0.5
+    want = {(rows[i][0], rows[j][0]): int(sum(p * q for p, q in zip(v[i], v[j], strict=True)) / (unit(v[i]) * unit(v[j])) * 10000 + 0.5) / 10000 for i in range(60) for j in range(i + 1, min(i + 50, 60))}
+    assert {(r.flow_a, r.flow_b): r.similarity for r in x.collect()} == want
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(" not in plan and "src_ip" not in plan.split("LogicalRDD")[0].split("LocalRelation")[0]

@@ -86,6 +86,35 @@ def test_features_deal_flows_by_id_alone_and_volumes_read_them_once(spark):
     assert "LogicalRDD" not in once._jdf.queryExecution().optimizedPlan().toString() and once.count() == 12
 
 
+def test_fits_reach_the_least_loss_and_take_few_passes(spark, monkeypatch):
+    from netloom.operators import models
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 3)) * [1, 100, 0] + [0, 5, 2]
+    kind = np.where(x[:, 0] + rng.normal(size=3000) > 1, 0, np.where(x[:, 1] > 150, 1, -1))
+    df = spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, kind, strict=True)], "a double, b double, c double, k int").repartition(3)
+    passes = []
+    real = models._newton_sums
+    monkeypatch.setattr(models, "_newton_sums", lambda *a: passes.append(len(a[2])) or real(*a))
+    got, begun = models.logistic_fits(df, ["a", "b", "c"], "k", [0, 1]), len(passes)
+    again = models.logistic_fits(df, ["a", "b", "c"], "k", [0, 1], share=1000)
+    z = (x[:, :2] - x[:, :2].mean(0)) / x[:, :2].std(0, ddof=1)
+    for k, (coef, other) in enumerate(zip(got, again, strict=True)):
+        assert coef[3] == 0 and coef == pytest.approx(other, rel=1e-4)
+        m, std = coef[0] + x @ coef[1:], coef[1:3] * x[:, :2].std(0, ddof=1)
+        off = 1 / (1 + np.exp(-m)) - (kind == k)
+        assert abs(off.mean()) < 1e-5 and np.abs(z.T @ off / 3000 + 0.001 * std).max() < 1e-5
+    assert begun < 20 and max(passes) == 2
+
+
+def test_threats_alone_cluster_no_flows_and_keep_nothing_in_memory(spark, monkeypatch):
+    f, p = catalog_models._inputs(spark, SF)
+    monkeypatch.setattr(M, "cluster_profiles", None)
+    out = M.detect_all(f, p, *catalog_models.labels(f, p), trees=5, parts=("threats",))
+    assert set(out) == {"threats"} and out["threats"].count() > 0
+    assert not any("RDD" in line for line in out["threats"]._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
 def test_flows_are_dealt_by_id_without_their_texts(spark):
     flows, packets = catalog_models._inputs(spark, SF)
     lines = M.flow_features(flows, packets)._jdf.queryExecution().optimizedPlan().toString().splitlines()

@@ -82,3 +82,47 @@ def test_split_has_the_shares_within_each_label(samples):
     for kind in ("benign", "beacon", "scan"):
         n = sum(of[kind, p] for p in range(3))
         assert [of[kind, p] / n for p in range(3)] == pytest.approx([0.7, 0.15, 0.15], abs=0.03)
+
+
+def test_cross_validation_reads_the_samples_once(spark, samples):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = registry.cross_validate(samples.mapInArrow(seen, samples.schema), COLS)
+    assert read.value == 300 and got == registry.cross_validate(samples, COLS)
+
+
+def test_folds_guess_as_plain_fits_on_odd_labels_and_columns(spark, samples):
+    def plain(x, cols, names, f):
+        at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label")) - 1
+        model = registry.pipeline(cols).fit(x.where(F.col("fold") != f).withColumn("_y", at.cast("double")))
+        return [(r.label, names[int(r._p)]) for r in model.transform(x.where(F.col("fold") == f)).select("label", "_p").collect()]
+
+    two = samples.withColumn("label", F.when(F.col("label") == "scan", "scan").otherwise("benign"))
+    # a label of one row, which no fit but the others' has seen, and a column that doesn't vary
+    lone = samples.withColumn("label", F.when(F.col("flow_id") == "f7", "zz").otherwise(F.col("label"))).withColumn("c", F.lit(0.1))
+    for x, cols, share in ((two, COLS, 1 << 17), (lone, [*COLS, "c"], 1 << 17), (samples, COLS, 100)):
+        x = registry.folds(x, "flow_id", "label", 3).cache()
+        labels, got = models.fold_guesses(x, cols, "label", "fold", 3, share=share)
+        for f in range(3):
+            pairs = plain(x, cols, labels, f)
+            assert got[f].tolist() == [[pairs.count((t, g)) for g in labels] for t in labels]
+    one = registry.cross_validate(samples.withColumn("label", F.lit("benign")), COLS)
+    assert one == {"accuracy": 1.0, "precision": 0.0, "recall": 0.0, "f1": 0.0}
+    assert set(registry.cross_validate(samples.limit(0), COLS).values()) == {0.0}
+
+
+def test_labels_without_a_name_and_equal_keys_are_dealt_like_others(spark, samples):
+    x = samples.withColumn("label", F.when(F.col("label") != "scan", F.col("label"))).unionByName(samples.where("flow_id < 'f2'"))
+    for kept in (None, ["a"]):
+        got = registry.folds(x, "flow_id", "label", 4, keep=kept)
+        assert got.columns == ([*x.columns, "fold"] if kept is None else ["label", "a", "fold"])
+        n = {(r.label, r.fold): r["count"] for r in got.groupBy("label", "fold").count().collect()}
+        assert sum(n.values()) == x.count()
+        for kind in (None, "beacon"):
+            mine = [n.get((kind, f), 0) for f in range(4)]
+            assert max(mine) - min(mine) <= 1

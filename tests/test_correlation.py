@@ -137,6 +137,16 @@ def test_betweenness_equals_brandes(spark):
     assert got.keys() == nodes and all(abs(got[v] - total[v] * 2 / ((n - 1) * (n - 2))) < 1e-5 for v in nodes)
 
 
+def test_betweenness_takes_every_source(spark):
+    # a chain of 120 nodes, and 60 nodes that reach 600 others by one
+    pairs = [(f"c{i:03}", f"c{i + 1:03}") for i in range(119)] + [(f"a{i:02}", "hub") for i in range(60)] + [("hub", f"z{i:03}") for i in range(600)]
+    got = {r.node: r.betweenness for r in graph.betweenness(_edges(spark, pairs)).collect()}
+    n = 120 + 661
+    want = {f"c{i:03}": i * (119 - i) for i in range(120)} | {"hub": 60 * 600}
+    assert len(got) == n and all(abs(v - want.get(k, 0) * 2 / ((n - 1) * (n - 2))) < 1e-6 for k, v in got.items())
+    assert graph.betweenness(_edges(spark, pairs[:0])).count() == 0
+
+
 def test_components(spark):
     pairs = [(f"a{i:03}", f"a{i + 1:03}") for i in range(60)] + [("z2", "z1"), ("z3", "z2")]
     got = {r.node: r.component for r in graph.connected_components(_edges(spark, pairs)).collect()}

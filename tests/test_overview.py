@@ -25,6 +25,11 @@ def test_bytes_and_counts(spark):
     assert [r.m for r in got] == [{"a": 1, "b": 2}, {}]
 
 
+def test_bytes_behind_the_first_256_count(spark):
+    df = spark.createDataFrame([(b"a" * 256 + b"b" * 256,), (bytes(range(256)) * 40,), (b"",), (None,)], "b binary")
+    assert [r.e for r in df.select(overview.byte_entropy(F.col("b"), None).alias("e")).collect()] == [1.0, 8.0, 0.0, 0.0]
+
+
 def test_empty_tables(spark):
     edges = spark.createDataFrame([("a", "b", 1, 1)], "src string, dst string, weight long, flows long")
     assert overview.graph_summary(edges).isEmpty()

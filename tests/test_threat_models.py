@@ -107,6 +107,28 @@ def test_fits_reach_the_least_loss_and_take_few_passes(spark, monkeypatch):
     assert begun < 20 and max(passes) == 2
 
 
+def test_a_rare_kind_starts_near_and_takes_few_passes(spark, monkeypatch):
+    from netloom.operators import models
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 2))
+    kind = np.where(x[:, 0] > 2.4, 0, -1)  # some fifty rows, set apart by a line
+    df = spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, kind, strict=True)], "a double, b double, k int").repartition(3)
+    whole, real = [], models._newton_sums
+    monkeypatch.setattr(models, "_newton_sums", lambda *a: (len(a) > 6 or whole.append(1)) and None or real(*a))
+    near = models.logistic_fits(df, ["a", "b"], "k", [0], share=2000)
+    few = len(whole)
+    far = models.logistic_fits(df, ["a", "b"], "k", [0])
+    assert near[0] == pytest.approx(far[0], rel=1e-3) and few <= 4 < len(whole) - few
+
+
+def test_rates_weigh_points_by_their_rows(spark):
+    rows = [(i, 0.0, "benign" if i % 4 else "tor_c2") for i in range(40)] + [(40 + i, 9.0, None if i else "tor_c2") for i in range(3)]
+    df = spark.createDataFrame(rows, "k int, x double, label string")
+    got = {r.k: r.rate for r in M.cluster_rates(df, df, ["x"], "k", k=2).collect()}
+    assert {got[i] for i in range(40)} == {0.25} and {got[i] for i in range(40, 43)} == {1.0}
+
+
 def test_threats_alone_cluster_no_flows_and_keep_nothing_in_memory(spark, monkeypatch):
     f, p = catalog_models._inputs(spark, SF)
     monkeypatch.setattr(M, "cluster_profiles", None)
